@@ -10,7 +10,7 @@ Phrases come to the tasks in blocks of at most BLOCK_WORDS words, each broadcast
 at a time. While all phrases fit one block, only their terms are stored; otherwise the index stores every term.
 
 Defined cases: null and empty texts have no words and no hits; an item without words has no window, one with fewer
-than `size` words is one window; repeated rows and items are answered each; an empty table of documents gives an
+than `size` words is one window; repeated rows, and rows with a null id, are answered each; an empty table of documents gives an
 empty result, an empty table of items no hits.
 """
 
@@ -34,6 +34,8 @@ SHARD_WORDS = 3_000_000
 BLOCK_WORDS = 500_000
 #: Places left free between documents, so that no phrase runs from one into the next.
 GAP = 64
+#: Stands for a null id inside a shard.
+NO_ID = -(1 << 63)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -89,7 +91,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, id_col: s
                     found = np.fromiter((memory.get(w) or memory.setdefault(w, term(w)) for w in words), np.int64, len(words))
                     if len(memory) > 1_000_000:
                         memory.clear()
-                held.append((i, len(words)))
+                held.append((NO_ID if i is None else i, len(words)))
                 parts.append(found)
                 bases.append(size)
                 size += len(words) + GAP
@@ -174,7 +176,7 @@ def search(index: DataFrame, blocks: list, id_col: str = "doc_id", slop: int = 0
             turn = np.flatnonzero(np.diff(hit[bases[k] : bases[k] + docs[k, 1]].astype(np.int8), prepend=0, append=0)).tolist() if n else []
             spans.append([{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2])])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({id_col: pa.array(docs[:, 0]), "n_words": pa.array(docs[:, 1]), "n_hit": pa.array(n_hit.astype(np.int64)), "items": pa.array([sorted(items.get(k, ())) for k in range(len(docs))], pa.list_(pa.string())), "spans": pa.array(spans, kind)})
+        return pa.table({id_col: pa.array(docs[:, 0], mask=docs[:, 0] == NO_ID), "n_words": pa.array(docs[:, 1]), "n_hit": pa.array(n_hit.astype(np.int64)), "items": pa.array([sorted(items.get(k, ())) for k in range(len(docs))], pa.list_(pa.string())), "spans": pa.array(spans, kind)})
 
     return index.groupBy("shard").applyInArrow(run, f"`{id_col}` long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
