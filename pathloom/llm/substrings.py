@@ -1,26 +1,28 @@
 """Substring deduplication by Rabin-Karp hashes of every window of `size` words.
 
-Each map task hashes every window of its documents (a polynomial over 64-bit word hashes) and sorts the hashes into
-buckets by their value; a bucket of a batch of documents travels as one packed binary. Within a batch only the smallest
-document that has a window sends it; the others learn at once that a smaller one has it. A bucket is then counted in one
-task: every (window, document) that is not the smallest of its window comes back as a place in the document. Places meet
-the text again in a join by id, where overlapping windows merge into maximal intervals to remove.
+Each map task hashes every window of its documents (a polynomial over 64-bit word hashes) and deals the hashes into
+buckets by their value; a bucket of a batch of documents travels as one packed row. Within a batch only the smallest
+document that has a window sends it; for the others it is known at once that a smaller one has it. A bucket is then counted
+in one task: every (window, document) that is not the smallest of its window goes, by its place, to the document's group,
+where it meets the text again and overlapping windows merge into maximal intervals to remove.
 
 Hot windows: a passage that a third of all documents share is sent once per batch. Buckets grow in number with the input.
 
-Defined cases: null and empty texts and texts of fewer than `size` words lose nothing; a document never loses words for
-a repeat inside itself only; of repeated rows with one id each is handled as the same document; an empty table
-gives an empty result. Hashes have 64 bits: among n windows, n^2 / 2^65 pairs are expected to collide.
+Defined cases: null and empty texts and texts of fewer than `size` words lose nothing, nor do rows with a null id; a
+document never loses words for a repeat inside itself only; repeated rows of one id count as one document; an empty table
+gives an empty result. Two windows are taken for one if the 56 low bits and the bucket of their hashes agree: among n
+windows about n^2 / 2^63 pairs are expected to.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import input_partitions, shuffle_partitions, table
@@ -28,7 +30,6 @@ from .common import input_partitions, shuffle_partitions, table
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of a batch: what one task holds at a time. A longer document is a batch of its own.
 BATCH_WORDS = 1_500_000
-PLACES = 4096
 
 
 class WordHashes(dict):
@@ -53,39 +54,65 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def packed(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Splits windows by hash into buckets: (bucket, document ids, windows of each, hashes and places)."""
-    bucket = (hashes >> np.uint64(32)).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    for b in range(buckets):
-        rows = order[bounds[b] : bounds[b + 1]]
-        if len(rows):
-            first = np.flatnonzero(np.diff(ids[rows], prepend=ids[rows[0]] - 1))
-            yield b, ids[rows[first]].tobytes(), np.diff(np.append(first, len(rows))).astype(np.uint32).tobytes(), hashes[rows].tobytes() + delta(places[rows], first)
+def runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one id start, and their lengths."""
+    starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(ids)))
 
 
-def delta(places: np.ndarray, first: np.ndarray) -> bytes:
-    """Places as 16-bit steps within a document where they fit, else as 32-bit numbers."""
+def pack_places(places: np.ndarray, starts: np.ndarray) -> bytes:
+    """Places as 16-bit steps within a document, low bytes first, then high bytes; as 32-bit numbers if a step is too long."""
     steps = np.diff(places, prepend=0)
-    steps[first] = places[first]
+    steps[starts] = places[starts]
     if len(steps) and steps.max() < 1 << 16:
-        return b"\0" + steps.astype(np.uint16).tobytes()
-    return b"\1" + places.astype(np.uint32).tobytes()
+        return b"\0" + steps.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return b"\1" + places.astype("<u4").tobytes()
 
 
-def undelta(raw: bytes, counts: np.ndarray) -> np.ndarray:
+def unpack_places(raw: bytes, counts: np.ndarray) -> np.ndarray:
     if raw[0]:
-        return np.frombuffer(raw[1:], np.uint32).astype(np.int64)
-    steps = np.frombuffer(raw[1:], np.uint16).astype(np.int64)
+        return np.frombuffer(raw[1:], "<u4").astype(np.int64)
+    steps = np.ascontiguousarray(np.frombuffer(raw[1:], np.uint8).reshape(2, -1).T).view("<u2").ravel().astype(np.int64)
     total = np.cumsum(steps)
     starts = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
     return total - np.repeat(total[starts] - steps[starts], counts)
 
 
-def repeated_places(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, places): packed uint32 starts of windows that also start in a document with a smaller id; several rows a document."""
-    buckets = max(shuffle_partitions(docs.sparkSession), 4 * input_partitions(docs))
+def rows_by(key: np.ndarray, keys: int, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray | None = None) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Windows (by id, then place) as one row per key: (key, ids, windows of each, places, hashes).
+
+    Of a hash seven bytes travel: the eighth, its highest, follows but for a bit from the bucket.
+    """
+    order = np.argsort(key, kind="stable")
+    bounds = np.searchsorted(key[order], np.arange(keys + 1))
+    for k in range(keys):
+        rows = order[bounds[k] : bounds[k + 1]]
+        if len(rows):
+            starts, lengths = runs(ids[rows])
+            sent = b"" if hashes is None else np.ascontiguousarray(hashes[rows]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+            yield k, ids[rows[starts]].tobytes(), lengths.astype(np.uint32).tobytes(), pack_places(places[rows], starts), sent
+
+
+def unpack_hashes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that each id belongs to; `group_column` says the same in Spark."""
+    unique, inverse = np.unique(ids, return_inverse=True)
+    return np.array([zlib.crc32(b"%d" % i) % groups for i in unique.tolist()], np.int64)[inverse]
+
+
+def group_column(id_col: str, groups: int) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % groups, F.lit(0)).cast("int")
+
+
+def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Windows that also start in a document with a smaller id: (grp, ids, counts, places), packed by group of documents; many rows a group."""
+    schema = "key int, ids binary, counts binary, places binary, hashes binary"
+    names = ["key", "ids", "counts", "places", "hashes"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -97,23 +124,24 @@ def repeated_places(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
             ids = np.repeat(np.array([i for i, _ in held], np.int64), [len(h) for _, h in held])
             places = np.concatenate([np.arange(len(h), dtype=np.int64) for _, h in held])
             hashes = np.concatenate([h for _, h in held])
+            held.clear()
             order = np.argsort(hashes, kind="stable")  # of one hash: by id, as the rows are
             h, i = hashes[order], ids[order]
             new = np.diff(h, prepend=~h[:1]) != 0
             least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
             loses = np.zeros(len(h), bool)
             loses[order] = i > least
-            rows: list[tuple] = list(packed(ids[~loses], places[~loses], hashes[~loses], buckets))
-            # what is known already takes the same way, a part for each bucket, so that no task gets it all
-            for k, (a, b) in enumerate(zip(*cuts(ids[loses]))):
-                rows.append((int(ids[loses][a]) % buckets, ids[loses][a : a + 1].tobytes(), b"", places[loses][a:b].astype(np.uint32).tobytes()))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["bucket", "ids", "counts", "data"])
+            del order, h, i, new, least
+            bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            rows = list(rows_by(bucket[~loses].astype(np.int64), buckets, ids[~loses], places[~loses], hashes[~loses]))
+            # what is known already goes by group of documents
+            rows += rows_by(group_of(ids[loses], buckets), buckets, ids[loses], places[loses])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 5))], names=names)
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 split = (text.as_py() or "").encode().split()
-                if len(split) >= size:
+                if len(split) >= size and i is not None:
                     h = window_hashes(np.fromiter(map(memory.__getitem__, split), np.uint64, len(split)), size)
                     held.append((i, h))
                     words += len(h)
@@ -123,51 +151,35 @@ def repeated_places(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
         if held:
             yield flush()
 
-    def count(rows: pa.Table) -> pa.Table:
-        ids, places, hashes, known_ids, known = [], [], [], [], []
-        for i, c, d in zip(rows.column("ids"), rows.column("counts"), rows.column("data")):
-            who, n, raw = np.frombuffer(i.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32), d.as_py()
-            if not len(n):
-                known_ids.append(int(who[0]))
-                known.append(raw)
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, places, hashes, out = [], [], [], []
+        for i, c, p, h in zip(*(rows.column(n) for n in names[1:])):
+            if not len(h.as_py()):
+                out.append((key[0].as_py(), i.as_py(), c.as_py(), p.as_py()))
                 continue
-            total = int(n.sum())
-            hashes.append(np.frombuffer(raw[: 8 * total], np.uint64))
-            places.append(undelta(raw[8 * total :], n.astype(np.int64)))
-            ids.append(np.repeat(who, n))
+            n = np.frombuffer(c.as_py(), np.uint32).astype(np.int64)
+            hashes.append(unpack_hashes(h.as_py()))
+            places.append(unpack_places(p.as_py(), n))
+            ids.append(np.repeat(np.frombuffer(i.as_py(), np.int64), n))
         if hashes:
-            i, p, h = np.concatenate(ids), np.concatenate(places), np.concatenate(hashes)
-            del ids, places, hashes
+            h = np.concatenate(hashes)
+            del hashes
             order = np.argsort(h, kind="stable")
             h = h[order]
             new = np.diff(h, prepend=~h[:1]) != 0
             single = new & np.append(new[1:], True)
             order, new = order[~single], new[~single]  # windows that start once have nothing to say
-            i, p = i[order], p[order]
-            group = np.cumsum(new) - 1
-            least = np.minimum.reduceat(i, np.flatnonzero(new)) if len(i) else i
-            lost = i > least[group] if len(i) else np.zeros(0, bool)
-            i, p = i[lost], p[lost]
-            order = np.argsort(i, kind="stable")
-            i, p = i[order], p[order].astype(np.uint32)
-            for a, b in zip(*cuts(i)):
-                known_ids.append(int(i[a]))
-                known.append(p[a:b].tobytes())
-        return pa.table({id_col: pa.array(known_ids, pa.int64()), "places": pa.array(known, pa.binary())})
-
-    sent = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(send, "bucket int, ids binary, counts binary, data binary")
-    return sent.groupBy("bucket").applyInArrow(count, f"`{id_col}` long, places binary")
-
-
-def cuts(ids: np.ndarray) -> tuple[list[int], list[int]]:
-    """Starts and ends of runs of one id, of PLACES rows at most."""
-    if not len(ids):
-        return [], []
-    starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
-    ends = np.append(starts[1:], len(ids))
-    a = [x for s, e in zip(starts.tolist(), ends.tolist()) for x in range(s, e, PLACES)]
-    b = [min(x + PLACES, e) for s, e in zip(starts.tolist(), ends.tolist()) for x in range(s, e, PLACES)]
-    return a, b
+            i, p = np.concatenate(ids)[order], np.concatenate(places)[order]
+            if len(i):
+                lost = i > np.minimum.reduceat(i, np.flatnonzero(new))[np.cumsum(new) - 1]
+                i, p = i[lost], p[lost]
+                order = np.lexsort((p, i))
+                i, p = i[order], p[order]
+                out += [r[:4] for r in rows_by(group_of(i, buckets), buckets, i, p)] if len(i) else []
+        return pa.table({"grp": pa.array([r[0] for r in out], pa.int32()), **{n: pa.array([r[k] for r in out], pa.binary()) for k, n in enumerate(names[1:4], 1)}})
+
+    sent = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(send, schema)
+    return sent.groupBy("key").applyInArrow(count, "grp int, ids binary, counts binary, places binary")
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -186,29 +198,36 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, kept (the words left, joined by one space), removed (intervals of word places)."""
-    found = repeated_places(docs, size, id_col, text_col).groupBy(id_col).agg(F.collect_list("places").alias("_places"))
-    both = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")).join(found, id_col, "left").select(id_col, "_text", "_places")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, lost, kept, spans = [], [], [], []
-            for text, places in zip(batch.column(1), batch.column(2)):
-                words = (text.as_py() or "").encode().split()
-                total.append(len(words))
-                parts = places.as_py()
-                mask = covered(len(words), np.frombuffer(b"".join(parts), np.uint32).astype(np.int64), size) if parts else np.zeros(len(words), bool)
-                runs = intervals(mask)
-                left, at = [], 0
-                for a, b in runs:
-                    left += words[at:a]
-                    at = b
-                lost.append(int(mask.sum()))
-                kept.append(b" ".join(left + words[at:]).decode())
-                spans.append([{"start": a, "end": b} for a, b in runs])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], names=[id_col, "n_words", "n_removed", "kept", "removed"])
-
-    return both.mapInArrow(run, f"`{id_col}` long, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>")
+    buckets = max(shuffle_partitions(docs.sparkSession), 4 * input_partitions(docs))
+    found = repeated_places(docs, buckets, size, id_col, text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")).select(group_column(id_col, buckets).alias("grp"), id_col, "_text")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def apply(rows: pa.Table, lost: pa.Table) -> pa.Table:
+        ids, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, c, p in zip(*(lost.column(n) for n in ("ids", "counts", "places"))):
+            n = np.frombuffer(c.as_py(), np.uint32).astype(np.int64)
+            ids.append(np.repeat(np.frombuffer(i.as_py(), np.int64), n))
+            starts.append(unpack_places(p.as_py(), n))
+        who, at = np.concatenate(ids), np.concatenate(starts)
+        order = np.argsort(who, kind="stable")
+        who, at = who[order], at[order]
+        total, removed, kept, spans = [], [], [], []
+        for i, text in zip(rows.column(id_col).to_pylist(), rows.column("_text")):
+            words = (text.as_py() or "").encode().split()
+            mine = at[np.searchsorted(who, i) : np.searchsorted(who, i, side="right")] if i is not None else at[:0]
+            gone = intervals(covered(len(words), mine, size)) if len(mine) else []
+            left, place = [], 0
+            for a, b in gone:
+                left += words[place:a]
+                place = b
+            total.append(len(words))
+            removed.append(sum(b - a for a, b in gone))
+            kept.append(b" ".join(left + words[place:]).decode())
+            spans.append([{"start": a, "end": b} for a, b in gone])
+        return pa.table({id_col: rows.column(id_col), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string()), "removed": pa.array(spans, kind)})
+
+    return texts.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, f"`{id_col}` long, n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
