@@ -81,7 +81,7 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
         blocks = [number(CLUSTER_TIME, start)]
         for k, b in enumerate(range(at, min(at + step, len(payload)), frame * FRAMES_PER_BLOCK)):
             frames = [payload[f : f + frame] for f in range(b, min(b + frame * FRAMES_PER_BLOCK, len(payload)), frame)]
-            kind = 0 if len(frames) == 1 else (2, 3, 1)[k % 3]
+            kind = 0 if len(frames) == 1 else (2 if len(frames[-1]) == frame else 3, 3, 1)[k % 3]
             blocks.append(element(SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 1000 * b // rate - start, 0x80 | kind << 1) + laced(frames, kind)))
         cluster = element(CLUSTER, b"".join(blocks))
         cues.append(element(CUE_POINT, number(CUE_TIME, start) + element(CUE_POSITIONS, number(CUE_TRACK, 1) + number(CUE_CLUSTER, size))))
