@@ -39,10 +39,10 @@ def shape(word: str) -> str:
 
 
 class Hashes(dict):
-    """word -> (hash of the word, hash of its shape), for up to half a million words."""
+    """word -> (hash of the word, hash of its shape), for up to 200,000 words."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[word] = (xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(shape(word), 2))
         return got
