@@ -66,9 +66,40 @@ def test_pigeonring_finds_all_pairs(spark):
     assert {(r.a, r.b) for r in simhash.linked(frame).collect()} == expected
 
 
-def test_similar_groups(docs):
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in (a, b)))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_groups(spark, docs, nothing):
     got = {r.doc_id: r.component for r in simhash.similar_groups(docs).collect()}
-    assert got[0] == got[1] == got[2] == 0 and got[3] == 3 and got[9] == 9
+    assert got[0] == got[1] == got[2] == 0 and got[3] == 3 and got[9] == 9 and got[4] == got[5] == got[6] == 4
+    assert simhash.similar_groups(nothing).count() == 0
+    texts = [" ".join(f"{RNG.choice(VOCABULARY)}{RNG.randrange(500)}" for _ in range(300)) for _ in range(12)]
+    for t in texts[:12]:
+        for n in (1, 3, 8, 20, 60):  # copies on both sides of 0.8
+            w = t.split()
+            for k in RNG.sample(range(300), n):
+                w[k] = "new"
+            texts.append(" ".join(w))
+    root = list(range(len(texts)))
+    for a in root:
+        for b in range(a):
+            if root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 1), (None, "alone", 1)]
+    got = {(r.doc_id, r.component) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect()}
+    assert got == set(enumerate(root)) | {(None, 0), (None, None)}
+
+
+def test_similar_pairs_are_exact_and_spread(spark):
+    base = [str(k) for k in range(100)]
+    texts = [" ".join(base[: 100 - n] + ["x"] * n) for n in range(40)] * 5
+    rows = spark.createDataFrame([(i, f"{t} {i // 40}", 0) for i, t in enumerate(texts)] + [(7, "another text of this id", 0)], "doc_id long, text string, a int")
+    keys = {r.doc_id: r.key for r in simhash.signatures(rows).filter("doc_id <> 7").collect()}
+    pairs = spark.createDataFrame([(keys[0], keys[i], 0, i) for i in keys if i], "a string, b string, id_a long, id_b long")
+    got = {r.b for r in simhash.similar_pairs(rows, pairs, 0.8, 5, "doc_id", "text").collect()}
+    assert len(keys) > 3 * simhash.SLICE and got == {keys[i] for i in keys if i and jaccard(f"{texts[0]} 0", f"{texts[i]} {i // 40}") >= 0.8}
 
 
 def test_hilbert_neighbours_touch():
