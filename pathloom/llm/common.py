@@ -64,20 +64,22 @@ def ranked(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     return out.drop("_mid", "_pid", "_start"), total
 
 
-def components(edges: DataFrame, done: Callable[[int], None] | None = None) -> DataFrame:
+def components(edges: DataFrame, done: Callable[[int], None] | None = None, sorted_joins: bool = False) -> DataFrame:
     """Connected components of edges (a, b) as (node, root), root being the smallest node reachable.
 
     Labels spread along edges and then jump to their label's label; each round is checkpointed, so its cost
-    does not depend on the rounds before, and a chain of n nodes takes about log n rounds.
+    does not depend on the rounds before, and a chain of n nodes takes about log n rounds. With sorted_joins no side is
+    broadcast, which spares the driver's memory where many rounds follow each other.
     """
+    side = (lambda df: df.hint("merge")) if sorted_joins else (lambda df: df)
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     rounds = 0
     while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
-        near = cut(labels.join(heard, labels.node == heard.a, "left").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")))
+        heard = both.join(side(labels), both.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
+        near = cut(labels.join(side(heard), labels.node == heard.a, "left").select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")))
         up = near.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        labels = cut(near.join(up, "root", "left").select("node", "old", F.least("root", "above").alias("root")))
+        labels = cut(near.join(side(up), "root", "left").select("node", "old", F.least("root", "above").alias("root")))
         rounds += 1
         if not labels.filter("old <> root").limit(1).count():
             if done:
