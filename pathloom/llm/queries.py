@@ -27,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
-SQL: dict[str, str] = {"op8_decontamination": decontaminate.OP8_SQL}
+SQL: dict[str, str] = {"op4_substrings": substrings.OP4_SQL, "op8_decontamination": decontaminate.OP8_SQL}

@@ -232,3 +232,17 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same in DuckDB SQL.
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, k, array_to_string(ws[k : k + 12], ' ') AS phrase FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w WHERE len(ws) >= 13)),
+f AS (SELECT phrase, min(doc_id) AS first FROM k GROUP BY phrase HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS place FROM k JOIN f ON k.phrase = f.phrase AND k.doc_id > f.first),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM w),
+left_over AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.place) AS kept FROM p ANTI JOIN gone ON p.doc_id = gone.doc_id AND p.place = gone.place GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN left_over ON w.doc_id = left_over.doc_id
+"""
