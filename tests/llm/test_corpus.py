@@ -92,6 +92,40 @@ def test_similar_groups(spark, docs, nothing):
     assert got == set(enumerate(root)) | {(None, 0), (None, None)}
 
 
+def components_by_brute_force(texts):
+    root = list(range(len(texts)))
+    for a in root:
+        for b in range(a):
+            if root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    return root
+
+
+def fresh(n):
+    return [f"{RNG.choice(VOCABULARY)}{RNG.randrange(500)}" for _ in range(n)]
+
+
+def test_similar_groups_around_one_original(spark):
+    base = fresh(343)
+    texts = [" ".join(base)]
+    while len(texts) < 50:  # each is like the original only
+        w = list(base)
+        for k in RNG.sample(range(5, 338), 7):
+            w[k] = f"new{RNG.random()}"
+        texts.append(" ".join(w))
+    RNG.shuffle(texts)
+    root = components_by_brute_force(texts)
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert root.count(0) > 40 and got == dict(enumerate(root))
+
+
+def test_common_shingles_come_last():
+    shingles = np.arange(1, 101, dtype=np.uint64)
+    order = (np.arange(1, 95, dtype=np.uint64), np.arange(94)[::-1])
+    assert simhash.prefix(shingles, *order, 0.8).tolist() == [*range(95, 101), *range(94, 79, -1)]
+    assert simhash.prefix(shingles, order[0][:0], order[1][:0], 0.8).tolist() == list(range(1, 22))
+
+
 def test_similar_pairs_are_exact_and_spread(spark):
     base = [str(k) for k in range(100)]
     texts = [" ".join(base[: 100 - n] + ["x"] * n) for n in range(40)] * 5
