@@ -119,6 +119,20 @@ def test_similar_groups_around_one_original(spark):
     assert root.count(0) > 40 and got == dict(enumerate(root))
 
 
+def test_similar_groups_of_block_edits(spark):
+    texts = []
+    for n in (40, 200, 600):
+        for share in (0.04, 0.08, 0.09, 0.1, 0.11, 0.16, 0.2, 0.24, 0.26):  # both sides of 0.8
+            base, new = fresh(n), fresh(round(n * share))
+            k = RNG.randrange(n - len(new))
+            texts += [" ".join(base), " ".join(base + new), " ".join(base[:k] + new + base[k + len(new) :])]
+    common = " ".join(fresh(30))  # a passage that many share
+    texts = [f"{common} {t}" if i % 2 else t for i, t in enumerate(texts)] + texts
+    root = components_by_brute_force(texts)
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(root)) < len(root) and got == dict(enumerate(root))
+
+
 def test_common_shingles_come_last():
     shingles = np.arange(1, 101, dtype=np.uint64)
     order = (np.arange(1, 95, dtype=np.uint64), np.arange(94)[::-1])
