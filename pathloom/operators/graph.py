@@ -66,11 +66,47 @@ def along(points: DataFrame) -> DataFrame:
     return p.select(*FLOOR, F.col("seq").alias("original_index"), F.sum("_d").over(by(FLOOR).rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written to the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """For places (*keep, scan_id, floor_level, px, py, pz) the nearest node of their floor, the first of equals."""
-    both = places.join(nodes.select(*FLOOR, "node_id", "original_index", "x", "y", "z"), list(FLOOR))
+    """For places (*keep, scan_id, floor_level, px, py, pz) the nearest node of their floor, the first of equals.
+
+    Nodes are found by cells of the plane, of about one node each at first: a place meets those of its cell and the eight
+    around it, and has its answer once that is nearer than a cell is wide. For the rest the cells double. Positions that are
+    not finite are near nothing.
+    """
+    def finite(names: str):
+        return F.forall(F.array(*names.split()), lambda v: F.coalesce(F.abs(v) < math.inf, F.lit(False)))
+
+    span = [F.max(c) - F.min(c) for c in "xy"]
+    at = kept(nodes.select(*FLOOR, "node_id", "original_index", "x", "y", "z").filter(finite("x y z")))
+    side = F.greatest(F.sqrt(span[0] * span[1] / F.count("*")), span[0] / F.count("*"), span[1] / F.count("*"))
+    grid = at.groupBy(*FLOOR).agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.when(side > 1e-6, side).otherwise(1.0).alias("_side"))
+    at = kept(at.join(grid, list(FLOOR)))
+    place = list(dict.fromkeys([*keep, *FLOOR, "px", "py", "pz"]))
+    left = kept(places.select(*place).filter(finite("px py pz")).distinct().join(grid, list(FLOOR)))
     d = distance([F.col("px"), F.col("py"), F.col("pz")], here())
-    return both.groupBy(*keep).agg(F.min_by("node_id", F.struct(d.alias("d"), "original_index")).alias("node_id"), F.min(d).alias("distance"))
+    done, width = None, 1.0
+    while done is None or left.limit(1).count():
+        def cell(c: str, low: str, by: float = width):
+            return F.floor((F.col(c) - F.col(low)) / (F.col("_side") * by))
+
+        around = [F.explode(F.sequence(cell(c, low) - 1, cell(c, low) + 1)).alias(to) for c, low, to in (("px", "_x", "_cx"), ("py", "_y", "_cy"))]
+        asked = left.select("*", around[0]).select("*", around[1]).drop("_x", "_y")
+        found = asked.join(at.select(*FLOOR, "node_id", "original_index", "x", "y", "z", cell("x", "_x").alias("_cx"), cell("y", "_y").alias("_cy")), [*FLOOR, "_cx", "_cy"])
+        best = found.groupBy(*place).agg(F.min(F.struct(d.alias("d"), "original_index", "node_id")).alias("best"), F.first("_side").alias("_side"))
+        best = kept(best.filter(F.col("best.d") < F.col("_side") * (width * (1 - 1e-9))).select(*place, "best"))
+        same = [left[c].eqNullSafe(best[c]) for c in place]
+        left = kept(left.join(best, same, "left_anti"))
+        done, width = best if done is None else done.union(best), width * 2
+    first = done.groupBy(*keep).agg(F.min("best").alias("best"))
+    return first.select(*keep, F.col("best.node_id").alias("node_id"), F.col("best.d").alias("distance"))
 
 
 def vertical_edges(passages: DataFrame, nodes: DataFrame, points: DataFrame | None = None) -> DataFrame:

@@ -91,6 +91,24 @@ def test_edges_stop_at_long_ways(spark):
     assert graph.vertical_edges(nodes, nodes).count() == 0
 
 
+def test_nearest_node_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.normal(0, 1, (150, 3)), rng.normal(0, 30, (50, 3)), np.round(rng.normal(0, 2, (60, 3)))])
+    q = np.concatenate([rng.normal(0, 2, (80, 3)), rng.normal(0, 200, (30, 3)), np.round(rng.normal(0, 2, (40, 3)))])
+    nodes = spark.createDataFrame([(1, 1 + i % 2, f"n{i}", i, *map(float, x)) for i, x in enumerate(p)] + [(2, 1, "one", 0, 5.0, 5.0, 0.0)], "scan_id long, floor_level int, node_id string, original_index long, x double, y double, z double")
+    places = spark.createDataFrame([(1, i, 1 + i % 3, *map(float, x)) for i, x in enumerate(q)] + [(2, 0, 1, -90.0, 7.0, 1.0), (3, 0, 1, 0.0, 0.0, 0.0)], "scan_id long, seq long, floor_level int, px double, py double, pz double")
+    got = {(r.scan_id, r.seq): r.node_id for r in graph.nearest_node(places, nodes, ["scan_id", "seq"]).collect()}
+    expected = {(1, i): f"n{min((j for j in range(len(p)) if j % 2 == i % 3), key=lambda j: (np.linalg.norm(p[j] - x), j))}" for i, x in enumerate(q) if i % 3 < 2}
+    assert got == {**expected, (2, 0): "one"}
+
+
+def test_every_point_is_snapped(spark):
+    from pathloom.plans import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    assert queries.QUERIES["r13_snap_poi"](spark, sf_dir).count() == scans.walks(spark, sf_dir).count()
+
+
 def test_levels():
     assert set(floors.height_levels(np.linspace(0, 2.9, 50))) == {0}
     assert sorted(set(floors.height_levels(np.array([0.0] * 30 + [4.0] * 30)))) == [0, 1]
