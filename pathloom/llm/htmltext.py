@@ -1,58 +1,116 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of containers with blocks of text (what stands between block-level tags). Each block passes points
-for its length and commas to its container, half to the next above and a third beyond; a container's points are
-discounted by its share of linked characters. The best container is kept with those siblings that score a fifth
-of it, without blocks in unlikely containers (menus, adverts, notices, comments and the like) or made of links.
+for its length and commas to its container, half to the next above, a third beyond, five levels up; a container's points
+are discounted by its share of linked characters. The best container is kept, widened to the article or main part around
+it, with those siblings that score a fifth of it; where there is no such part, with its sibling headings, paragraphs and
+containers of whole paragraphs. Unlikely containers (menus, adverts, notices, comments and the like) and lists made of links go.
 
-Defined cases: null and empty html give an empty text; unclosed and crossed tags close at the next fitting tag; a page
-without any paragraph-like block gives its best container all the same; repeated pages are answered each.
+One pass over the tags and one over the tree: the time follows the page's length, however tags nest or stay open.
+
+Defined cases: null and empty html give an empty text; unclosed and crossed tags close at the next fitting tag; a menu, form or
+the like that is never closed is no such part; a quote that belongs to no attribute value is ignored; pages of any length are
+read whole; of containers of equal worth the first counts; a page without any paragraph-like block gives all that stands in no
+unlikely container; repeated pages are answered each; columns are taken by position, so other columns don't matter.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, declaration or tag. Quotes hold a > only as an attribute's value; what is never closed reaches to the end.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>?", re.S)
 #: Their content is never text of the page.
-DROPPED = frozenset("script style noscript template iframe svg math canvas object audio video head title select textarea button form fieldset dialog menu nav aside footer".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+DROPPED = frozenset("script style noscript template iframe svg canvas audio video head title select textarea button form fieldset dialog menu nav aside footer".split())
+RAW = frozenset("script style textarea title noscript iframe".split())
+#: A form around a whole article is none of the article's parts: it counts as a container.
+AROUND = frozenset("form fieldset".split())
 BLOCKS = frozenset("html body div section article main header p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption hgroup address details summary center hr br".split()) | DROPPED
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A container ends an open paragraph; a paragraph-like tag ends an open one of its kind.
-ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
-PARAGRAPH_LIKE = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|discuss\w*|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|replies|reply|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Tags that end an open one of these, unless it stands outside the innermost of LIMITS.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+LIMITS = ("table", "ul", "ol", "dl", "div", "article", "section", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPH_LIKE = HEADINGS | {"p", "pre"}
+#: Elements that pass their points on to what holds them.
+INNER = PARAGRAPH_LIKE | frozenset("li dt dd figcaption".split())
+LISTS = frozenset("ul ol dl table tbody thead tr td th div section figure".split())
+#: Words in class, id or role of what is no part of an article.
+UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discuss discussion disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pagination popup promo promos promoted promotion related replies reply share shares sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
+PAGE_HEADS = frozenset("header masthead".split())
+ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 BONUS = {"article": 25, "main": 15, "section": 3, "div": 3, "td": 2, "blockquote": 2}
+LEVELS = 5
+#: Mean characters of a paragraph from which on a container beside the best one is text.
+LONG = 80
 
 
 class Node:
-    __slots__ = ("tag", "up", "bad", "score", "chars", "linked")
+    __slots__ = ("tag", "up", "bad", "article", "score", "chars", "linked", "blocks", "place", "last")
+
+    def __init__(self, tag: str, up: Node | None, bad: bool, article: Node | None, place: int):
+        self.tag, self.up, self.bad, self.place, self.last = tag, up, bad, place, place
+        self.article = self if article is None and tag in ("article", "main") and not bad else article
+        self.score, self.chars, self.linked, self.blocks = float(BONUS.get(tag, 0)), 0, 0, 0
+
 
-    def __init__(self, tag: str, up: Node | None, bad: bool):
-        self.tag, self.up, self.bad = tag, up, bad
-        self.score, self.chars, self.linked = float(BONUS.get(tag, 0)), 0, 0
+def unlikely(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role say that an element is no part of the article. A paragraph's name counts only as a whole, the first
+    or last word of a container's does; a header inside the article is part of it."""
+    for name in ATTRIBUTE.findall(attributes):
+        for token in name.strip("\"'").split():
+            words = [w.lower() for w in PARTS.findall(token)]
+            if not words:
+                continue
+            ends = words if len(words) == 1 else [] if tag in INNER else [words[0], words[-1]] if len(words) == 2 or words[-1] in UNLIKELY else []
+            if any(w in UNLIKELY for w in ends) or (not inside and tag not in INNER and any(w in PAGE_HEADS for w in ends) and not {"article", "post", "entry", "story", "content"} & set(words)):
+                return True
+    return False
 
-    def inside(self, other: Node) -> bool:
-        node: Node | None = self
-        while node is not None and node is not other:
-            node = node.up
-        return node is other
+
+def skips(tokens: list[re.Match]) -> dict[int, int]:
+    """For each start tag of a dropped part, by its place among the tokens, the place of the end tag that closes it."""
+    open_, out = defaultdict(list), {}
+    for k, m in enumerate(tokens):
+        tag = m[2] and m[2].lower()
+        if tag in DROPPED and tag not in RAW:
+            if not m[1]:
+                if not m[3].rstrip().endswith("/"):
+                    open_[tag].append(k)
+            elif open_[tag]:
+                out[open_[tag].pop()] = k
+    return out
+
+
+def tags_of(html: str) -> list[re.Match]:
+    """All tokens in order; after a tag of RAW the next is the one that ends it, or none."""
+    out, at = [], 0
+    ends = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+    while m := TOKEN.search(html, at):
+        out.append(m)
+        at = m.end()
+        if m[2] and not m[1] and (tag := m[2].lower()) in RAW and not m[3].rstrip().endswith("/"):
+            close = ends[tag].search(html, at)
+            at = close.start() if close else len(html)
+    return out
 
 
-def blocks_of(html: str) -> list[tuple[Node, str, int]]:
-    """(container, text, linked characters) of each block of text in page order; dropped parts are left out."""
-    root = Node("#", None, False)
-    open_: list[Node] = [root]
+def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """The tree's nodes, each before what it holds, and (container, text, linked characters) of each block of text in page order; dropped parts are left out."""
+    nodes = [Node("#", None, False, None, 0)]
+    open_: list[Node] = [nodes[0]]
+    where: defaultdict[str, list[int]] = defaultdict(list)  # tag -> depths at which it is open
     out: list[tuple[Node, str, int]] = []
     text: list[str] = []
     linked, links, at = 0, 0, 0
@@ -61,7 +119,7 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
         nonlocal linked
         if text:
             words = " ".join("".join(text).split())
-            if words and not open_[-1].tag == "#dropped":
+            if words:
                 out.append((open_[-1], words, linked))
             text.clear()
         linked = 0
@@ -74,22 +132,20 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
             if links:
                 linked += len(piece.strip())
 
-    def end(names: str) -> None:
-        wanted = names.split()
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in wanted:
-                del open_[k:]
-                return
-            if open_[k].tag in ("table", "ul", "ol", "dl", "div", "article", "section", "main"):
-                return
-
-    n = len(html)
-    while at < n:
-        m = TOKEN.search(html, at)
-        if not m:
-            break
+    def shut(depth: int) -> None:
+        while len(open_) > depth:
+            where[open_.pop().tag].pop()
+
+    tokens = tags_of(html)
+    skip = skips(tokens)
+    articles = list(accumulate((m[2] is not None and not m[1] and m[2].lower() in ("article", "main", "h1") for m in tokens), initial=0))
+    paragraphs = list(accumulate((m[2] is not None and not m[1] and m[2].lower() == "p" for m in tokens), initial=0))
+    k = 0
+    while k < len(tokens):
+        m = tokens[k]
         put(html[at : m.start()])
         at = m.end()
+        k += 1
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
@@ -103,75 +159,95 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
             continue
         close()
         if closing:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    links = 0
-                    break
+            if where[tag]:
+                shut(where[tag][-1])
+                links = 0
+            continue
+        if tag in RAW:
+            links = 0
+            at = tokens[k].start() if k < len(tokens) else len(html)
+            if m[3].rstrip().endswith("/"):
+                at = m.end()
             continue
         if tag in DROPPED:
             links = 0
-            at = after(html, tag, at, m[3].rstrip().endswith("/"))
+            stop = skip.get(k - 1)
+            if stop is not None and not (tag in AROUND and (articles[stop] > articles[k] or paragraphs[stop] - paragraphs[k] >= 3)):
+                at, k = tokens[stop].end(), stop + 1
             continue
         if tag in VOID:
             continue
-        end("p h1 h2 h3 h4 h5 h6 pre")
+        if open_[-1].tag in PARAGRAPH_LIKE:
+            shut(len(open_) - 1)
         if tag in ENDS:
-            end(ENDS[tag])
+            depth = max((where[t][-1] for t in ENDS[tag] if where[t]), default=0)
+            if depth and depth > max((where[t][-1] for t in LIMITS if where[t]), default=0):
+                shut(depth)
         up = open_[-1]
-        mark = " ".join(a.strip("\"'") for a in ATTRIBUTE.findall(m[3])) if m[3] else ""
-        bad = up.bad or bool(mark and UNLIKELY.search(mark)) or bool(m[3] and HIDDEN.search(m[3]))
-        if tag == "header":  # of the page, unless it stands in the article
-            above: Node | None = up
-            while above is not None and above.tag not in ("article", "main"):
-                above = above.up
-            bad = bad or above is None
-        if tag in ("html", "body", "article", "main"):
-            bad = up.bad
-        open_.append(Node(tag, up, bad))
+        bad = up.bad
+        if tag not in ("html", "body", "article", "main") and not bad and (m[3] or tag == "header"):
+            bad = bool(HIDDEN.search(m[3])) or unlikely(tag, m[3], up.article is not None) or (tag == "header" and up.article is None)
+        elif tag == "article" and not bad:  # one reader's comment is often an article of its own
+            bad = up.article is not None and unlikely("p", m[3], True)
+        where[tag].append(len(open_))
+        nodes.append(Node(tag, up, bad, up.article, len(nodes)))
+        open_.append(nodes[-1])
     put(html[at:])
     close()
-    return out
+    return nodes, out
 
 
-def after(html: str, tag: str, at: int, empty: bool) -> int:
-    """The place after the end tag that closes `tag`, opened before `at`; the end of the page if none does."""
-    if empty:
-        return at
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I).finditer(html, at):
-        depth += -1 if m[1] else (0 if tag in RAW else 1)
-        if not depth:
-            return m.end()
-    return len(html) if tag in RAW else at
+def density(node: Node) -> float:
+    return node.linked / max(1, node.chars)
 
 
 def main_text(html: str | None) -> str:
-    blocks = blocks_of(html or "")
+    nodes, blocks = blocks_of(html or "")
+    if not blocks:
+        return ""
     scored: dict[Node, None] = {}
+    holds_heading: set[Node] = set()
     for node, text, linked in blocks:
-        holder = node.up if node.tag in PARAGRAPH_LIKE and node.up is not None else node
-        above, level = holder, 1
-        points = 0 if node.bad or 2 * linked > len(text) else min(1 + text.count(",") + len(text) / 100, 1 + text.count(",") + 3 + len(text) / 1000)
-        while above is not None:
-            above.chars += len(text)
-            above.linked += linked
+        node.chars += len(text)
+        node.linked += linked
+        node.blocks += 1
+        above: Node | None = node.up if node.tag in INNER and node.up is not None else node
+        if node.tag in ("h1", "h2") and not node.bad:
+            holds_heading.add(above)
+        commas = text.count(",")
+        points = 0 if node.bad or 2 * linked > len(text) else 1 + commas + min(len(text) / 100, 3 + len(text) / 1000)
+        for level in range(1, LEVELS + 1):
+            if above is None:
+                break
             if above.tag not in ("#", "html"):
                 if not above.bad:
                     scored[above] = None
                 above.score += points / level
-            above, level = above.up, level + 1
-    if not blocks:
-        return ""
-    worth = {c: c.score * (1 - c.linked / max(1, c.chars)) for c in scored}
+            above = above.up
+    for node in reversed(nodes[1:]):
+        up = node.up
+        up.chars, up.linked, up.blocks, up.last = up.chars + node.chars, up.linked + node.linked, up.blocks + node.blocks, max(up.last, node.last)
+    worth = {c: c.score * (1 - density(c)) for c in scored}
     if worth:
         best = max(worth, key=lambda c: worth[c])
-        kept = [best] + [c for c in worth if c is not best and c.up is best.up and c.tag in ("article", "div", "section", "p", "blockquote") and worth[c] >= max(BONUS.get(c.tag, 0) + 2, worth[best] / 5)]
+        whole = best.article or best
+        kept = [whole] + [c for c in worth if c.up is whole.up and c is not whole and c.tag in ("article", "div", "section", "blockquote") and worth[c] >= max(BONUS.get(c.tag, 0) + 2, worth[best] / 5)]
+        if whole.article is None and whole.up is not None:
+            beside = [c for c in nodes[whole.up.place : whole.up.last + 1] if c.up is whole.up and not c.bad and c.chars]
+            kept += [c for c in beside if (c.tag in PARAGRAPH_LIKE and density(c) <= 0.5) or (density(c) < 0.25 and (c.chars >= LONG * c.blocks or (c in holds_heading and c.place < whole.place)))]
     else:
-        kept = [blocks[0][0]] if all(not b[0].bad for b in blocks[:1]) else []
-        while kept and kept[0].up is not None:
-            kept = [kept[0].up]
-    return " ".join(t for node, t, linked in blocks if not node.bad and 2 * linked <= len(t) and any(node.inside(k) for k in kept))
+        kept = [nodes[0]] if not blocks[0][0].bad else []
+    # what is kept and what is a list of links, as stretches of the nodes' order
+    change = [0] * (len(nodes) + 1)
+    chosen = set(kept)
+    for c in chosen:
+        change[c.place] += 1
+        change[c.last + 1] -= 1
+    inside = list(accumulate(change))
+    only_links = [False] * len(nodes)
+    for node in nodes[1:]:
+        only_links[node.place] = only_links[node.up.place] or (node.tag in LISTS and node not in chosen and node.blocks > 1 and density(node) > 0.5)
+    return " ".join(t for node, t, linked in blocks if not node.bad and inside[node.place] and not (2 * linked > len(t) and only_links[node.place]))
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
