@@ -61,9 +61,13 @@ def cleared_type(node_type: Column) -> Column:
     return F.when(node_type == "POI", "WAYPOINT").otherwise(node_type)
 
 
+#: Fixed value: what the names of floors above ground end in.
+FLOOR_SUFFIX = "층"
+
+
 def floor_name(level: Column) -> Column:
-    """M7: 3 -> 3F, -2 -> B2."""
-    return F.when(level < 0, F.format_string("B%d", -level)).otherwise(F.format_string("%dF", level))
+    """M7: -2 is B2; floors above ground have their number before FLOOR_SUFFIX, and level 0 is named like level 1."""
+    return F.when(level < 0, F.format_string("B%d", -level)).otherwise(F.format_string(f"%d{FLOOR_SUFFIX}", F.greatest(level, F.lit(1))))
 
 
 def point_or_null(x: Column, y: Column, z: Column) -> Column:

@@ -98,17 +98,27 @@ def curvature(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return out.select(*points.columns, "curvature")
 
 
+def around(points: DataFrame, radius: int, keys: Sequence[str]) -> DataFrame:
+    """points with `_n`, their group's size, and `_near`, the points up to `radius` before and behind, of which the first is `_low`."""
+    near = by(keys).rowsBetween(-radius, radius)
+    return points.withColumns({"_n": F.count("*").over(Window.partitionBy(*keys)), "_near": F.collect_list(F.struct(*AXES)).over(near)}).withColumn("_low", F.greatest(F.lit(0), F.col("seq") - radius))
+
+
 def smooth(points: DataFrame, sigma: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Gaussian kernel of radius int(4 sigma + 0.5), ends mirrored half a sample out; fewer than three points stay."""
+    """Gaussian kernel of radius int(4 sigma + 0.5), ends mirrored half a sample out; fewer than three points stay.
+
+    A mirrored place is never further off than the place it stands for, so one window of the kernel's width holds all.
+    """
     radius = int(4 * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    rows = points.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    kernel = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x / sum(weights)).alias("w")) for k, x in zip(range(-radius, radius + 1), weights)))
-    far = rows.select(*keys, "seq", "_n", F.explode(kernel).alias("_k")).withColumn("_m", F.pmod(F.col("seq") + F.col("_k.k"), 2 * F.col("_n")))
-    far = far.select(*keys, "seq", F.col("_k.w").alias("_w"), F.when(F.col("_m") < F.col("_n"), F.col("_m")).otherwise(2 * F.col("_n") - 1 - F.col("_m")).cast("long").alias("_at"))
-    source = points.select(*keys, F.col("seq").alias("_at"), *AXES)
-    sums = far.join(source, [*keys, "_at"]).groupBy(*keys, "seq").agg(*(F.sum(F.col(c) * F.col("_w")).alias(f"_{c}") for c in AXES))
-    return rows.join(sums, [*keys, "seq"]).withColumns({c: F.when(F.col("_n") < 3, F.col(c)).otherwise(F.col(f"_{c}")) for c in AXES}).select(*points.columns)
+    p = around(points, radius, keys)
+    places = []
+    for k in range(-radius, radius + 1):
+        m = F.pmod(F.col("seq") + k, 2 * F.col("_n"))
+        places.append((F.when(m < F.col("_n"), m).otherwise(2 * F.col("_n") - 1 - m) - F.col("_low")).cast("int"))
+    p = p.withColumn("_at", F.array(*places))
+    sums = {c: sum((F.col("_near")[F.col("_at")[k]][c] * (w / sum(weights)) for k, w in enumerate(weights)), F.lit(0.0)) for c in AXES}
+    return p.withColumns({c: F.when(F.col("_n") < 3, F.col(c)).otherwise(sums[c]) for c in AXES}).select(*points.columns)
 
 
 def smooth_pieces(points: DataFrame, sigma: float = 2.0, gap: float = 5.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -120,13 +130,17 @@ def smooth_pieces(points: DataFrame, sigma: float = 2.0, gap: float = 5.0, keys:
 def adaptive_smooth(points: DataFrame, base: float = 1.0, weight: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
     """The sharper the bend the narrower the kernel, cut off at 3 sigma and at the ends; under five points W4."""
     p = curvature(points, keys)
-    whole = Window.partitionBy(*keys)
-    top = F.max("curvature").over(whole)
+    top = F.max("curvature").over(Window.partitionBy(*keys))
     sigma = F.greatest(F.lit(0.5), F.lit(base) * (1 - F.lit(weight) * F.col("curvature") / F.when(top > 0, top).otherwise(1.0)))
-    p = p.withColumn("_s", sigma).withColumn("_n", F.count("*").over(whole))
-    far = p.select(*keys, "seq", "_s", F.explode(F.sequence(-F.floor(3 * F.col("_s")), F.floor(3 * F.col("_s")))).alias("_k"))
-    far = far.select(*keys, "seq", F.exp(-0.5 * (F.col("_k") / F.col("_s")) * (F.col("_k") / F.col("_s"))).alias("_w"), (F.col("seq") + F.col("_k")).alias("_at"))
-    source = points.select(*keys, F.col("seq").alias("_at"), *AXES)
-    sums = far.join(source, [*keys, "_at"]).groupBy(*keys, "seq").agg(*((F.sum(F.col(c) * F.col("_w")) / F.sum("_w")).alias(f"_{c}") for c in AXES))
+    p = p.withColumn("_s", sigma)
+    radius = int(3 * max(0.5, base))
+    p = around(p, radius, keys)
+    inside = [(F.abs(F.lit(k)) <= F.floor(3 * F.col("_s"))) & (F.col("seq") + k >= 0) & (F.col("seq") + k < F.col("_n")) for k in range(-radius, radius + 1)]
+    kernel = [F.when(ok, F.exp(-0.5 * (F.lit(float(k)) / F.col("_s")) * (F.lit(float(k)) / F.col("_s")))).otherwise(0.0) for k, ok in zip(range(-radius, radius + 1), inside)]
+    p = p.withColumn("_w", F.array(*kernel))
+    places = [(F.least(F.greatest(F.col("seq") + k, F.lit(0)), F.col("_n") - 1) - F.col("_low")).cast("int") for k in range(-radius, radius + 1)]
+    whole_weight = sum((F.col("_w")[k] for k in range(2 * radius + 1)), F.lit(0.0))
+    sums = {c: sum((F.col("_near")[at][c] * F.col("_w")[k] for k, at in enumerate(places)), F.lit(0.0)) / whole_weight for c in AXES}
     few = smooth(points, base, keys).select(*keys, "seq", *(F.col(c).alias(f"_{c}0") for c in AXES))
-    return p.join(sums, [*keys, "seq"]).join(few, [*keys, "seq"]).withColumns({c: F.when(F.col("_n") < 5, F.col(f"_{c}0")).otherwise(F.col(f"_{c}")) for c in AXES}).select(*points.columns)
+    p = p.select(*keys, "seq", "_n", *(c for c in points.columns if c not in (*keys, "seq", *AXES)), *(sums[c].alias(c) for c in AXES))
+    return p.join(few, [*keys, "seq"]).withColumns({c: F.when(F.col("_n") < 5, F.col(f"_{c}0")).otherwise(F.col(c)) for c in AXES}).select(*points.columns)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cleaning import by
+from .grouped import in_groups, pa_type
+from .keeping import kept
 
 SCAN = ["scan_id"]
 
@@ -80,7 +83,13 @@ def separate_floors(points: DataFrame, height: float = 3.0, least: int = 10) ->
     """V4: points off passages with floor_level 1..k by rising mean height; levels of under `least` points go."""
     rows = points.filter("NOT on_passage").select("scan_id", "seq", "x", "y", "z")
     schema = T.StructType([*rows.schema.fields, T.StructField("_level", T.IntegerType())])
-    leveled = rows.groupBy("scan_id").applyInPandas(lambda g: g.assign(_level=height_levels(g["z"].to_numpy(), height).astype("int32")), schema)
+    kind = pa_type(rows.schema["scan_id"].dataType)
+
+    def run(key: tuple, columns: list[np.ndarray]) -> list[pa.Array]:
+        level = height_levels(columns[3].astype(float), height).astype(np.int32)
+        return [pa.array([key[0]] * len(level), kind), *(pa.array(c) for c in columns), pa.array(level)]
+
+    leveled = kept(in_groups(rows, SCAN, "seq", run, schema))
     floors = leveled.groupBy("scan_id", "_level").agg(F.avg("z").alias("_z"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
     floors = floors.withColumn("floor_level", F.row_number().over(Window.partitionBy("scan_id").orderBy("_z", "_level")))
     return leveled.join(floors.select("scan_id", "_level", "floor_level"), ["scan_id", "_level"]).drop("_level")

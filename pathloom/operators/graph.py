@@ -8,11 +8,14 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle, distance, minus
 from .cleaning import by, here, shifted
+from .grouped import in_groups
+from .keeping import kept
 
 FLOOR = ("scan_id", "floor_level")
 NODE_SCHEMA = "scan_id long, floor_level int, original_index long, x double, y double, z double, type string, angle_change double, merged_count int"
@@ -31,24 +34,31 @@ def path_nodes(points: DataFrame, spacing: float = 1.0, near: float = 1.5) -> Da
     """Junctions merged around the first of each group, ends, and waypoints `spacing` from the last node."""
     rows = junction_turns(points).select(*FLOOR, "seq", "x", "y", "z", "turn", "junction")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("seq")
-        p, turn = g[["x", "y", "z"]].to_numpy(float), g["turn"].to_numpy(float)
-        left = np.flatnonzero(g["junction"].to_numpy(bool)).tolist()
+    def run(key: tuple, columns: list[np.ndarray]) -> list[pa.Array] | None:
+        p, turn = np.stack(columns[1:4], axis=1).astype(float), columns[4]
+        left = np.flatnonzero(columns[5].astype(bool)).tolist()
         seeds: dict[int, tuple[float, int]] = {}
         while left:
-            around = [j for j in left if j == left[0] or np.linalg.norm(p[j] - p[left[0]]) < near]
+            distances = np.linalg.norm(p[left] - p[left[0]], axis=1)
+            around = [j for k, j in enumerate(left) if k == 0 or distances[k] < near]
             seeds[left[0]] = (float(max(turn[j] for j in around)), len(around))
-            left = [j for j in left if j not in set(around)]
-        nodes, last = [], 0
-        for i in range(len(p) if len(p) > 1 else 0):
-            kind = "ENDPOINT" if i in (0, len(p) - 1) else "JUNCTION" if i in seeds else "WAYPOINT" if np.linalg.norm(p[i] - p[last]) >= spacing else None
+            gone = set(around)
+            left = [j for j in left if j not in gone]
+        places, kinds, last, end = [], [], 0, len(p) - 1
+        rows = p.tolist()
+        for i in range(len(rows) if end else 0):
+            kind = "ENDPOINT" if i in (0, end) else "JUNCTION" if i in seeds else "WAYPOINT" if math.dist(rows[i], rows[last]) >= spacing else None
             if kind:
-                nodes.append((group["scan_id"].iloc[0], group["floor_level"].iloc[0], i, *p[i], kind, *(seeds[i] if kind == "JUNCTION" else (None, None))))
+                places.append(i)
+                kinds.append(kind)
                 last = i
-        return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")]).astype({"merged_count": "Int32"})
+        if not places:
+            return None
+        merged = [seeds[i] if k == "JUNCTION" else (None, None) for i, k in zip(places, kinds)]
+        at = p[places]
+        return [pa.array([key[0]] * len(places), pa.int64()), pa.array([key[1]] * len(places), pa.int32()), pa.array(places, pa.int64()), *(pa.array(at[:, c]) for c in range(3)), pa.array(kinds), pa.array([m[0] for m in merged], pa.float64()), pa.array([m[1] for m in merged], pa.int32())]
 
-    nodes = rows.groupBy(*FLOOR).applyInPandas(run, NODE_SCHEMA)
+    nodes = in_groups(rows, FLOOR, "seq", run, NODE_SCHEMA)
     return nodes.withColumn("node_id", F.sha2(F.concat_ws(":", *FLOOR, "original_index"), 256))
 
 
@@ -66,14 +76,6 @@ def along(points: DataFrame) -> DataFrame:
     return p.select(*FLOOR, F.col("seq").alias("original_index"), F.sum("_d").over(by(FLOOR).rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and written to the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
     """For places (*keep, scan_id, floor_level, px, py, pz) the nearest node of their floor, the first of equals.
 
@@ -85,7 +87,7 @@ def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFr
         return F.forall(F.array(*names.split()), lambda v: F.coalesce(F.abs(v) < math.inf, F.lit(False)))
 
     span = [F.max(c) - F.min(c) for c in "xy"]
-    at = kept(nodes.select(*FLOOR, "node_id", "original_index", "x", "y", "z").filter(finite("x y z")))
+    at = nodes.select(*FLOOR, "node_id", "original_index", "x", "y", "z").filter(finite("x y z"))
     side = F.greatest(F.sqrt(span[0] * span[1] / F.count("*")), span[0] / F.count("*"), span[1] / F.count("*"))
     grid = at.groupBy(*FLOOR).agg(F.min("x").alias("_x"), F.min("y").alias("_y"), F.when(side > 1e-6, side).otherwise(1.0).alias("_side"))
     at = kept(at.join(grid, list(FLOOR)))
@@ -110,16 +112,18 @@ def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFr
 
 
 def vertical_edges(passages: DataFrame, nodes: DataFrame, points: DataFrame | None = None) -> DataFrame:
-    """An edge between the nodes nearest a passage's entry and exit. Passages carry none unless `points` (the scan's) are given to take them from."""
+    """An edge between the nodes nearest a passage's entry and exit, from a node to itself too where both are nearest to it.
+
+    Passages carry no entry and exit unless `points` (the scan's) are given to take them from.
+    """
     if points is None:
         return path_edges_empty(nodes)
     at = points.select("scan_id", F.col("seq"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     keep = ["scan_id", "start_idx", "z_displacement", "type"]
-    ends = []
-    for side, level, seq in (("from_node", "from_floor", F.col("start_idx")), ("to_node", "to_floor", F.col("end_idx") - 1)):
-        place = passages.withColumn("seq", seq).join(at, ["scan_id", "seq"]).withColumn("floor_level", F.col(level))
-        ends.append(nearest_node(place.select(*keep, "floor_level", "px", "py", "pz"), nodes, keep).select(*keep, F.col("node_id").alias(side)))
-    both = ends[0].join(ends[1], keep).filter("from_node <> to_node")
+    ends = [passages.withColumns({"seq": seq, "floor_level": F.col(level), "_to": F.lit(to)}) for to, level, seq in ((False, "from_floor", F.col("start_idx")), (True, "to_floor", F.col("end_idx") - 1))]
+    places = ends[0].unionByName(ends[1]).join(at, ["scan_id", "seq"]).select(*keep, "_to", "floor_level", "px", "py", "pz")
+    near = nearest_node(places, nodes, [*keep, "_to"])
+    both = near.groupBy(*keep).agg(*(F.max(F.when(F.col("_to") == to, F.col("node_id"))).alias(n) for to, n in ((False, "from_node"), (True, "to_node")))).filter("from_node IS NOT NULL AND to_node IS NOT NULL")
     return both.select("scan_id", F.lit(None).cast("int").alias("floor_level"), "from_node", "to_node", F.coalesce("z_displacement", F.lit(3.0)).alias("distance"), F.concat(F.lit("VERTICAL_"), "type").alias("edge_type"), F.lit(True).alias("bidirectional"))
 
 
@@ -146,8 +150,9 @@ ROUTE_SCHEMA = "scan_id long, request_id long, cost double, path array<string>,
 def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Cheapest paths by Dijkstra's method on M5's weights, one scan's graph a task.
 
-    requests: scan_id, request_id, floor_level, x, y, destination, preference. nodes may have poi_name. A request
-    without an answer gets GRAPH_NOT_BUILT, DESTINATION_NOT_FOUND or NO_PATH_AVAILABLE.
+    requests: scan_id, request_id, floor_level, x, y, destination, preference. nodes may have poi_name. A request without an
+    answer gets GRAPH_NOT_BUILT (no node on its floor), POI_NOT_FOUND (no destination asked for, or a scan without any named
+    place), DESTINATION_NOT_FOUND or NO_PATH_AVAILABLE.
     """
     named = nodes if "poi_name" in nodes.columns else nodes.withColumn("poi_name", F.lit(None).cast("string"))
     rows = named.select("scan_id", "node_id", F.lit(None).cast("string").alias("to_node"), "floor_level", "x", "y", "poi_name", F.lit(0.0).alias("distance"), F.lit(None).cast("string").alias("edge_type"), F.lit(True).alias("bidirectional"), "original_index")
@@ -166,7 +171,8 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
             on = points[points["floor_level"] == r.floor_level]
             goals = set(points.loc[points["poi_name"] == r.destination, "node_id"])
             if not len(on) or not goals:
-                out.append((r.scan_id, r.request_id, None, None, "GRAPH_NOT_BUILT" if not len(on) else "DESTINATION_NOT_FOUND"))
+                missing = r.destination is None or not points["poi_name"].notna().any()
+                out.append((r.scan_id, r.request_id, None, None, "GRAPH_NOT_BUILT" if not len(on) else "POI_NOT_FOUND" if missing else "DESTINATION_NOT_FOUND"))
                 continue
             start = on["node_id"].iloc[int(np.argmin(np.hypot(on["x"] - r.x, on["y"] - r.y)))]
             best, came, heap = {start: 0.0}, {}, [(0.0, start)]

@@ -6,40 +6,103 @@ Each takes and returns rows (*keys, seq, x, y, z), numbered anew.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from ..functions.geometry import AXES
 from .cleaning import KEYS
 
+Group = tuple[tuple, list[np.ndarray]]
+
+
+def in_groups(rows: DataFrame, keys: Sequence[str], order: str, run: Callable[[tuple, list[np.ndarray]], list[pa.Array] | None], schema: T.StructType | str) -> DataFrame:
+    """run(key, its rows' other columns as arrays, in the order) for each group, one after another in each task.
+
+    Rows are dealt by key and sorted, and stream by: a task holds one group at a time, and a small group costs no more than its rows.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    n = len(keys)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def answer() -> pa.RecordBatch | None:
+            columns = [np.concatenate([part[k] for part in held]) for k in range(len(others))]
+            got = run(at, columns)
+            return pa.RecordBatch.from_arrays(got, names=[f"c{k}" for k in range(len(got))]) if got is not None else None
+
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(n))))
+            values = [batch.column(n + k).to_numpy(zero_copy_only=False) for k in range(len(others))]
+            cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(names)]):
+                if a == b:
+                    continue
+                if held and names[a] != at:
+                    out = answer()
+                    if out is not None:
+                        yield out
+                    held = []
+                at = names[a]
+                held.append([v[a:b] for v in values])
+        if held:
+            out = answer()
+            if out is not None:
+                yield out
+
+    return rows.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(stream, schema)
+
 
 def per_group(points: DataFrame, keys: Sequence[str], f: Callable[[np.ndarray], np.ndarray | list[int]]) -> DataFrame:
     """f gets a group's points in order and returns the new points, or the places of those kept."""
-    rows = points.select(*keys, "seq", "x", "y", "z")
-    schema = rows.schema
+    rows = points.select(*keys, "seq", *AXES)
+    schema = T.StructType([*(points.schema[k] for k in keys), T.StructField("seq", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in AXES)])
+    kinds = [pa_type(schema[k].dataType) for k in keys]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        p = group.sort_values("seq")[["x", "y", "z"]].to_numpy(float)
+    def run(key: tuple, columns: list[np.ndarray]) -> list[pa.Array]:
+        p = np.stack(columns[1:], axis=1).astype(float)
         got = f(p)
         out = p[got] if isinstance(got, list) else got
-        frame = pd.DataFrame(out, columns=["x", "y", "z"])
-        for k in keys:
-            frame[k] = group[k].iloc[0]
-        frame["seq"] = np.arange(len(out))
-        return frame[[c.name for c in schema]]
+        return [*(pa.array([k] * len(out), kind) for k, kind in zip(key, kinds)), pa.array(np.arange(len(out), dtype=np.int64)), *(pa.array(out[:, c], pa.float64()) for c in range(3))]
+
+    return in_groups(rows, keys, "seq", run, schema)
 
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+def pa_type(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
 
 
 def kept_apart(p: np.ndarray, radius: float) -> list[int]:
-    """In order, a point that is still there removes all later ones within the radius; all stay if under two would."""
-    alive = np.ones(len(p), bool)
-    for i in range(len(p)):
-        if alive[i]:
-            alive[i + 1 :] &= np.linalg.norm(p[i + 1 :] - p[i], axis=1) > radius
-    keep = np.flatnonzero(alive).tolist()
+    """In order, a point that is still there removes all later ones within the radius; all stay if under two would.
+
+    A point meets those kept in its own cell of a grid of the radius' width and in the 26 around it; cells hold few, as kept
+    points are further apart than the radius. A point that is not finite meets nothing and stays.
+    """
+    if radius <= 0 or not np.isfinite(p).all():
+        cells = np.zeros((len(p), 3), np.int64)
+    else:
+        cells = np.floor(p / radius).astype(np.int64)
+    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)] if cells.any() else [(0, 0, 0)]
+    grid: defaultdict[tuple[int, int, int], list[list[float]]] = defaultdict(list)
+    keep, limit = [], radius
+    rows = p.tolist()
+    for i, (cell, (x, y, z)) in enumerate(zip(map(tuple, cells.tolist()), rows)):
+        free = True
+        for a, b, c in around:
+            near = grid.get((cell[0] + a, cell[1] + b, cell[2] + c))
+            if near and any(math.sqrt((q[0] - x) ** 2 + (q[1] - y) ** 2 + (q[2] - z) ** 2) <= limit for q in near):
+                free = False
+                break
+        if free:
+            keep.append(i)
+            grid[cell].append(rows[i])
     return keep if len(keep) >= 2 else list(range(len(p)))
 
 
@@ -93,10 +156,11 @@ def fit_line(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return p.mean(axis=0), vectors[:, -1], float(values[-1] / values.sum()) if values.sum() > 1e-10 else 1.0
 
 
-def projected(p: np.ndarray) -> np.ndarray:
-    """F2 on F1's line, in order."""
+def projected(p: np.ndarray, in_order: bool = True) -> np.ndarray:
+    """F2 on F1's line, in the walk's order or in that along the line."""
     center, direction, _ = fit_line(p)
-    return center + np.outer((p - center) @ direction, direction)
+    along = (p - center) @ direction
+    return center + np.outer(along if in_order else np.sort(along), direction)
 
 
 def between(a: np.ndarray, b: np.ndarray) -> float:
@@ -190,24 +254,49 @@ def snapped(p: np.ndarray, epsilon: float = 0.5, spacing: float = 0.5, gap: floa
     return np.concatenate(parts) if parts else p[:0]
 
 
+def blurred(p: np.ndarray, sigma: float = 2.0) -> np.ndarray:
+    """W4 on one walk: ends mirrored half a sample out; fewer than three points stay."""
+    if len(p) < 3:
+        return p.copy()
+    radius = int(4 * sigma + 0.5)
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    at = np.arange(-radius, len(p) + radius) % (2 * len(p))
+    wide = p[np.where(at < len(p), at, 2 * len(p) - 1 - at)]
+    return np.stack([np.convolve(wide[:, c], weights / weights.sum(), mode="valid") for c in range(3)], axis=1)
+
+
 def spline(p: np.ndarray, points: int | None = None) -> np.ndarray:
-    """W7 without smoothing: a cubic through all points over chord length, not-a-knot at the ends."""
+    """W7 without smoothing: a cubic through all points over chord length, not-a-knot at the ends.
+
+    Under four points, or where two neighbours coincide, W4. The second derivatives solve a system of three diagonals.
+    """
     step = np.linalg.norm(np.diff(p, axis=0), axis=1)
-    if len(p) < 4 or (step < 1e-12).any():
-        return p.copy()
+    if len(p) < 4 or not (step >= 1e-12).all():
+        return blurred(p)
     u = np.concatenate(([0], np.cumsum(step))) / step.sum()
     h, n = np.diff(u), len(p)
-    a, r = np.zeros((n, n)), np.zeros((n, 3))
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 6 * ((p[i + 1] - p[i]) / h[i] - (p[i] - p[i - 1]) / h[i - 1])
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    m = np.linalg.solve(a, r)
+    slope = np.diff(p, axis=0) / h[:, None]
+    r = 6 * np.diff(slope, axis=0)
+    low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    # the ends' unknowns follow from their neighbours'
+    mid[0] += h[0] * (h[0] + h[1]) / h[1]
+    up[0] -= h[0] ** 2 / h[1]
+    mid[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+    low[-1] -= h[-1] ** 2 / h[-2]
+    for i in range(1, n - 2):
+        w = low[i] / mid[i - 1]
+        mid[i] -= w * up[i - 1]
+        r[i] -= w * r[i - 1]
+    m = np.zeros((n, 3))
+    m[n - 2] = r[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        m[i + 1] = (r[i] - up[i] * m[i + 2]) / mid[i]
+    m[0] = ((h[0] + h[1]) * m[1] - h[0] * m[2]) / h[1]
+    m[-1] = ((h[-2] + h[-1]) * m[-2] - h[-1] * m[-3]) / h[-2]
     at = np.linspace(0, 1, points or n)
     k = np.clip(np.searchsorted(u, at, side="right") - 1, 0, n - 2)
     s, hk = (at - u[k])[:, None], h[k][:, None]
-    return p[k] + s * ((p[k + 1] - p[k]) / hk - hk * (2 * m[k] + m[k + 1]) / 6) + s**2 * m[k] / 2 + s**3 * (m[k + 1] - m[k]) / (6 * hk)
+    return p[k] + s * (slope[k] - hk * (2 * m[k] + m[k + 1]) / 6) + s**2 * m[k] / 2 + s**3 * (m[k + 1] - m[k]) / (6 * hk)
 
 
 def deduplicate(points: DataFrame, radius: float = 0.3, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -230,16 +319,20 @@ def straighten(points: DataFrame, keys: Sequence[str] = KEYS, **options: float)
     return per_group(points, keys, lambda p: straightened(p, **options))
 
 
-def line_fit(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Explained share, straightness, and mean, largest and population sd of the distance from the line; 1 and zeros under three points."""
-    from pyspark.sql import types as T
+def line_fit(points: DataFrame, keys: Sequence[str] = KEYS, distances: bool = False) -> DataFrame:
+    """Explained share, straightness, and mean, largest and population sd of the distance from the line; 1 and zeros under three points.
 
+    With distances also each point's, in order; null under three points.
+    """
     names = ["explained", "mean_deviation", "max_deviation", "std_deviation"]
-    schema = T.StructType([points.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
+    schema = T.StructType([points.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names] + [T.StructField("distances", T.ArrayType(T.DoubleType()))] * distances)
+    kinds = [pa_type(points.schema[k].dataType) for k in keys]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        p = group.sort_values("seq")[["x", "y", "z"]].to_numpy(float)
-        d = np.linalg.norm(projected(p) - p, axis=1) if len(p) > 2 else np.zeros(1)
-        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), fit_line(p)[2] if len(p) > 2 else 1.0, d.mean(), d.max(), d.std()]], columns=[*keys, *names])
+    def run(key: tuple, columns: list[np.ndarray]) -> list[pa.Array]:
+        p = np.stack(columns[1:], axis=1).astype(float)
+        many = len(p) > 2
+        d = np.linalg.norm(projected(p) - p, axis=1) if many else np.zeros(1)
+        found = [pa.array([float(v)]) for v in (fit_line(p)[2] if many else 1.0, d.mean(), d.max(), d.std())]
+        return [*(pa.array([k], kind) for k, kind in zip(key, kinds)), *found, *([pa.array([d.tolist() if many else None], pa.list_(pa.float64()))] if distances else [])]
 
-    return points.groupBy(*keys).applyInPandas(run, schema)
+    return in_groups(points.select(*keys, "seq", *AXES), keys, "seq", run, schema)

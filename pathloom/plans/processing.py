@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,26 +11,48 @@ from ..functions.geometry import distance, floor_name
 from ..operators import cleaning, floors, graph, grouped
 from ..operators.cleaning import by, here, shifted
 from ..operators.graph import FLOOR
+from ..operators.keeping import kept
 
 
-class Processed(NamedTuple):
-    passages: DataFrame
-    paths: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
+class Processed:
+    """The process's tables, each computed when first asked for, once, and then read by all that follow."""
+
+    def __init__(self, points: DataFrame, derive_endpoints: bool = False):
+        self.points, self.derive_endpoints = kept(points.select("scan_id", "seq", "x", "y", "z")), derive_endpoints
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        return kept(floors.passage_runs(self.points))
+
+    @cached_property
+    def leveled(self) -> DataFrame:
+        return kept(floors.separate_floors(floors.stair_mask(self.points, self.runs)))
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        return kept(floors.assign_floors(floors.merged_runs(self.runs, self.points), floors.floor_summary(self.leveled)))
+
+    @cached_property
+    def paths(self) -> DataFrame:
+        clean = cleaning.remove_outliers(cleaning.renumbered(self.leveled, FLOOR), keys=FLOOR)
+        return kept(grouped.per_group(clean, FLOOR, lambda p: grouped.snapped(apart(p))))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return kept(graph.path_nodes(self.paths))
+
+    @cached_property
+    def vertical(self) -> DataFrame:
+        return graph.vertical_edges(self.passages, self.nodes, self.points) if self.derive_endpoints else graph.vertical_edges(self.passages, self.nodes)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return graph.path_edges(self.paths, self.nodes).unionByName(self.vertical)
 
 
 def process(points: DataFrame, derive_endpoints: bool = False) -> Processed:
     """Passages, floors, cleaning (W1, D2 at 1.0, D1 at 0.5), F9 and the graph. With derive_endpoints floors get joined."""
-    points = points.select("scan_id", "seq", "x", "y", "z")
-    runs = floors.passage_runs(points)
-    leveled = floors.separate_floors(floors.stair_mask(points, runs))
-    passages = floors.assign_floors(floors.merged_runs(runs, points), floors.floor_summary(leveled))
-    clean = cleaning.remove_outliers(cleaning.renumbered(leveled, FLOOR), keys=FLOOR)
-    paths = grouped.per_group(clean, FLOOR, lambda p: grouped.snapped(apart(p)))
-    nodes = graph.path_nodes(paths)
-    edges = graph.path_edges(paths, nodes).unionByName(graph.vertical_edges(passages, nodes, points if derive_endpoints else None))
-    return Processed(passages, paths, nodes, edges)
+    return Processed(points, derive_endpoints)
 
 
 def apart(p):
@@ -55,8 +77,28 @@ def results(done: Processed) -> DataFrame:
     return f.join(v, "scan_id", "left").join(graph.graph_stats(done.nodes, done.edges).select("scan_id", "total_nodes", "total_edges"), "scan_id", "left")
 
 
-def jobs(points: DataFrame, done: Processed) -> DataFrame:
-    """One row for each scan: COMPLETED, or FAILED with the reason if no path came out of it."""
-    paths = done.paths.select("scan_id").distinct().withColumn("_ok", F.lit(True))
-    ok = F.coalesce("_ok", F.lit(False))
-    return points.select("scan_id").distinct().join(paths, "scan_id", "left").select("scan_id", F.when(ok, "COMPLETED").otherwise("FAILED").alias("status"), F.when(ok, 100).otherwise(0).alias("progress"), F.when(~ok, "no path is left after cleaning").alias("error"))
+#: A job's progress when a stage has ended.
+STAGES = (("points", 5), ("runs", 20), ("leveled", 40), ("paths", 70), ("nodes", 95))
+
+
+def jobs(points: DataFrame, done: Processed | None = None, reached: str | None = None, submitted: DataFrame | None = None) -> DataFrame:
+    """One row for each scan submitted (by default those with points): status, progress and error.
+
+    A scan is PENDING (0) without points while the work goes on, PROCESSING with the progress of the stage `reached` if one is
+    named, and in the end COMPLETED (100), or FAILED with the reason if no path came out of it, at the progress of the last stage that
+    gave it rows.
+    """
+    scans = (submitted if submitted is not None else points).select("scan_id").distinct()
+    if reached is not None:
+        known = points.select("scan_id").distinct().withColumn("_known", F.lit(True))
+        started = F.coalesce("_known", F.lit(False))
+        return scans.join(known, "scan_id", "left").select("scan_id", F.when(started, "PROCESSING").otherwise("PENDING").alias("status"), F.when(started, dict(STAGES)[reached]).otherwise(0).alias("progress"), F.lit(None).cast("string").alias("error"))
+    if done is None:
+        return scans.select("scan_id", F.lit("PENDING").alias("status"), F.lit(0).alias("progress"), F.lit(None).cast("string").alias("error"))
+    best = F.lit(0)
+    for name, share in STAGES:
+        found = getattr(done, name).select("scan_id").distinct().withColumn(f"_{name}", F.lit(share))
+        scans = scans.join(found, "scan_id", "left")
+        best = F.greatest(best, F.coalesce(f"_{name}", F.lit(0)))
+    ok = F.col("_paths").isNotNull()
+    return scans.select("scan_id", F.when(ok, "COMPLETED").otherwise("FAILED").alias("status"), F.when(ok, 100).otherwise(best).alias("progress"), F.when(~ok, "no path is left after cleaning").alias("error"))

@@ -96,9 +96,9 @@ CLIMB = f"{WALKS}, a AS (SELECT *, z - lag(z) OVER w AS dz, lead(z, 10) OVER w -
 query("v1_climbing", f"{CLIMB} SELECT scan_id, seq FROM c WHERE marked = 1")(lambda s, d: floors.climbing(walks(s, d)).filter("marked").select("scan_id", "seq"))
 query("v2_passage_runs", f"{CLIMB}, r AS (SELECT *, seq - row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS run FROM c WHERE marked = 1), q AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS way FROM r WINDOW w AS (PARTITION BY scan_id, run ORDER BY seq)), t AS (SELECT scan_id, min(seq) AS start_idx, max(seq) + 1 AS end_idx, arg_min(z, seq) AS z1, arg_max(z, seq) AS z2, coalesce(sum(way), 0) AS xy FROM q GROUP BY scan_id, run) SELECT scan_id, start_idx, end_idx, round(abs(z2 - z1), 6) AS z_displacement, round(xy / abs(z2 - z1), 6) AS xy_z_ratio, CASE WHEN xy / abs(z2 - z1) < 1 THEN 'ELEVATOR' ELSE 'STAIRCASE' END AS type, CASE WHEN z2 > z1 THEN 'UP' ELSE 'DOWN' END AS direction FROM t WHERE abs(z2 - z1) >= 1.5 AND end_idx - start_idx >= 5")(lambda s, d: rounded(floors.passage_runs(walks(s, d)).drop("z_start", "z_end")))
 query("v3_merged_runs")(lambda s, d: rounded(floors.merged_runs(floors.passage_runs(walks(s, d)), walks(s, d))))
-query("v4_v5_v6_floors")(lambda s, d: rounded(floors.floor_summary(floors.separate_floors(floors.stair_mask(walks(s, d), floors.passage_runs(walks(s, d)))))))
+query("v4_v5_v6_floors")(lambda s, d: rounded(floors.floor_summary(processing.process(walks(s, d)).leveled)))
 query("v7_v8_passages")(lambda s, d: rounded(floors.detect_passages(walks(s, d))))
-query("v9_passage_stats")(lambda s, d: rounded(floors.passage_stats(floors.detect_passages(walks(s, d)))))
+query("v9_passage_stats")(lambda s, d: rounded(floors.passage_stats(processing.process(walks(s, d)).passages)))
 query("g2_g3_path_nodes")(lambda s, d: rounded(processing.process(walks(s, d)).nodes))
 query("g4_g5_g6_path_edges")(lambda s, d: rounded(processing.process(walks(s, d)).edges))
 
@@ -122,7 +122,7 @@ def g12(spark: SparkSession, d: str) -> DataFrame:
     last = done.nodes.groupBy("scan_id").agg(F.max_by("node_id", F.struct("floor_level", "original_index")).alias("node_id"))
     nodes = done.nodes.join(last.withColumn("poi_name", F.lit("Goal")), ["scan_id", "node_id"], "left")
     wishes = F.explode(F.array(*map(F.lit, ("SHORTEST", "ELEVATOR_FIRST", "STAIRCASE_FIRST"))))
-    first = walks(spark, d).filter("seq = 0").select("scan_id", F.lit(1).alias("floor_level"), "x", "y", F.lit("Goal").alias("destination"), wishes.alias("preference"))
+    first = done.points.filter("seq = 0").select("scan_id", F.lit(1).alias("floor_level"), "x", "y", F.lit("Goal").alias("destination"), wishes.alias("preference"))
     asked = first.withColumn("request_id", F.row_number().over(Window.partitionBy("scan_id").orderBy("preference")).cast("long"))
     return rounded(graph.routes(asked, nodes, done.edges).withColumn("n_nodes", F.size("path")).drop("path"))
 
@@ -158,8 +158,9 @@ query("r12_buildings_by_status", "SELECT n_nationkey, n_name, count(c_custkey) A
 
 @query("r13_snap_poi")
 def r13(spark: SparkSession, d: str) -> DataFrame:
-    nodes = processing.process(walks(spark, d)).nodes
-    places = walks(spark, d).select("scan_id", "seq", F.lit(1).alias("floor_level"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+    done = processing.process(walks(spark, d))
+    nodes = done.nodes
+    places = done.points.select("scan_id", "seq", F.lit(1).alias("floor_level"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     return rounded(graph.nearest_node(places, nodes, ["scan_id", "seq"]))
 
 
