@@ -67,6 +67,20 @@ def with_levels(passages: DataFrame, floors: DataFrame) -> DataFrame:
     return passages
 
 
+def answered(asked: DataFrame, rows: DataFrame, keys: Sequence[str], code: str) -> DataFrame:
+    """Each request with the row of its keys and `error`: null, or the code where there is no such row (R1 to R12's look-ups, R17's changes)."""
+    found = rows.withColumn("_found", F.lit(True))
+    return asked.join(found, list(keys), "left").withColumn("error", F.when(F.col("_found").isNull(), F.lit(code))).drop("_found")
+
+
+def building_detail(buildings: DataFrame, floors: DataFrame, passages: DataFrame, key: str, level: str, passage: str) -> DataFrame:
+    """Each building with its floors' levels and its passages' ids, both in order; empty lists where it has none."""
+    for rows, column, name in ((floors, level, "floors"), (passages, passage, "passages")):
+        lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(column)).alias(name))
+        buildings = buildings.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    return buildings
+
+
 def only(rows: DataFrame, code: str) -> DataFrame:
     """rows, or CatalogError(code) if there are none."""
     if not rows.limit(1).count():

@@ -77,6 +77,11 @@ def results(done: Processed) -> DataFrame:
     return f.join(v, "scan_id", "left").join(graph.graph_stats(done.nodes, done.edges).select("scan_id", "total_nodes", "total_edges"), "scan_id", "left")
 
 
+def write_results(done: Processed, path: str) -> None:
+    """The results as JSON lines, dealt by scan."""
+    results(done).write.mode("overwrite").json(path)
+
+
 #: A job's progress when a stage has ended.
 STAGES = (("points", 5), ("runs", 20), ("leveled", 40), ("paths", 70), ("nodes", 95))
 

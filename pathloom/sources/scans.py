@@ -58,21 +58,38 @@ def decoded_pose(pose: pd.Series) -> pd.Series:
     return pose.map(lambda b: None if b is None or len(b) != 48 else np.frombuffer(b, "<f4").astype(float))
 
 
+@F.pandas_udf(T.BinaryType())
+def encoded_pose(matrix: pd.Series) -> pd.Series:
+    """The other way round: twelve numbers as little-endian 32-bit floats."""
+    return matrix.map(lambda m: None if m is None else np.asarray(m, "<f4").tobytes())
+
+
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The .db files of a folder with their sizes."""
+    """The .db files of a folder with their sizes, and a name of its own for each to be stored under."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.db").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", F.round(F.col("length") / (1024 * 1024), 2).alias("size_mb"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path", F.concat(F.substring(F.sha2("path", 256), 1, 32), F.lit(".db")).alias("stored_name"), F.round(F.col("length") / (1024 * 1024), 2).alias("size_mb"))
+
+
+#: The tolerance of older readers (S6) for a position at the origin.
+OLD_TOLERANCE = 1e-8
+
 
+def trajectory(nodes: DataFrame, tolerance: float = 1e-6, any_length: bool = False) -> DataFrame:
+    """scan_id, node_id, seq, x, y, z of nodes with a pose of 48 bytes at a valid position.
 
-def trajectory(nodes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """scan_id, node_id, seq, x, y, z of nodes with a pose of 48 bytes at a valid position."""
+    S6: with any_length a pose of another length that is not empty is no node to leave out but an error, as in readers
+    that don't look at the length; OLD_TOLERANCE is theirs.
+    """
+    if any_length:
+        wrong = F.raise_error(F.concat(F.lit("pose of "), F.length("pose").cast("string"), F.lit(" bytes"))).cast("binary")
+        nodes = nodes.withColumn("pose", F.when(F.length("pose").isin(0, 48), F.col("pose")).when(F.length("pose").isNotNull(), wrong))
     poses = nodes.filter(F.length("pose") == 48).withColumn("m", decoded_pose("pose"))
     points = poses.select("scan_id", "node_id", *(F.element_at("m", k).alias(c) for c, k in zip("xyz", (4, 8, 12))))
     valid = points.filter(valid_position(F.col("x"), F.col("y"), F.col("z"), tolerance))
     return valid.withColumn("seq", (F.row_number().over(Window.partitionBy("scan_id").orderBy("node_id")) - 1).cast("long"))
 
 
-def rotation(matrix: str = "m") -> Column:
+def rotation(matrix: str | Column = "m") -> Column:
     """The first three columns of the matrix, row by row."""
     return F.concat(*(F.slice(matrix, k, 3) for k in (1, 5, 9)))
 
