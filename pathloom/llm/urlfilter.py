@@ -2,15 +2,20 @@
 
 Two variable-order Markov models over the characters of host and path, one for accepted and one for rejected URLs,
 smoothed by interpolation (Witten-Bell): P_k(c|ctx) = (n(ctx,c) + t(ctx) P_{k-1}(c|shorter ctx)) / (n(ctx) + t(ctx)),
-where t is the number of different characters seen after ctx; an unseen context falls back to the shorter one.
-The score is the difference of log-likelihoods per character; the threshold is the quantile of the accepted URLs' scores
-on rows kept out of training. All of it is DataFrame code: no Python runs on executors.
-
-Training rows: a URL is rejected if its host or path has a word of `reject_words` between separators, otherwise accepted.
-The counts are taken over all rows that are not kept out for calibration.
-
-Defined cases: a null URL or one without "://" has empty host and path, no rule, and is judged by a score of 0 (allow);
-repeated URLs are judged alike; an empty table gives an empty result.
+where t is the number of different characters seen after ctx. Contexts grow to ORDER characters where counts support it: a
+context longer than SHORT that was seen under SUPPORT times in both models together, or not at all, falls back to the shorter one.
+The score is the difference of log-likelihoods per character. All of it is DataFrame code: no Python runs on executors.
+
+Rejected training rows are those that something else rejects: a table of labelled URLs if one is given, else a rule or one of
+`reject_words` between separators. All others count as accepted, most of them rightly.
+Every row is counted, but for those of one host in `calibration` (by checksum), from which the threshold comes: the
+score that all but `false_rejects` of the accepted keep below; where all but `missed` of the rejected lie above that,
+the middle of the two.
+
+Defined cases: a null URL or one without "://" has empty host and path, no rule, and is judged by a score of 0 (allow); URLs
+of any length are read whole; repeated URLs are judged alike; of rules of one length the first in order of verdict and name wins, a
+label in the table goes before rules and words, rejection before acceptance where labels differ; other columns are
+ignored, whatever their names; without labels of both kinds all scores are 0 and nothing is rejected; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from .common import broadcast_if_small, cut, table
 #: (verdict, domain, path prefix); the longest that fits wins.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 REJECT_WORDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "farm", "free", "pills", "porn", "spam", "track", "win", "xxx")
-ORDER = 3
-#: Characters outside this set count as one, so there are at most 42^4 different windows.
+ORDER, SHORT, SUPPORT = 6, 3, 4
+#: Characters outside this set count as one; runs of digits count as one 0.
 KNOWN = "a-z0-9./-"
 
 
@@ -65,36 +70,53 @@ def log_ratios(train: DataFrame, wanted: DataFrame) -> DataFrame:
         tail = grams.select(F.expr(f"right(window, {k + 1})").alias(f"g{k}"), "n0", "n1").groupBy(f"g{k}").agg(F.sum("n0").alias(f"n0_{k}"), F.sum("n1").alias(f"n1_{k}"))
         contexts = tail.groupBy(F.expr(f"left(g{k}, {k})").alias(f"c{k}")).agg(*(e for c in (0, 1) for e in (F.sum(f"n{c}_{k}").alias(f"s{c}_{k}"), F.sum((F.col(f"n{c}_{k}") > 0).cast("long")).alias(f"t{c}_{k}"))))
         out = out.withColumn(f"g{k}", F.expr(f"right(window, {k + 1})")).withColumn(f"c{k}", F.expr(f"left(g{k}, {k})")).join(tail, f"g{k}", "left").join(contexts, f"c{k}", "left")
+        enough = F.coalesce(F.col(f"s0_{k}") + F.col(f"s1_{k}"), F.lit(0)) >= (SUPPORT if k > SHORT else 1)
         for c in (0, 1):
             n, s, t = (F.coalesce(f"{x}{c}_{k}", F.lit(0)) for x in "nst")
-            out = out.withColumn(f"p{c}_{k}", F.when(s > 0, (n + t * probs[c]) / (s + t)).otherwise(probs[c]))
+            out = out.withColumn(f"p{c}_{k}", F.when(enough & (s > 0), (n + t * probs[c]) / (s + t)).otherwise(probs[c]))
             probs[c] = F.col(f"p{c}_{k}")
+        out = out.select("window", f"p0_{k}", f"p1_{k}")
     return out.select("window", (F.log(probs[1]) - F.log(probs[0])).alias("ratio"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject_words: Sequence[str] = REJECT_WORDS, id_col: str = "page_id", url_col: str = "url", calibration: int = 5, false_rejects: float = 0.005) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject_words: Sequence[str] = REJECT_WORDS, id_col: str = "page_id", url_col: str = "url",
+    labelled: DataFrame | None = None, calibration: int = 5, false_rejects: float = 0.005, missed: float = 0.05,
+) -> DataFrame:
     """One row for each row of pages: id, host, path, rule, verdict, score and threshold.
 
-    One row in `calibration` (by checksum of the URL) is kept out of training; the threshold lets `false_rejects`
-    of the accepted ones among these through to rejection, and is never below 0.
+    labelled: (url, bad) rows, by which equal URLs of pages are labelled.
     """
     host, path = url_parts(F.col("_url"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     shape = F.regexp_replace(F.regexp_replace(F.lower(F.concat("host", "path")), "[0-9]+", "0"), f"[^{KNOWN}]", "_")
-    word = "(^|[^a-z])(" + "|".join(sorted(reject_words)) + ")([^a-z]|$)"
-    rows = cut(rows.withColumn("shape", shape).withColumn("bad", F.rlike(F.lower(F.concat("host", "path")), F.lit(word))).withColumn("held", F.crc32(F.coalesce("_url", F.lit(""))) % calibration == 0))
-    each = rows.filter("shape <> ''").select("shape", "bad", "held").groupBy("shape").agg(F.first("bad").alias("bad"))
+    word = "(^|[^a-z])(" + "|".join(sorted(reject_words)) + ")([^a-z]|$)" if reject_words else "(?!)"
+    name, verdict = matched_rule(rules)
+    rows = rows.withColumns({"shape": shape, "rule": name, "_v": verdict, "held": F.crc32("host") % calibration == 0})
+    if labelled is not None:
+        known = labelled.select(F.col(labelled.columns[0]).alias("_u"), F.col(labelled.columns[1]).alias("_b")).groupBy("_u").agg(F.max("_b").alias("_b"))
+        rows = rows.join(known, F.col("_url") == F.col("_u"), "left").drop("_u")
+    else:
+        rows = rows.withColumn("_b", F.lit(None).cast("boolean"))
+    rows = cut(rows.withColumn("bad", F.coalesce(F.col("_b"), F.rlike(F.lower(F.concat("host", "path")), F.lit(word)) | F.coalesce(F.col("_v") == "block", F.lit(False)))).drop("_b"))
+    each = rows.filter("shape <> ''").select("shape").distinct()
     seen = windows(rows.filter("shape <> '' AND NOT held"), "bad")
     wanted = windows(each).distinct()
     ratios = broadcast_if_small(cut(log_ratios(seen, wanted)))
     # scores of distinct shapes; a shape's windows are summed before they are shuffled
     scores = cut(windows(each, "shape").join(ratios, "window").groupBy("shape").agg((F.sum("ratio") / F.count("*")).alias("score")))
     scored = rows.join(scores, "shape", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    limit = scored.filter("held AND NOT bad AND shape <> ''").agg(F.expr(f"percentile_approx(score, {1 - false_rejects}, 10000)").alias("t")).select(F.greatest(F.coalesce("t", F.lit(0.0)), F.lit(0.0)).alias("threshold"))
-    threshold = limit.first()[0]
-    name, verdict = matched_rule(rules)
-    ruled = scored.withColumn("rule", name).withColumn("_v", verdict)
-    return ruled.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_v", F.when(F.col("score") > threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "score", F.lit(threshold).alias("threshold"))
+    both = scored.filter("shape <> ''").agg(
+        F.expr(f"percentile_approx(score, {1 - false_rejects}, 10000) FILTER (WHERE held AND NOT bad)").alias("kept"), F.expr(f"percentile_approx(score, {missed}, 10000) FILTER (WHERE held AND bad)").alias("lost"),
+        F.expr("count(*) FILTER (WHERE NOT held AND bad)").alias("n1"), F.expr("count(*) FILTER (WHERE NOT held AND NOT bad)").alias("n0"),
+    ).first()
+    threshold = 0.0
+    if not both.n1 or not both.n0:
+        scored, threshold = scored.withColumn("score", F.lit(0.0)), 0.0
+    elif both.kept is not None:
+        threshold = (both.kept + both.lost) / 2 if both.lost is not None and both.lost > both.kept else both.kept
+    found = F.coalesce("_v", F.when((F.col("score") > threshold) & (F.col("shape") != ""), F.lit("block")).otherwise(F.lit("allow")))
+    return scored.select(F.col("_id").alias(id_col), "host", "path", "rule", found.alias("verdict"), "score", F.lit(float(threshold)).alias("threshold"))
 
 
 def op3_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:

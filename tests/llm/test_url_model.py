@@ -1,0 +1,78 @@
+"""The URL model against the same model in plain Python, and on hosts that no list names."""
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from math import log
+
+import pytest
+
+from pathloom.llm import urlfilter
+
+RNG = random.Random(8)
+
+
+def shape_of(url):
+    host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url).groups()
+    return re.sub(r"[^a-z0-9./-]", "_", re.sub(r"[0-9]+", "0", (host + path).lower())), host
+
+
+def plain_scores(rows):
+    """rows: (url, bad). score of each url by counting every context of every length afresh."""
+    counts = [[defaultdict(Counter) for _ in range(urlfilter.ORDER + 1)] for _ in (0, 1)]
+    pad = "^" * urlfilter.ORDER
+    for url, bad in rows:
+        shape, host = shape_of(url)
+        if zlib.crc32(host.encode()) % 5 == 0:
+            continue
+        p = f"{pad}{shape}$"
+        for i in range(urlfilter.ORDER, len(p)):
+            for k in range(urlfilter.ORDER + 1):
+                counts[bad][k][p[i - k : i]][p[i]] += 1
+
+    def chance(c, context, char):
+        out = 1 / 42
+        for k in range(urlfilter.ORDER + 1):
+            short = context[len(context) - k :]
+            seen = [counts[x][k][short] for x in (0, 1)]
+            total = sum(seen[c].values())
+            if total and (k <= urlfilter.SHORT or sum(map(sum, (s.values() for s in seen))) >= urlfilter.SUPPORT):
+                out = (seen[c][char] + len(seen[c]) * out) / (total + len(seen[c]))
+        return out
+
+    out = {}
+    for url, _ in rows:
+        p = pad + shape_of(url)[0] + "$"
+        steps = [log(chance(1, p[i - urlfilter.ORDER : i], p[i])) - log(chance(0, p[i - urlfilter.ORDER : i], p[i])) for i in range(urlfilter.ORDER, len(p))]
+        out[url] = sum(steps) / len(steps)
+    return out
+
+
+def urls_of(names, n):
+    return [f"http://{RNG.choice(names)}{RNG.randrange(30)}.example.net/{RNG.choice(['story', 'blog', 'x'])}/{RNG.randrange(900)}" for _ in range(n)]
+
+
+def test_scores_equal_the_plain_model(spark):
+    good, bad = urls_of(["news", "garden", "river"], 150), urls_of(["cheap-pills", "casino-win", "garden-spam"], 100)
+    rows = [(u, 0) for u in good] + [(u, 1) for u in bad]
+    frame = spark.createDataFrame([(i, u, "t", 0.5) for i, (u, _) in enumerate(rows)], "page_id long, url string, shape string, score double")
+    got = {r.page_id: r.score for r in urlfilter.judge_urls(frame).collect()}
+    expected = plain_scores(rows)
+    assert all(got[i] == pytest.approx(expected[u], abs=1e-9) for i, (u, _) in enumerate(rows)) and min(got.values()) < 0 < max(got.values())
+
+
+def test_hosts_that_no_list_names(spark):
+    good, listed = urls_of(["news", "garden", "river", "mountain"], 400), urls_of(["superloans-now", "quickloans-now", "loans-now-best"], 300)
+    unlisted = [f"http://bestloans-now{i}.example.net/x/{i}" for i in range(40)]
+    fresh = [f"http://gardenriver{i}.example.net/story/{i}" for i in range(40)]
+    urls = good + listed + unlisted + fresh
+    labels = spark.createDataFrame([(u, True) for u in listed], "url string, bad boolean")
+    rows = sorted(urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), reject_words=(), labelled=labels).collect())
+    verdicts = [r.verdict for r in rows]
+    assert verdicts[700:740].count("block") >= 36 and verdicts[740:].count("allow") >= 36 and verdicts[:400].count("allow") >= 390
+
+
+def test_nothing_to_learn_from(spark):
+    frame = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (None, None)], "page_id long, url string")
+    assert [r.verdict for r in urlfilter.judge_urls(frame, rules=(), reject_words=()).collect()] == ["allow"] * 3
