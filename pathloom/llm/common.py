@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only after it has been counted and found to have at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
 
 
+#: Rows that Spark hands to Python at a time. Documents can be long, and a batch is held several times over on its way.
+BATCH_ROWS = 500
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: str, kept: Sequence[T.StructField] = ()) -> DataFrame:
+    """df.mapInArrow(run) over small batches; the result's columns are `kept` and then those of `more` (DDL).
+
+    The size of batches is a setting of the session, which stays set.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df.mapInArrow(run, T.StructType([*kept, *T.StructType.fromDDL(more).fields]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_batches, table
 
 #: Letters A-Z become small, digits, small letters and all bytes from 128 stay, everything else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -101,7 +101,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, id_col: s
         if held:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "shard string, term long, n long, places binary")
+    return in_batches(docs.select(F.col(id_col).cast("long"), text_col), run, "shard string, term long, n long, places binary")
 
 
 def occurrences(postings: dict[int, np.ndarray], phrase: tuple[int, ...], slop: int = 0) -> np.ndarray:

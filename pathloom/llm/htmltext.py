@@ -25,7 +25,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import in_batches, table
 
 #: A comment, declaration or tag. Quotes hold a > only as an attribute's value; what is never closed reaches to the end.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>?", re.S)
@@ -258,8 +258,8 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
             texts = [main_text(x.as_py()) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    head = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*keep, html_col).mapInArrow(run, f"{head}, text string, n_chars long")
+    head = [pages.schema[c] for c in keep]
+    return in_batches(pages.select(*keep, html_col), run, "text string, n_chars long", head)
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import in_batches, table
 
 FRAME, RATE = 576, 8000
 FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER = 8, 32
@@ -198,7 +198,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
+    return in_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
 def packets(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
@@ -213,7 +213,7 @@ def packets(files: DataFrame, id_col: str, media_col: str = "media") -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(found), batch.column(0).type), *columns], names=[id_col, "track", "timestamp", "start", "size", "lacing", "keyframe", "cued"])
 
     kind = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, track long, timestamp long, start long, size long, lacing long, keyframe boolean, cued boolean")
+    return in_batches(files.select(id_col, media_col), run, f"`{id_col}` {kind}, track long, timestamp long, start long, size long, lacing long, keyframe boolean, cued boolean")
 
 
 def features(files: DataFrame, keep: list[str], media_col: str = "media") -> DataFrame:
@@ -237,8 +237,8 @@ def features(files: DataFrame, keep: list[str], media_col: str = "media") -> Dat
             columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(6)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), *columns], names=[*keep, *names])
 
-    head = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
-    return files.select(*keep, media_col).mapInArrow(run, f"{head}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    head = [files.schema[c] for c in keep]
+    return in_batches(files.select(*keep, media_col), run, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", head)
 
 
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

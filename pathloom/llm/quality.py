@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_batches, table
 
 BITS = 18
 MAX_ROWS = 6000
@@ -39,10 +39,10 @@ def shape(word: str) -> str:
 
 
 class Hashes(dict):
-    """word -> (hash of the word, hash of its shape), for up to 200,000 words."""
+    """word -> (hash of the word, hash of its shape), for up to 100,000 words."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         got = self[word] = (xxhash.xxh64_intdigest(word.lower(), 1), xxhash.xxh64_intdigest(shape(word), 2))
         return got
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [places(t.as_py(), memory).astype(np.int32).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], names=["id", "y", "x"])
 
-    got = sorted((r[0], r[1], bytes(r[2])) for r in texts.mapInArrow(run, "id string, y int, x binary").collect())
+    got = sorted((r[0], r[1], bytes(r[2])) for r in in_batches(texts, run, "id string, y int, x binary").collect())
     good = np.array([y > 0 for _, y, _ in got], bool)
     if not len(good) or good.all() or not good.any():
         p = float(good.mean()) if len(good) else 0.5
@@ -175,8 +175,8 @@ def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text")
             got = 1 / (1 + np.exp(-np.clip(m["a"] * margins + m["c"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(got, pa.float64())], names=[*keep, "score"])
 
-    head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_col).mapInArrow(run, f"{head}, score double")
+    head = [docs.schema[c] for c in keep]
+    return in_batches(docs.select(*keep, text_col), run, "score double", head)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import input_partitions, shuffle_partitions, table
+from .common import in_batches, input_partitions, shuffle_partitions, table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of a batch: what one task holds at a time. A longer document is a batch of its own.
@@ -178,7 +178,7 @@ def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str =
                 out += [r[:4] for r in rows_by(group_of(i, buckets), buckets, i, p)] if len(i) else []
         return pa.table({"grp": pa.array([r[0] for r in out], pa.int32()), **{n: pa.array([r[k] for r in out], pa.binary()) for k, n in enumerate(names[1:4], 1)}})
 
-    sent = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(send, schema)
+    sent = in_batches(docs.select(F.col(id_col).cast("long"), text_col), send, schema)
     return sent.groupBy("key").applyInArrow(count, "grp int, ids binary, counts binary, places binary")
 
 
