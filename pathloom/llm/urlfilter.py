@@ -47,8 +47,9 @@ def matched_rule(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]
     """(rule text, its verdict) of the longest rule for columns host and path, null where none fits."""
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     fits = [((F.col("host") == d) | F.endswith(F.col("host"), F.lit("." + d))) & F.startswith(F.col("path"), F.lit(p)) for _, d, p in ordered]
-    name = F.coalesce(*(F.when(f, F.lit(d + p)) for f, (_, d, p) in zip(fits, ordered)))
-    verdict = F.coalesce(*(F.when(f, F.lit(v)) for f, (v, _, _) in zip(fits, ordered)))
+    none = F.lit(None).cast("string")
+    name = F.coalesce(*(F.when(f, F.lit(d + p)) for f, (_, d, p) in zip(fits, ordered)), none)
+    verdict = F.coalesce(*(F.when(f, F.lit(v)) for f, (v, _, _) in zip(fits, ordered)), none)
     return name, verdict
 
 
@@ -81,14 +82,17 @@ def log_ratios(train: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def judge_urls(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject_words: Sequence[str] = REJECT_WORDS, id_col: str = "page_id", url_col: str = "url",
-    labelled: DataFrame | None = None, calibration: int = 5, false_rejects: float = 0.005, missed: float = 0.05,
+    labelled: DataFrame | None = None, train: DataFrame | None = None, calibration: int = 5, false_rejects: float = 0.005, missed: float = 0.05,
 ) -> DataFrame:
     """One row for each row of pages: id, host, path, rule, verdict, score and threshold.
 
-    labelled: (url, bad) rows, by which equal URLs of pages are labelled.
+    labelled: (url, bad) rows, by which equal URLs are labelled. train: rows with URLs to learn from, if not pages itself.
     """
     host, path = url_parts(F.col("_url"))
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
+    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.lit(True).alias("_asked"), F.lit(train is None).alias("_taught"))
+    if train is not None:
+        rows = rows.unionByName(train.select(F.lit(None).cast(pages.schema[id_col].dataType).alias("_id"), F.col(url_col).alias("_url"), F.lit(False).alias("_asked"), F.lit(True).alias("_taught")))
+    rows = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     shape = F.regexp_replace(F.regexp_replace(F.lower(F.concat("host", "path")), "[0-9]+", "0"), f"[^{KNOWN}]", "_")
     word = "(^|[^a-z])(" + "|".join(sorted(reject_words)) + ")([^a-z]|$)" if reject_words else "(?!)"
     name, verdict = matched_rule(rules)
@@ -100,13 +104,13 @@ def judge_urls(
         rows = rows.withColumn("_b", F.lit(None).cast("boolean"))
     rows = cut(rows.withColumn("bad", F.coalesce(F.col("_b"), F.rlike(F.lower(F.concat("host", "path")), F.lit(word)) | F.coalesce(F.col("_v") == "block", F.lit(False)))).drop("_b"))
     each = rows.filter("shape <> ''").select("shape").distinct()
-    seen = windows(rows.filter("shape <> '' AND NOT held"), "bad")
+    seen = windows(rows.filter("shape <> '' AND _taught AND NOT held"), "bad")
     wanted = windows(each).distinct()
     ratios = broadcast_if_small(cut(log_ratios(seen, wanted)))
     # scores of distinct shapes; a shape's windows are summed before they are shuffled
     scores = cut(windows(each, "shape").join(ratios, "window").groupBy("shape").agg((F.sum("ratio") / F.count("*")).alias("score")))
     scored = rows.join(scores, "shape", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    both = scored.filter("shape <> ''").agg(
+    both = scored.filter("shape <> '' AND _taught").agg(
         F.expr(f"percentile_approx(score, {1 - false_rejects}, 10000) FILTER (WHERE held AND NOT bad)").alias("kept"), F.expr(f"percentile_approx(score, {missed}, 10000) FILTER (WHERE held AND bad)").alias("lost"),
         F.expr("count(*) FILTER (WHERE NOT held AND bad)").alias("n1"), F.expr("count(*) FILTER (WHERE NOT held AND NOT bad)").alias("n0"),
     ).first()
@@ -116,7 +120,7 @@ def judge_urls(
     elif both.kept is not None:
         threshold = (both.kept + both.lost) / 2 if both.lost is not None and both.lost > both.kept else both.kept
     found = F.coalesce("_v", F.when((F.col("score") > threshold) & (F.col("shape") != ""), F.lit("block")).otherwise(F.lit("allow")))
-    return scored.select(F.col("_id").alias(id_col), "host", "path", "rule", found.alias("verdict"), "score", F.lit(float(threshold)).alias("threshold"))
+    return scored.filter("_asked").select(F.col("_id").alias(id_col), "host", "path", "rule", found.alias("verdict"), "score", F.lit(float(threshold)).alias("threshold"))
 
 
 def op3_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,13 +64,13 @@ def test_scores_equal_the_plain_model(spark):
 
 def test_hosts_that_no_list_names(spark):
     good, listed = urls_of(["news", "garden", "river", "mountain"], 800), urls_of(["superloans-now", "quickloans-now", "loans-now-best"], 300)
-    unlisted = [f"http://bestloans-now{i}.example.net/x/{i}" for i in range(6)]
+    unlisted = [f"http://bestloans-now{i}.example.net/x/{i}" for i in range(40)]
     fresh = [f"http://gardenriver{i}.example.net/story/{i}" for i in range(40)]
-    urls = good + listed + unlisted + fresh
+    urls, taught = unlisted + fresh, spark.createDataFrame([(u,) for u in good + listed], "url string")
     labels = spark.createDataFrame([(u, True) for u in listed], "url string, bad boolean")
-    rows = sorted(urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), reject_words=(), labelled=labels, false_rejects=0.02).collect())
+    rows = sorted(urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), reject_words=(), labelled=labels, train=taught, false_rejects=0.02).collect())
     verdicts = [r.verdict for r in rows]
-    assert verdicts[1100:1106].count("block") >= 5 and verdicts[1106:].count("allow") >= 36 and verdicts[:800].count("allow") >= 770
+    assert verdicts[:40].count("block") >= 36 and verdicts[40:].count("allow") >= 36 and len(verdicts) == 80
 
 
 def test_nothing_to_learn_from(spark):
