@@ -5,8 +5,14 @@ parses any column of Matroska files into one row per frame: track, timestamp, by
 points at its cluster. Element sizes of one to eight bytes and unknown sizes of segments and clusters are read, as are
 simple blocks, block groups, and no, Xiph, fixed-size and EBML lacing.
 
+A block's time is its cluster's plus its own, in ticks of the segment's timestamp scale. Further frames of a lace follow at their
+track's default duration; without one, at equal parts of the block's duration; without that, at the block's time. A simple block
+says itself whether it is a keyframe, a block in a group is one if the group refers to no other block.
+
 Defined cases: a null or empty text is a payload of one frame of bytes 255; a null, empty, or damaged file gives no
-packets from the damaged place on; equal texts give equal files; an empty table gives an empty result.
+packets from the damaged place on; texts of any length are stored whole, and a file is held whole by one task; equal texts give
+equal files; repeated rows are answered each; columns are taken by position, so other columns don't matter; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ FRAMES_PER_BLOCK, BLOCKS_PER_CLUSTER = 8, 32
 EBML, SEGMENT, INFO, TRACKS, ENTRY, CLUSTER, CUES, CUE_POINT, CUE_POSITIONS, BLOCK_GROUP, AUDIO = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B, 0xBB, 0xB7, 0xA0, 0xE1
 TIMESTAMP_SCALE, DURATION, CLUSTER_TIME, SIMPLE_BLOCK, BLOCK, CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0x2AD7B1, 0x4489, 0xE7, 0xA3, 0xA1, 0xB3, 0xF7, 0xF1
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, SAMPLING, CHANNELS, BIT_DEPTH, DOC_TYPE = 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264, 0x4282
-MASTERS = {SEGMENT, CLUSTER, CUES, CUE_POINT, CUE_POSITIONS, BLOCK_GROUP, INFO}
+DEFAULT_DURATION, BLOCK_DURATION, REFERENCE_BLOCK = 0x23E383, 0x9B, 0xFB
+MASTERS = {SEGMENT, CLUSTER, CUES, CUE_POINT, CUE_POSITIONS, BLOCK_GROUP, INFO, TRACKS, ENTRY}
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES}
 
 
@@ -73,7 +80,7 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
     seconds = len(payload) / rate
     body = element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", 1000 * seconds)))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", float(rate))) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
-    body += element(TRACKS, element(ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    body += element(TRACKS, element(ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(DEFAULT_DURATION, 1_000_000_000 * frame // rate) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     parts, size, cues = [body], len(body), []
     step = frame * FRAMES_PER_BLOCK * BLOCKS_PER_CLUSTER
     for at in range(0, len(payload), step):
@@ -93,12 +100,14 @@ def mux(payload: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
 
 class Packet(NamedTuple):
     track: int
+    #: in ticks of the segment's timestamp scale
     timestamp: int
     start: int
     size: int
     lacing: int
     keyframe: bool
     cluster: int
+    nanoseconds: int
 
 
 def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int]:
@@ -148,9 +157,17 @@ def parse(data: bytes | None) -> tuple[list[Packet], set[int]]:
     cues: set[int] = set()
     if not data:
         return packets, cues
-    segment = time = cluster = 0
+    segment = time = cluster = entry = 0
+    scale, durations = 1_000_000, {}
+    group: dict = {}
     ends = [(len(data), 0)]
     at = 0
+
+    def timed(block: int, index: int, count: int, track: int) -> tuple[int, int]:
+        step = durations.get(track) or (group["duration"] * scale / count if group.get("duration") else 0)
+        ns = block * scale + round(index * step)
+        return ns // scale, ns
+
     try:
         while at < len(data):
             while at >= ends[-1][0] and len(ends) > 1:
@@ -163,25 +180,49 @@ def parse(data: bytes | None) -> tuple[list[Packet], set[int]]:
             end = ends[-1][0] if size < 0 else at + size
             if ident in MASTERS:
                 if ident == SEGMENT:
-                    segment = at
+                    segment, scale, durations = at, 1_000_000, {}
                 elif ident == CLUSTER:
-                    cluster = place
+                    cluster, group = place, {}
+                elif ident == ENTRY:
+                    entry = 0
+                elif ident == BLOCK_GROUP:
+                    group = {"first": len(packets)}
                 ends.append((end, ident))
                 continue
             if end > len(data):
                 break
+            value = int.from_bytes(data[at:end], "big") if end - at <= 8 else 0
             if ident == CLUSTER_TIME:
-                time = int.from_bytes(data[at:end], "big")
+                time = value
+            elif ident == TIMESTAMP_SCALE and value:
+                scale = value
+            elif ident == TRACK_NUMBER:
+                entry = value
+                if -1 in durations:
+                    durations[entry] = durations.pop(-1)
+            elif ident == DEFAULT_DURATION:
+                durations[entry or -1] = value
             elif ident == CUE_CLUSTER:
-                cues.add(segment + int.from_bytes(data[at:end], "big"))
+                cues.add(segment + value)
             elif ident in (SIMPLE_BLOCK, BLOCK):
                 track, p = read_vint(data, at)
                 ahead, flags = struct.unpack_from(">hB", data, p)
                 kind = flags >> 1 & 3
                 sizes, p = frame_sizes(data, p + 3, end, kind)
-                for s in sizes:
-                    packets.append(Packet(track, time + ahead, p, s, kind, bool(flags & 0x80), cluster))
+                if ident == SIMPLE_BLOCK:
+                    group = {}
+                group["block"] = (time + ahead, track)
+                keyframe = bool(flags & 0x80) if ident == SIMPLE_BLOCK else not group.get("refers")
+                for i, s in enumerate(sizes):
+                    tick, ns = timed(time + ahead, i, len(sizes), track)
+                    packets.append(Packet(track, tick, p, s, kind, keyframe, cluster, ns))
                     p += s
+            elif ident in (BLOCK_DURATION, REFERENCE_BLOCK) and "first" in group:
+                group |= {"duration": value} if ident == BLOCK_DURATION else {"refers": True}
+                first = group["first"]
+                for i, x in enumerate(packets[first:]):  # they may come behind their block
+                    tick, ns = timed(group["block"][0], i, len(packets) - first, x.track)
+                    packets[first + i] = x._replace(timestamp=tick, nanoseconds=ns, keyframe=not group.get("refers"))
             at = end
     except (ValueError, IndexError, struct.error):
         pass  # what was read up to the damage stays
@@ -202,18 +243,18 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def packets(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """One row for each frame: id, track, timestamp (in the file's scale), start and size in bytes, lacing, keyframe, cued."""
+    """One row for each frame: id, track, timestamp (in the file's scale), nanoseconds, start and size in bytes, lacing, keyframe, cued."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in enumerate(batch.column(1)):
                 found, cues = parse(data.as_py())
                 if found:
-                    columns = [pa.array(c) for c in zip(*((p.track, p.timestamp, p.start, p.size, p.lacing, p.keyframe, p.cluster in cues) for p in found))]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(found), batch.column(0).type), *columns], names=[id_col, "track", "timestamp", "start", "size", "lacing", "keyframe", "cued"])
+                    columns = [pa.array(c) for c in zip(*((p.track, p.timestamp, p.nanoseconds, p.start, p.size, p.lacing, p.keyframe, p.cluster in cues) for p in found))]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(found), batch.column(0).type), *columns], names=[id_col, "track", "timestamp", "nanoseconds", "start", "size", "lacing", "keyframe", "cued"])
 
     kind = files.schema[id_col].dataType.simpleString()
-    return in_batches(files.select(id_col, media_col), run, f"`{id_col}` {kind}, track long, timestamp long, start long, size long, lacing long, keyframe boolean, cued boolean")
+    return in_batches(files.select(id_col, media_col), run, f"`{id_col}` {kind}, track long, timestamp long, nanoseconds long, start long, size long, lacing long, keyframe boolean, cued boolean")
 
 
 def features(files: DataFrame, keep: list[str], media_col: str = "media") -> DataFrame:

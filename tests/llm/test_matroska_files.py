@@ -1,0 +1,82 @@
+"""Matroska files put together byte by byte from the specification, read as packet tables."""
+
+import struct
+
+import pytest
+
+from pathloom.llm import matroska
+
+
+def el(ident, body, size=None):
+    """An element with a size of eight bytes, or with the bytes given as its size."""
+    return bytes.fromhex(ident) + (size if size is not None else b"\x01" + len(body).to_bytes(7, "big")) + body
+
+
+HEAD = el("1A45DFA3", el("4282", b"matroska"))
+INFO = el("1549A966", el("2AD7B1", (500_000).to_bytes(3, "big")))
+TRACKS = el("1654AE6B", el("AE", el("D7", b"\x01") + el("23E383", (20_000_000).to_bytes(4, "big"))) + el("AE", el("D7", b"\x02")))
+
+
+def block(track, time, flags, body):
+    return bytes([0x80 | track]) + struct.pack(">hB", time, flags) + body
+
+
+def xiph(*frames):
+    return bytes([len(frames) - 1]) + b"".join(b"\xff" * (len(f) // 255) + bytes([len(f) % 255]) for f in frames[:-1]) + b"".join(frames)
+
+
+def ebml_lace(*frames):
+    """Sizes 300, then differences, of two bytes each."""
+    out = bytes([len(frames) - 1]) + (0x4000 | len(frames[0])).to_bytes(2, "big")
+    for a, b in zip(frames, frames[1:-1]):
+        out += (0x4000 | len(b) - len(a) + 8191).to_bytes(2, "big")
+    return out + b"".join(frames)
+
+
+A, B, C = b"a" * 300, b"b" * 7, b"c" * 512
+
+
+@pytest.fixture(scope="module")
+def film():
+    one = el("E7", b"\x00\x64") + el("A3", block(1, 5, 0x80 | 2, xiph(A, B, C))) + el("A3", block(2, 6, 6, ebml_lace(C, B, A)))
+    group = el("A0", el("A1", block(2, 10, 4, b"\x01" + B + B)) + el("9B", b"\x28") + el("FB", b"\xff"))
+    key = el("A0", el("A1", block(2, 60, 0, C)))
+    known = el("1F43B675", one)
+    unknown = el("1F43B675", el("E7", b"\x03\xe8") + group + key, b"\x01" + b"\xff" * 7)
+    cues = el("1C53BB6B", el("BB", el("B3", b"\x64") + el("B7", el("F7", b"\x01") + el("F1", (len(INFO) + len(TRACKS)).to_bytes(2, "big")))))
+    body = INFO + TRACKS + known + unknown + cues
+    return HEAD + el("18538067", body), len(HEAD) + 12 + len(INFO) + len(TRACKS)
+
+
+def test_times_sizes_and_keyframes(film):
+    data, cluster = film
+    found, cues = matroska.parse(data)
+    assert [(p.track, p.timestamp, p.size, p.lacing, p.keyframe) for p in found] == [
+        (1, 105, 300, 1, True), (1, 145, 7, 1, True), (1, 185, 512, 1, True),  # 20 ms apart, in ticks of half a millisecond
+        (2, 106, 512, 3, False), (2, 106, 7, 3, False), (2, 106, 300, 3, False),  # no duration known
+        (2, 1010, 7, 2, False), (2, 1030, 7, 2, False),  # halves of the block's 40 ticks; the group refers to another block
+        (2, 1060, 512, 0, True),
+    ]
+    assert [data[p.start : p.start + p.size] for p in found] == [A, B, C, C, B, A, B, B, C]
+    assert cues == {cluster} and [p.cluster == cluster for p in found] == [True] * 6 + [False] * 3
+    assert found[1].nanoseconds == 105 * 500_000 + 20_000_000
+
+
+def test_damage_keeps_what_came_before(film):
+    data, _ = film
+    whole, _ = matroska.parse(data)
+    for n in range(0, len(data), 37):
+        part, _ = matroska.parse(data[:n])
+        assert [p.start for p in part] == [p.start for p in whole[: len(part)]]
+
+
+def test_own_files_have_even_times():
+    found, _ = matroska.parse(matroska.mux(bytes(range(256)) * 90))
+    assert [p.nanoseconds for p in found] == [pytest.approx(72_000_000 * i, abs=1_000_000) for i in range(len(found))]
+    assert all(p.size == matroska.FRAME for p in found) and len({p.timestamp for p in found}) == len(found)
+
+
+def test_repeated_rows_and_nulls(spark):
+    docs = spark.createDataFrame([(1, "x", "m"), (1, "x", "n"), (1, "y" * 100_000, None), (None, None, None)], "doc_id long, text string, media string")
+    rows = matroska.features(matroska.stored(docs), ["doc_id", "n_bytes"]).collect()
+    assert len(rows) == 4 and sorted(r.payload_bytes for r in rows) == [576, 576, 576, 100_224] and sorted(r.n_bytes for r in rows) == [0, 1, 1, 100_000]
