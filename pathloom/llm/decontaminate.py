@@ -1,23 +1,25 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is cut by documents, as search engines do: a shard holds a run of documents, and for each term the sorted
-places where it stands in the shard. A term in every document is thus split over all shards, and a search needs no
-shuffle by term. Phrases are found shard by shard: the places of the rarest term, moved by its offset in the phrase, are
-intersected with those of the next rarest until none are left or all terms agree. With `slop` each further term may
-stand that many places off (proximity match).
+places where it stands in the shard. A term in every document is thus split over all shards. It holds every term of the
+documents and is stored as Parquet, so that other phrases can be looked up later (`build_index`, `search`).
 
-Phrases come to the tasks in blocks of at most BLOCK_WORDS words, each broadcast on its own; the driver holds one block
-at a time. While all phrases fit one block, only their terms are stored; otherwise the index stores every term.
+The items' phrases are a table too: each goes to the shards in which the rarest of its terms stands, by a join on that
+term, and meets there the places of its other terms. The places of the rarest term in the shard, moved by its offset in the phrase, are
+intersected with those of the next rarest until none are left or all terms agree. With `slop` each further term may
+stand that many places off (proximity match). Nothing is broadcast by hand and nothing of the items or documents passes
+through the driver; a task holds one shard's places and at most about PHRASES phrases at a time.
 
-Defined cases: null and empty texts have no words and no hits; an item without words has no window, one with fewer
-than `size` words is one window; repeated rows, and rows with a null id, are answered each; an empty table of documents gives an
-empty result, an empty table of items no hits.
+Defined cases: null and empty texts have no words and no hits; texts of any length are read whole; an item without words
+has no window, one with fewer than `size` words is one window; items of one id count as one; equally rare terms are taken in the
+phrase's order; repeated rows, and rows with a null id, are answered each; other columns are ignored; an empty table of
+documents gives an empty result, an empty table of items no hits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, table
+from .common import cut, in_batches, shared_folder, table
 
 #: Letters A-Z become small, digits, small letters and all bytes from 128 stay, everything else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SHARD_WORDS = 3_000_000
-BLOCK_WORDS = 500_000
+PHRASES = 200_000
 #: Places left free between documents, so that no phrase runs from one into the next.
 GAP = 64
 #: Stands for a null id inside a shard.
@@ -56,12 +58,24 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw[1:], np.uint32).astype(np.int64) if raw[0] else np.cumsum(np.frombuffer(raw[1:], np.uint16).astype(np.int64))
 
 
-def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, term, n, places): for each shard and term its number of places and these, packed. Term 0 lists the shard's documents: pairs of id and word count."""
+class Terms(dict):
+    """word -> its term, for up to 200,000 words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        got = self[word] = term(word)
+        return got
+
+
+def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, term, n, places): for each shard and term its number of places and these, packed. Term 0 lists the shard's documents: pairs of id and word count.
+
+    Stored at path, by default in a folder of its own in the shared one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, shard = TaskContext.get().partitionId(), 0
-        known = {w: term(w) for w in vocabulary} if vocabulary is not None else None
         held: list[tuple[int, int]] = []
         parts: list[np.ndarray] = []
         bases: list[int] = []
@@ -77,20 +91,15 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, id_col: s
             starts = np.flatnonzero(np.diff(terms, prepend=0)) if len(terms) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(terms))
             rows = [(0, len(held), np.array(held, np.int64).tobytes())]
-            rows += [(int(terms[a]), int(b - a), pack(places[a:b])) for a, b in zip(starts, ends)]
+            rows += zip(terms[starts].tolist(), (ends - starts).tolist(), (pack(places[a:b]) for a, b in zip(starts.tolist(), ends.tolist())))
             name = f"{task}-{shard}"
             return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "term", "n", "places"])
 
-        memory: dict[bytes, int] = {}
+        memory = Terms()
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words_of(text.as_py())
-                if known is not None:
-                    found = np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
-                else:
-                    found = np.fromiter((memory.get(w) or memory.setdefault(w, term(w)) for w in words), np.int64, len(words))
-                    if len(memory) > 1_000_000:
-                        memory.clear()
+                found = np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
                 held.append((NO_ID if i is None else i, len(words)))
                 parts.append(found)
                 bases.append(size)
@@ -101,7 +110,9 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, id_col: s
         if held:
             yield flush()
 
-    return in_batches(docs.select(F.col(id_col).cast("long"), text_col), run, "shard string, term long, n long, places binary")
+    path = path or f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
+    in_batches(docs.select(F.col(id_col).cast("long"), text_col), run, "shard string, term long, n long, places binary").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def occurrences(postings: dict[int, np.ndarray], phrase: tuple[int, ...], slop: int = 0) -> np.ndarray:
@@ -127,29 +138,43 @@ def windows_of(words: list[bytes], size: int) -> set[tuple[int, ...]]:
     return {tuple(terms[i : i + size]) for i in range(max(1, len(terms) - size + 1))} if terms else set()
 
 
-def phrase_blocks(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "text") -> tuple[list, set[bytes] | None]:
-    """(broadcast blocks of (phrase, ids of its items), all their words, or None if there are several blocks)."""
-    context = items.sparkSession.sparkContext
-    blocks, block, vocabulary, n = [], {}, set(), 0
-    for row in items.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        words = words_of(row[1])
-        if vocabulary is not None:
-            vocabulary.update(words)
-        for phrase in windows_of(words, size):
-            block.setdefault(phrase, set()).add(row[0])
-            n += len(phrase)
-        if n >= BLOCK_WORDS:
-            blocks.append(context.broadcast(list(block.items())))
-            block, vocabulary, n = {}, None, 0
-    if block:
-        blocks.append(context.broadcast(list(block.items())))
-    return blocks, vocabulary if len(blocks) <= 1 else None
-
-
-def search(index: DataFrame, blocks: list, id_col: str = "doc_id", slop: int = 0) -> DataFrame:
-    """One row for each document of the index: id, n_words, n_hit (words inside a match), items (sorted ids), spans of hit words."""
+def phrases_of(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(phrase, item): the windows of each item's text as terms of 64 bits, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(np.array(w, np.int64).tobytes(), i) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for w in windows_of(words_of(t.as_py()), size)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], names=["phrase", "item"])
 
-    def run(rows: pa.Table) -> pa.Table:
+    return in_batches(items.select(F.col(id_col).cast("string"), text_col), run, "phrase binary, item string").distinct()
+
+
+def terms_of(phrases: DataFrame) -> DataFrame:
+    """(phrase, offset, term) of distinct phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [(p, np.frombuffer(p, np.int64)) for p in batch.column(0).to_pylist()]
+            sizes = [len(t) for _, t in each]
+            names = [p for p, t in each for _ in range(len(t))]
+            flat = np.concatenate([t for _, t in each]) if each else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([k for n in sizes for k in range(n)], pa.int32()), pa.array(flat)], names=["phrase", "offset", "term"])
+
+    return in_batches(phrases.select("phrase").distinct(), run, "phrase binary, offset int, term long")
+
+
+def search(index: DataFrame, phrases: DataFrame, id_col: str = "doc_id", slop: int = 0) -> DataFrame:
+    """One row for each document of the index: id, n_words, n_hit (words inside a match), items (sorted ids), spans of hit words."""
+    wanted = cut(terms_of(phrases))
+    places = cut(index.join(wanted.select("term").distinct(), "term", "left_semi"))
+    counts = places.groupBy("term").agg(F.sum("n").alias("total"))
+    known = wanted.join(counts, "term", "left").groupBy("phrase").agg(F.min_by("term", F.struct("total", "offset")).alias("term"), F.count(F.when(F.col("total").isNull(), 1)).alias("missing"))
+    slices = max(1, -(-known.count() // PHRASES))
+    asked = known.filter("missing = 0").join(places.select("shard", "term"), "term").select("shard", F.pmod(F.xxhash64("phrase"), F.lit(slices)).cast("int").alias("slice"), "phrase")
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    held = index.filter("term = 0").unionByName(places).select("shard", every, "term", "places")
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         postings, docs = {}, np.zeros((0, 2), np.int64)
         for t, raw in zip(rows.column("term").to_pylist(), rows.column("places")):
             if t:
@@ -158,33 +183,52 @@ def search(index: DataFrame, blocks: list, id_col: str = "doc_id", slop: int = 0
                 docs = np.frombuffer(raw.as_py(), np.int64).reshape(-1, 2)
         bases = np.concatenate(([0], np.cumsum(docs[:, 1] + GAP)))
         edge = np.zeros(bases[-1] + GAP + 1, np.int32)
-        items: dict[int, set[str]] = {}
-        for block in blocks:
-            for phrase, owners in block.value:
-                starts = occurrences(postings, phrase, slop)
-                if len(starts):
-                    which = np.searchsorted(bases, starts, side="right") - 1
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, np.minimum(starts + len(phrase), bases[which] + docs[which, 1]), -1)
-                    for d in set(which.tolist()):
-                        items.setdefault(d, set()).update(owners)
+        matched: dict[int, list[bytes]] = {}
+        for raw in found.column("phrase"):
+            phrase = raw.as_py()
+            terms = tuple(np.frombuffer(phrase, np.int64).tolist())
+            starts = occurrences(postings, terms, slop)
+            if len(starts):
+                which = np.searchsorted(bases, starts, side="right") - 1
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, np.minimum(starts + len(terms), bases[which] + docs[which, 1]), -1)
+                for d in set(which.tolist()):
+                    matched.setdefault(d, []).append(phrase)
         hit = np.cumsum(edge) > 0
-        total = np.concatenate(([0], np.cumsum(hit)))
-        n_hit = total[bases[:-1] + docs[:, 1]] - total[bases[:-1]]
         spans = []
-        for k, n in enumerate(n_hit.tolist()):
-            turn = np.flatnonzero(np.diff(hit[bases[k] : bases[k] + docs[k, 1]].astype(np.int8), prepend=0, append=0)).tolist() if n else []
+        for k in range(len(docs)):
+            turn = np.flatnonzero(np.diff(hit[bases[k] : bases[k] + docs[k, 1]].astype(np.int8), prepend=0, append=0)).tolist() if k in matched else []
             spans.append([{"start": a, "end": b} for a, b in zip(turn[::2], turn[1::2])])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({id_col: pa.array(docs[:, 0], mask=docs[:, 0] == NO_ID), "n_words": pa.array(docs[:, 1]), "n_hit": pa.array(n_hit.astype(np.int64)), "items": pa.array([sorted(items.get(k, ())) for k in range(len(docs))], pa.list_(pa.string())), "spans": pa.array(spans, kind)})
-
-    return index.groupBy("shard").applyInArrow(run, f"`{id_col}` long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+        shard = rows.column("shard")[0].as_py() if len(rows) else ""
+        return pa.table({
+            "shard": pa.array([shard] * len(docs), pa.string()), "place": pa.array(np.arange(len(docs))), "id": pa.array(docs[:, 0], mask=docs[:, 0] == NO_ID), "n_words": pa.array(docs[:, 1]),
+            "spans": pa.array(spans, kind), "phrases": pa.array([matched.get(k, []) for k in range(len(docs))], pa.list_(pa.binary())),
+        })
+
+    schema = "shard string, place long, id long, n_words long, spans array<struct<start:long,end:long>>, phrases array<binary>"
+    parts = cut(held.groupBy("shard", "slice").cogroup(asked.groupBy("shard", "slice")).applyInArrow(run, schema))
+    owned = parts.filter(F.size("phrases") > 0).select("shard", "place", F.explode("phrases").alias("phrase")).join(phrases, "phrase").groupBy("shard", "place").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # what the slices of a shard found in a document is put together; spans that touch become one
+    whole = parts.groupBy("shard", "place").agg(F.first("id", True).alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("_s"))
+    none = F.lit(None).cast("struct<start:bigint,end:bigint>")
+    begun = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"), none.alias("last"))
+
+    def put(state, span):
+        last = state["last"]
+        joins = last.isNotNull() & (span["start"] <= last["end"])
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        return F.struct(F.when(joins | last.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(last))).alias("done"), F.when(joins, longer).otherwise(span).alias("last"))
+
+    joined = F.aggregate("_s", begun, put, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
+    out = whole.withColumn("spans", joined).join(owned, ["shard", "place"], "left")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) -> DataFrame:
     """search() of every window of `size` words of the items' texts in all docs."""
-    blocks, vocabulary = phrase_blocks(items, size)
-    return search(build_index(docs, vocabulary), blocks, slop=slop)
+    return search(build_index(docs), cut(phrases_of(items, size)), slop=slop)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,8 +265,8 @@ def test_decontamination(spark, docs, nothing):
         assert (got[i].n_words, got[i].n_hit, got[i].items) == (len(w), len(hit), sorted(found))
     assert decontaminate.contamination(nothing, items).count() == 0 and decontaminate.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
     near = spark.createDataFrame([(1, "one three two")], "doc_id long, text string")
-    blocks, _ = decontaminate.phrase_blocks(items.filter("item_id = 2"), 10)
-    assert [decontaminate.search(decontaminate.build_index(near), blocks, slop=s).first().n_hit > 0 for s in (0, 1)] == [False, True]
+    phrases = decontaminate.phrases_of(items.filter("item_id = 2"), 10)
+    assert [decontaminate.search(decontaminate.build_index(near), phrases, slop=s).first().n_hit > 0 for s in (0, 1)] == [False, True]
 
 
 def test_main_text(spark):
