@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import decontaminate, htmltext, matroska, pieces, pii, quality, sharding, simhash, substrings, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality.op10_quality,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {"op4_substrings": substrings.OP4_SQL, "op8_decontamination": decontaminate.OP8_SQL}
