@@ -1,0 +1,213 @@
+"""The pipeline stage by stage against brute force, and the contract's columns of every query, on small tables with odd rows and clashing names."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+RNG = random.Random(21)
+LETTERS = ["the", "thon", "ereah", "of", "ander", "ingst", "reha", "once", "hithe", "aned"]
+ODD = {"score": "x", "spans": "y", "_text": "z", "base": "b", "n_email": "n", "redacted": "r", "key": "k", "root": "o", "row": "w", "n": "m", "component": "c", "fp": "f", "slice": "s", "place": "p", "text_crc32": "t"}
+
+
+def prose(n):
+    return " ".join(RNG.choice(LETTERS) + str(RNG.randrange(50)) for _ in range(n)).capitalize() + "."
+
+
+def edited(text, n):
+    w = text.split()
+    for k in RNG.sample(range(3, len(w) - 3), n):
+        w[k] = f"new{RNG.random()}"
+    return " ".join(w)
+
+
+PASSAGE = prose(30)
+
+
+def rows():
+    good = [prose(80) for _ in range(40)]
+    bad = [" ".join(RNG.choice(LETTERS).upper() + "!!" for _ in range(40)) for _ in range(40)]
+    original = prose(300)
+    near = [original] + [edited(original, 5) for _ in range(12)] + [edited(original, 60)]
+    leaked = [f"{prose(20)} {' '.join(PASSAGE.split()[5:25])} {prose(20)}", f"{prose(40)} {' '.join(PASSAGE.split()[5:14])} {prose(20)}"]
+    private = [f"{prose(20)} a.b@c.de {prose(10)} +1 (620) 555-8424 {prose(5)}", f"{prose(20)} 10.1.2.3 {prose(20)}"]
+    texts = good + bad + near + leaked + private + [good[0], good[0] + " ", prose(3000)]
+    out = [(i, t) for i, t in enumerate(texts)]
+    out += [(len(texts), None), (len(texts) + 1, ""), (len(texts) + 1, prose(50)), (None, prose(60)), out[2]]
+    return out, {i: int(i not in range(40, 80)) for i in range(len(texts))}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("tables")
+    documents, labels = rows()
+    docs = spark.createDataFrame(documents, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs.withColumns({k: F.lit(v) for k, v in ODD.items()}).repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, PASSAGE), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    pages = [(1, "http://a.example.org/es/1", "<article><p>One, two.</p></article>", "t"), (2, None, None, "t"), (2, "x", "", None), (3, "https://x.com/de/9?q", "<p>Text, here</p>", "t")]
+    spark.createDataFrame(pages, "page_id long, url string, html string, text string").withColumns({k: F.lit(v) for k, v in {"host": "h", "verdict": "v", "shape": "s", "score": "x", "bad": "b"}.items()}).write.parquet(f"{at}/pages.parquet")
+    return str(at)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, folder, tmp_path_factory):
+    at = tmp_path_factory.mktemp("empty")
+    for name in ("documents", "labels", "benchmark", "pages"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def tokens(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+
+def test_stage_by_stage(spark, folder):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    read = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    order = lambda xs: sorted(xs, key=str)
+    documents, labels = rows_of(docs)
+    kept = pipeline.good_quality(spark, docs, folder)
+    assert kept.columns == columns and {r.score for r in kept.select("score").collect()} == {"x"}
+    after = read(kept)
+    assert {i for i, _ in after if i in labels} >= {i for i, q in labels.items() if q and documents_of(documents, i)} and not {i for i, _ in after} & set(range(40, 80))
+
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    unique = pipeline.near_deduplicated(spark, kept, folder)
+    assert unique.columns == columns
+    texts = [(i, t) for i, t in after if i is not None]
+    root = {i: i for i, _ in texts}
+    for i, a in texts:
+        for j, b in texts:
+            if root[i] != root[j] and alike(a, b):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    once = read(unique)
+    assert {i for i, _ in once if i is not None} >= {i for i in root if root[i] == i}
+    gone = {i for i, _ in texts} - {i for i, _ in once}
+    assert gone and all(root[i] != i for i in gone) and len(set(range(80, 94)) & {i for i, _ in once}) == 2
+
+    unique = spark.createDataFrame(unique.collect(), unique.schema)
+    clean = pipeline.decontaminated(spark, unique, folder)
+    item = tokens(PASSAGE)
+    windows = {tuple(item[k : k + 10]) for k in range(len(item) - 9)}
+    hit = {i for i, t in once for k in range(len(tokens(t))) if tuple(tokens(t)[k : k + 10]) in windows}
+    assert hit and order(read(clean)) == order([(i, t) for i, t in once if i not in hit]) and clean.columns == columns
+
+    clean = spark.createDataFrame(clean.collect(), clean.schema)
+    safe = pipeline.redacted(spark, clean, folder)
+    assert safe.columns == columns and {r.spans for r in safe.select("spans").collect()} == {"y"}
+    private = {i: t for i, t in read(safe) if i in (96, 97)}
+    assert "<email>" in private[96] and "<phone>" in private[96] and "<ip>" in private[97] and not any(re.search(r"@|10\.1\.2\.3|555", t) for t in private.values())
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in safe.collect())
+    plain = {(i, t) for i, t in read(clean) if not re.search(r"@|10\.1\.2\.3|new0", t or "")}
+    assert plain <= set(read(safe))
+
+    safe = spark.createDataFrame(safe.collect(), safe.schema)
+    encoded = pipeline.encoded(spark, safe, folder)
+    from pathloom.llm import pieces
+
+    texts = pieces.decode(encoded, ["doc_id"])
+    assert order((r.doc_id, r.text) for r in texts.collect()) == order((i, t or "") for i, t in read(safe))
+    result = pipeline.run(spark, folder)
+    assert order((r.doc_id, tuple(r.ids)) for r in result.collect()) == order((r.doc_id, tuple(r.ids)) for r in encoded.collect())
+
+
+def rows_of(docs):
+    documents = [(r.doc_id, r.text) for r in docs.collect()]
+    return documents, {i: int(i not in range(40, 80)) for i, _ in documents if i is not None and i < 99}
+
+
+def documents_of(documents, i):
+    return all(len((t or "").split()) > 3 for j, t in documents if i == j)
+
+
+def test_near_copies_of_one_template(spark):
+    """500 edited copies: all links run through few texts, and the brute force's groups come out."""
+    from pathloom.llm import simhash
+
+    base = prose(150)
+    texts = [base] + [edited(base, RNG.choice([1, 2, 3, 4, 5])) for _ in range(500)]
+    RNG.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()}
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < 400
+
+
+def test_fingerprint_classes_of_one_template(spark):
+    """600 fingerprints around one, by plain union of all pairs within three bits."""
+    from pathloom.llm import simhash
+
+    base, fps = RNG.getrandbits(64), set()
+    while len(fps) < 600:
+        x = base
+        for k in RNG.sample(range(64), RNG.choice([1, 2, 3, 4, 5, 6])):
+            x ^= 1 << k
+        fps.add(x)
+    fps = sorted(x - (1 << 64) * (x >> 63) for x in fps)
+    root = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if root[a] != root[b] and ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 3:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(fps)), "id long, fp long")
+    got = {r.id: r.root for r in simhash.fingerprint_classes(frame).collect()}
+    assert got == dict(enumerate(root))
+
+
+COLUMNS = {
+    "op1_simhash": ("documents", {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}),
+    "op2_hilbert_shards": ("documents", {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}),
+    "op3_url_model": ("pages", {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"}),
+    "op4_substrings": ("documents", {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"}),
+    "op5_personal_data": ("documents", {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"}),
+    "op6_matroska": ("documents", {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}),
+    "op7_pieces": ("documents", {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "score": "double"}),
+    "op8_decontamination": ("documents", {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}),
+    "op9_main_text": ("pages", {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"}),
+    "op10_quality": ("documents", {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}),
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_contract_on_odd_and_empty_tables(spark, folder, empty, name):
+    from pathloom.llm import queries
+
+    table, columns = COLUMNS[name]
+    got = queries.QUERIES[name](spark, folder)
+    kinds = dict(got.dtypes)
+    assert {c: kinds[c] for c in columns} == columns
+    rows = got.collect()
+    asked = spark.read.parquet(f"{folder}/{table}.parquet").collect()
+    key = next(iter(columns))
+    assert sorted((r[key] is None, r[key] or 0) for r in rows) == sorted((r[key] is None, r[key] or 0) for r in asked)
+    assert queries.QUERIES[name](spark, empty).count() == 0
+    if name == "op6_matroska":
+        for r in rows:
+            texts = {(x.text or "") for x in asked if x.doc_id == r.doc_id}
+            payloads = {t.encode() + b"\xff" * (-len(t.encode()) % 576 if t else 576) for t in texts}
+            assert r.payload_sha256 in {hashlib.sha256(p).hexdigest() for p in payloads}
+    if name == "op10_quality":
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
