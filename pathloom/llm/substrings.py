@@ -9,8 +9,9 @@ where it meets the text again and overlapping windows merge into maximal interva
 Hot windows: a passage that a third of all documents share is sent once per batch. Buckets grow in number with the input.
 
 Defined cases: null and empty texts and texts of fewer than `size` words lose nothing, nor do rows with a null id; a
-document never loses words for a repeat inside itself only; repeated rows of one id count as one document; an empty table
-gives an empty result. Two windows are taken for one if the 56 low bits and the bucket of their hashes agree: among n
+document never loses words for a repeat inside itself only; texts of any length are taken whole; repeated rows of one id count as
+one document, and where their texts differ what one loses at a place the others lose there too; other columns are
+ignored; an empty table gives an empty result. Two windows are taken for one if the 56 low bits and the bucket of their hashes agree: among n
 windows about n^2 / 2^63 pairs are expected to.
 """
 
@@ -105,8 +106,9 @@ def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return np.array([zlib.crc32(b"%d" % i) % groups for i in unique.tolist()], np.int64)[inverse]
 
 
-def group_column(id_col: str, groups: int) -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % groups, F.lit(0)).cast("int")
+def group_column(id_col: str, text_col: str, groups: int) -> Column:
+    """The group of a row; rows without an id, which lose nothing, are spread by their texts."""
+    return (F.coalesce(F.crc32(F.col(id_col).cast("string")), F.crc32(text_col), F.lit(0)) % groups).cast("int")
 
 
 def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +202,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text
     """One row for each row of docs: id, n_words, n_removed, kept (the words left, joined by one space), removed (intervals of word places)."""
     buckets = max(shuffle_partitions(docs.sparkSession), 4 * input_partitions(docs))
     found = repeated_places(docs, buckets, size, id_col, text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")).select(group_column(id_col, buckets).alias("grp"), id_col, "_text")
+    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")).select(group_column(id_col, "_text", buckets).alias("grp"), id_col, "_text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def apply(rows: pa.Table, lost: pa.Table) -> pa.Table:
