@@ -48,28 +48,22 @@ def term(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 11) >> 1 or 1
 
 
-def pack(places: np.ndarray) -> bytes:
-    """Sorted places as steps of 16 bits if they fit, else as 32-bit numbers."""
-    steps = np.diff(places, prepend=0)
-    return b"\0" + steps.astype(np.uint16).tobytes() if steps.max() < 1 << 16 else b"\1" + places.astype(np.uint32).tobytes()
-
-
 def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw[1:], np.uint32).astype(np.int64) if raw[0] else np.cumsum(np.frombuffer(raw[1:], np.uint16).astype(np.int64))
+    return np.frombuffer(raw, np.uint32).astype(np.int64)
 
 
 class Terms(dict):
-    """word -> its term, for up to 200,000 words."""
+    """word -> its term, for up to 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 300_000:
             self.clear()
-        got = self[word] = term(word)
+        got = self[word] = xxhash.xxh64_intdigest(word, 11) >> 1 or 1
         return got
 
 
 def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(shard, term, n, places): for each shard and term its number of places and these, packed. Term 0 lists the shard's documents: pairs of id and word count.
+    """(shard, term, n, places): for each shard and term its number of places and these, of 32 bits each. Term 0 lists the shard's documents: pairs of id and word count.
 
     Stored at path, by default in a folder of its own in the shared one.
     """
@@ -90,10 +84,12 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
             terms, places = terms[order], places[order]
             starts = np.flatnonzero(np.diff(terms, prepend=0)) if len(terms) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(terms))
-            rows = [(0, len(held), np.array(held, np.int64).tobytes())]
-            rows += zip(terms[starts].tolist(), (ends - starts).tolist(), (pack(places[a:b]) for a, b in zip(starts.tolist(), ends.tolist())))
-            name = f"{task}-{shard}"
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "term", "n", "places"])
+            first = np.array(held, np.int64).tobytes()
+            offsets = np.concatenate(([0], len(first) + 4 * starts, [len(first) + 4 * len(terms)])).astype(np.int32)
+            lists = pa.BinaryArray.from_buffers(pa.binary(), len(starts) + 1, [None, pa.py_buffer(offsets), pa.py_buffer(first + places.astype(np.uint32).tobytes())])
+            return pa.RecordBatch.from_arrays(
+                [pa.repeat(f"{task}-{shard}", len(starts) + 1), pa.array(np.concatenate(([0], terms[starts]))), pa.array(np.concatenate(([len(held)], ends - starts))), lists], names=["shard", "term", "n", "places"]
+            )
 
         memory = Terms()
         for batch in batches:
