@@ -5,11 +5,13 @@ word), hashed to 2^18 places. Each indicator is scaled by the log-count ratio of
 model is fitted to these by dual coordinate descent (Hsieh et al., 2008), and a sigmoid fitted to margins on a part kept
 aside turns margins into scores.
 
-The model is fitted on a bounded sample: at most `max_rows` labelled rows, those with the smallest hash of the id. A row
-gives the driver at most 2^18 places. Every document is scored on its whole text.
+The model is fitted on a bounded sample: at most `max_rows` labelled rows, those with the smallest hash of the id, as far as
+they hold no more than `max_places` places together (120 MB on the driver). Every document is scored on its whole text.
 
-Defined cases: null and empty texts have no n-grams and score by the intercept; rows with several labels count each; without
-labels, or with one class only, every score is the share of good labels, or 0.5; an empty table gives an empty result.
+Defined cases: null and empty texts have no n-grams and score by the intercept; texts of any length are read whole; rows with
+several labels count each, as do repeated rows; a score of 0.5 counts as good; columns are taken by position, so other columns
+don't matter; without labels, or with one class only, every score is the share of good labels, or 0.5; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, table
+from .common import cut, in_batches, table
 
 BITS = 18
-MAX_ROWS = 6000
+MAX_ROWS, MAX_PLACES = 6000, 30_000_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 EDGES = re.compile(r"(?s)^(\W*)(.*?)(\W*)$")
 
@@ -133,19 +135,27 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> dict:
-    """The model, from labelled rows that are not held out: at most max_rows of them."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_places: int = MAX_PLACES) -> dict:
+    """The model, from labelled rows that are not held out: at most max_rows of them, and of these (but for one) no more than hold max_places places."""
     use = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter(F.col("_y").isNotNull() & ~held_out("_id"))
     chosen = use.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)  # a bounded sample, so a bounded broadcast
-    texts = F.broadcast(chosen).join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id").select("_id", "_y", "_text")
+    texts = F.broadcast(chosen).join(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id").select("_id", "_y", "_text", F.xxhash64("_id").alias("_h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Hashes()
         for batch in batches:
             found = [places(t.as_py(), memory).astype(np.int32).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(found, pa.binary())], names=["id", "y", "x"])
-
-    got = sorted((r[0], r[1], bytes(r[2])) for r in in_batches(texts, run, "id string, y int, x binary").collect())
+            sizes = pa.array([len(x) // 4 for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(found, pa.binary()), batch.column(3), sizes], names=["id", "y", "x", "h", "n"])
+
+    rows = cut(in_batches(texts, run, "id string, y int, x binary, h long, n long"))
+    total, last = 0, None
+    for h, n in rows.groupBy("h").agg(F.sum("n").alias("n")).orderBy("h").collect():  # at most max_rows
+        total += n
+        if total > max_places and last is not None:
+            break
+        last = h
+    got = sorted((r[0], r[1], bytes(r[2])) for r in rows.filter(F.col("h") <= last).select("id", "y", "x").collect()) if last is not None else []
     good = np.array([y > 0 for _, y, _ in got], bool)
     if not len(good) or good.all() or not good.any():
         p = float(good.mean()) if len(good) else 0.5

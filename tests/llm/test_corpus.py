@@ -285,3 +285,10 @@ def test_quality(spark, docs, nothing):
     assert all((r.score >= 0.5) == (r.doc_id < 200) for r in rows)
     assert {r.score for r in quality.score(docs, quality.train(docs, labels.limit(0)), ["doc_id"]).collect()} == {0.5}
     assert quality.score(nothing, quality.train(nothing, labels), ["doc_id"]).count() == 0
+
+
+def test_quality_fit_is_bounded(spark):
+    rows = [(i, " ".join(f"w{RNG.randrange(10**6)}" for _ in range(300)) + ("." if i % 2 else "!!")) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    few, all_ = (quality.train(docs, labels, max_places=n) for n in (5000, 10**9))
+    assert 0 < np.count_nonzero(few["weights"]) <= 7000 < np.count_nonzero(all_["weights"])
