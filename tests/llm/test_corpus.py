@@ -292,3 +292,17 @@ def test_quality_fit_is_bounded(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     few, all_ = (quality.train(docs, labels, max_places=n) for n in (5000, 10**9))
     assert 0 < np.count_nonzero(few["weights"]) <= 7000 < np.count_nonzero(all_["weights"])
+
+
+def test_two_best_of_words_and_long_units():
+    model = pieces.load_model()
+    two, three = pieces.Encoder(model, 2), pieces.Encoder(model, 3)
+    for _ in range(2000):
+        word = "▁" + "".join(RNG.choice(["th", "er", "a", "é", "ing", "ß", "on", "e"]) for _ in range(RNG.randint(1, 6)))
+        (best, ids), *others = three.segmentations(word, 2)
+        got = two.two(word)
+        assert got[0] == ids and (got[1] == pytest.approx(best - others[0][0]) if others else got[2] == ())
+    long = "thereof" * 20_000
+    for n in (1, 2, 5):
+        u = pieces.Encoder(model, n).encode(long)
+        assert pieces.Encoder(model, n).decode(u.ids) == long and len(u.others) == n - 1 and all(loss >= 0 for loss, _ in u.others)
