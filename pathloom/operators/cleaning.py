@@ -36,12 +36,24 @@ def trajectory_stats(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
     return with_step(points, keys).groupBy(*keys).agg(F.count("*").alias("total_nodes"), *bounds, F.coalesce(F.sum("step"), F.lit(0.0)).alias("total_distance"), F.coalesce(F.avg("step"), F.lit(0.0)).alias("mean_step"))
 
 
+def percent_text(rate: Column) -> Column:
+    """A share from 0 to 1 as a percentage with one decimal, halves to even by the number's exact binary value, as "%.1f" does in C and Python."""
+    percent = rate * 100
+    whole = F.floor(percent)
+    part = ((percent - whole) * (1 << 58)).cast("long")  # exact from 1 / 64 on, and below that nothing is halfway
+    tenths = F.shiftright(part * 10, 58)
+    left = part * 10 - F.shiftleft(tenths, 58)
+    half = F.lit(1 << 57)
+    tenths = whole * 10 + tenths + F.when((left > half) | ((left == half) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+
+
 def deduplication_stats(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """T2."""
     n = before.groupBy(*keys).agg(F.count("*").alias("original_count")).join(after.groupBy(*keys).agg(F.count("*").alias("final_count")), list(keys), "left")
     n = n.withColumn("final_count", F.coalesce("final_count", F.lit(0))).withColumn("removed_count", F.col("original_count") - F.col("final_count"))
     rate = F.col("removed_count") / F.col("original_count")
-    return n.withColumn("reduction_rate", rate).withColumn("reduction_text", F.format_string("%.1f%%", rate * 100))
+    return n.withColumn("reduction_rate", rate).withColumn("reduction_text", percent_text(rate))
 
 
 def smoothing_stats(before: DataFrame, after: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -60,6 +60,12 @@ def test_outliers(spark):
     assert sorted(changed) == [14, 15, 16]
 
 
+def test_percentages_round_as_python_does(spark):
+    pairs = [(a, b) for b in (1, 3, 7, 16, 40, 80, 400, 2000) for a in range(b + 1)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", cleaning.percent_text(F.col("a") / F.col("b")).alias("t")).collect()
+    assert all(r.t == f"{r.a / r.b * 100:.1f}%" for r in got)
+
+
 def test_gaps(spark):
     assert xs(cleaning.split_at_gaps(walk(spark, [0, 1, 10, 20, 21]))) == [0, 1, 20, 21]
     assert xs(cleaning.split_at_gaps(walk(spark, [5]))) == [5]
