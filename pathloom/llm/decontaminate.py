@@ -32,7 +32,7 @@ from .common import cut, in_batches, shared_folder, table
 
 #: Letters A-Z become small, digits, small letters and all bytes from 128 stay, everything else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_500_000
 PHRASES = 200_000
 #: Places left free between documents, so that no phrase runs from one into the next.
 GAP = 64
@@ -53,10 +53,10 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 class Terms(dict):
-    """word -> its term, for up to 300,000 words."""
+    """word -> its term, for up to 150,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word, 11) >> 1 or 1
         return got
