@@ -160,3 +160,20 @@ def test_entry_imports_without_corpus_operators():
     import __spark_entry__
 
     assert "t1_trajectory_stats" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_answers_not_found(spark):
+    asked, rows = spark.createDataFrame([(1,), (9,)], "id int"), spark.createDataFrame([(1, "a")], "id int, name string")
+    assert {r.id: (r.name, r.error) for r in catalog.answered(asked, rows, ["id"], "FLOOR_NOT_FOUND").collect()} == {1: ("a", None), 9: (None, "FLOOR_NOT_FOUND")}
+    detail = catalog.building_detail(rows, spark.createDataFrame([(1, 2), (1, 1)], "id int, level int"), spark.createDataFrame([], "id int, passage int"), "id", "level", "passage").first()
+    assert (detail.floors, detail.passages) == ([1, 2], [])
+
+
+def test_old_readers(spark):
+    rows = [(1, 1, struct.pack("<12f", *[0] * 3, 1e-7, *[0] * 8)), (1, 2, None), (1, 3, b"")]
+    nodes = spark.createDataFrame(rows, "scan_id long, node_id long, pose binary")
+    assert scans.trajectory(nodes).count() == 0 and scans.trajectory(nodes, scans.OLD_TOLERANCE, any_length=True).count() == 1
+    short = spark.createDataFrame([(1, 4, b"x" * 47)], nodes.schema)
+    assert scans.trajectory(short).count() == 0
+    with pytest.raises(Exception, match="pose of 47 bytes"):
+        scans.trajectory(nodes.union(short), any_length=True).collect()
