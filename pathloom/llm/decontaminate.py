@@ -7,8 +7,8 @@ documents and is stored as Parquet, so that other phrases can be looked up later
 The items' phrases are a table too: each goes to the shards in which the rarest of its terms stands, by a join on that
 term, and meets there the places of its other terms. The places of the rarest term in the shard, moved by its offset in the phrase, are
 intersected with those of the next rarest until none are left or all terms agree. With `slop` each further term may
-stand that many places off (proximity match). Nothing is broadcast by hand and nothing of the items or documents passes
-through the driver; a task holds one shard's places and at most about PHRASES phrases at a time.
+stand that many places off (proximity match). Nothing is broadcast but the items' distinct terms, after they were counted and
+found to be few, and nothing of the items or documents passes through the driver; a task holds one shard's places and at most about PHRASES phrases at a time.
 
 Defined cases: null and empty texts have no words and no hits; texts of any length are read whole; an item without words
 has no window, one with fewer than `size` words is one window; items of one id count as one; equally rare terms are taken in the
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_batches, shared_folder, table
+from .common import broadcast_if_small, cut, in_batches, shared_folder, table
 
 #: Letters A-Z become small, digits, small letters and all bytes from 128 stay, everything else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -162,7 +162,8 @@ def terms_of(phrases: DataFrame) -> DataFrame:
 def search(index: DataFrame, phrases: DataFrame, id_col: str = "doc_id", slop: int = 0) -> DataFrame:
     """One row for each document of the index: id, n_words, n_hit (words inside a match), items (sorted ids), spans of hit words."""
     wanted = cut(terms_of(phrases))
-    places = cut(index.join(wanted.select("term").distinct(), "term", "left_semi"))
+    # if the items' terms are few, the index is not shuffled by term, of which a frequent one has a row in every shard
+    places = cut(index.join(broadcast_if_small(cut(wanted.select("term").distinct())), "term", "left_semi"))
     counts = places.groupBy("term").agg(F.sum("n").alias("total"))
     known = wanted.join(counts, "term", "left").groupBy("phrase").agg(F.min_by("term", F.struct("total", "offset")).alias("term"), F.count(F.when(F.col("total").isNull(), 1)).alias("missing"))
     slices = max(1, -(-known.count() // PHRASES))
