@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, matroska, pieces, pii, quality, sharding, simhash, substrings, urlfilter
+from . import decontaminate, htmltext, infill, matroska, pieces, pii, quality, sharding, simhash, substrings, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,7 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decontaminate.op8_decontamination,
         htmltext.op9_main_text,
         quality.op10_quality,
+        infill.op11_fill_in_middle,
     )
 }
 
-SQL: dict[str, str] = {"op4_substrings": substrings.OP4_SQL, "op8_decontamination": decontaminate.OP8_SQL}
+SQL: dict[str, str] = {"op4_substrings": substrings.OP4_SQL, "op8_decontamination": decontaminate.OP8_SQL, "op11_fill_in_middle": infill.OP11_SQL}

@@ -1,0 +1,71 @@
+"""The fill-in-the-middle kernel against plain loops, and its round trip."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from pathloom.llm import infill
+
+RNG = random.Random(11)
+
+
+def plainly(doc_id, text):
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    prefix, middle, suffix = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if not text or any(m in text for m in infill.MARKS) or h[2] % 100 >= 90:
+        return len(units), "plain", None, None, text
+    if h[3] % 100 < 20:
+        return len(units), "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return len(units), "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def texts():
+    signs = ["a", "B", "zé", "ß", "日本", "🙂", " ", "\n", "<", ">", "<P", "S>", "M", ".", "word", "-"]
+    out = ["", None, "a", "é", "<P>", "a<M>b", "<", "P>x", "word", "two words", "🙂🙂", "\x00a"]
+    out += ["".join(RNG.choice(signs) for _ in range(RNG.randrange(1, 60))) for _ in range(400)]
+    return [*out, "long text, " * 50_000, "x" * 300_000, "日" * 100_000, *out[5:9]]
+
+
+def test_equals_plain_loops(spark, monkeypatch):
+    rows = [(i if i != 7 else None, t, "k", 5) for i, t in enumerate(texts())] + [(3, "again", "k", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, form string, n int").repartition(3)
+    moved = infill.fill_in_middle(docs, ["doc_id", "text"])
+    got = infill.restored(moved, moved.columns).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == plainly(r.doc_id, r.text)
+        assert r.restored == (r.text or "")
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+    assert infill.fill_in_middle(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_one_batch_in_runs(monkeypatch):
+    """The kernel itself: rows cut alike whether they come in one run or in many, also from a sliced column."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(infill, "RUN_BYTES", 50)
+    all_texts = texts()
+    column = pa.array(all_texts, pa.string())[3:]
+    data, offsets = infill.strings(column)
+    draws = np.array([[RNG.getrandbits(32) for _ in column] for _ in range(4)])
+    spans = list(infill.runs(offsets))
+    assert spans[0][0] == 0 and spans[-1][1] == len(column) and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and len(spans) > 50
+    pieces = [infill.cut_texts(data, offsets[a : b + 1], draws[:, a:b], 90, 20) for a, b in spans]
+    whole = infill.cut_texts(data, offsets, draws, 90, 20)
+    assert infill.as_strings([p[4:] for p in pieces]) == infill.as_strings([whole[4:]])
+    assert np.concatenate([p[1] for p in pieces]).tolist() == whole[1].tolist()
+    back = infill.joined_texts(whole[4], whole[5], whole[1])
+    assert infill.as_strings([back]).to_pylist() == [t or "" for t in all_texts[3:]]
+
+
+def test_shares_of_the_forms(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some words, here").alias("text"))
+    forms = {r.form: r["count"] for r in infill.fill_in_middle(docs, ["doc_id"]).groupBy("form").count().collect()}
+    assert 330 < forms["plain"] < 470 and 620 < forms["spm"] < 820

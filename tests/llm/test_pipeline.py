@@ -188,6 +188,7 @@ COLUMNS = {
     "op8_decontamination": ("documents", {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}),
     "op9_main_text": ("pages", {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"}),
     "op10_quality": ("documents", {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}),
+    "op11_fill_in_middle": ("documents", {"doc_id": "bigint", "n": "bigint", "form": "string", "prefix_chars": "bigint", "middle_chars": "bigint", "output_sha256": "string", "restored_sha256": "string"}),
 }
 
 
