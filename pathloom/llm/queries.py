@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, infill, matroska, pieces, pii, quality, sharding, simhash, substrings, urlfilter
+from . import decontaminate, htmltext, infill, matroska, pieces, pii, quality, secretscan, sharding, simhash, substrings, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         htmltext.op9_main_text,
         quality.op10_quality,
         infill.op11_fill_in_middle,
+        secretscan.op12_secret_scan,
     )
 }
 
