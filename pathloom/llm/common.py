@@ -35,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store that nothing will read again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and written to the shared checkpoint folder."""
     context = df.sparkSession.sparkContext

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, infill, matroska, pieces, pii, quality, secretscan, sharding, simhash, substrings, urlfilter
+from . import decontaminate, htmltext, importance, infill, matroska, pieces, pii, quality, secretscan, sharding, simhash, substrings, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,7 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality.op10_quality,
         infill.op11_fill_in_middle,
         secretscan.op12_secret_scan,
+        importance.op13_importance,
     )
 }
 
-SQL: dict[str, str] = {"op4_substrings": substrings.OP4_SQL, "op8_decontamination": decontaminate.OP8_SQL, "op11_fill_in_middle": infill.OP11_SQL}
+SQL: dict[str, str] = {"op4_substrings": substrings.OP4_SQL, "op8_decontamination": decontaminate.OP8_SQL, "op11_fill_in_middle": infill.OP11_SQL, "op13_importance": importance.OP13_SQL}
