@@ -283,7 +283,7 @@ hashed AS (
   FROM features),
 placed AS (SELECT side, doc, bucket, sum(n) AS n FROM counted JOIN hashed USING (g) GROUP BY ALL),
 sums AS (SELECT bucket, CAST(coalesce(sum(n) FILTER (WHERE side = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (WHERE side = 1), 0) AS DOUBLE) AS t FROM placed GROUP BY bucket),
-gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(t) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(s) FROM sums) + 10000)))) AS BIGINT) AS gain FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000)))) AS BIGINT) AS gain FROM sums),
 weighed AS (SELECT doc, CAST(sum(n * gain) AS BIGINT) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc),
 scored AS (
   SELECT doc_id, len(w) AS words, CASE WHEN len(w) > 2 THEN 3 * len(w) - 3 WHEN len(w) = 2 THEN 3 ELSE len(w) END AS n_features, coalesce(weight, 0) AS weight,
