@@ -140,71 +140,13 @@ class Encoder:
         self.units, self.parts = Memory(self.unit, remembered), Memory(self.part, remembered)
         self.mark = (packed(self.bytes_of(SPACE)), NEVER, ())
 
-    def best(self, text: str) -> tuple[float, bytes]:
-        """The best segmentation of a text of known characters: the search for one, which never leaves the best way back."""
-        n = len(text)
-        best = [-NEVER] * (n + 1)
-        best[0] = 0.0
-        into = [0] * (n + 1)
-        for last, (before, score, _) in self.pieces.iter(text):
-            start = last - before
-            whole = best[start] + score
-            last += 1
-            if whole > best[last]:
-                best[last] = whole
-                into[last] = start
-        ids: list[bytes] = []
-        while n:
-            start = into[n]
-            ids.append(self.edges[text[start:n]])
-            n = start
-        ids.reverse()
-        return best[-1], b"".join(ids)
-
-    def two(self, text: str) -> Kept:
-        """The best two segmentations of a text of known characters: the search for two, of whose waiting entries only the best counts."""
-        n = len(text)
-        best = [-NEVER] * (n + 1)
-        best[0] = 0.0
-        into: list = [None] * (n + 1)
-        edges = list(self.pieces.iter(text))
-        for edge in edges:
-            last, (before, score, _) = edge
-            whole = best[last - before] + score
-            last += 1
-            if whole > best[last]:
-                best[last] = whole
-                into[last] = edge
-        way: list = []
-        place = n
-        while place:
-            edge = into[place]
-            way.append(edge)
-            place -= 1 + edge[1][0]
-        on = {edge[0]: edge for edge in way}
-        loss, other = NEVER, None
-        for edge in edges:
-            last = edge[0]
-            chosen = on.get(last)
-            if chosen is not None and chosen is not edge:
-                less = best[last + 1] - best[last - edge[1][0]] - edge[1][1]
-                if less < loss or (less == loss and last != other[0]):
-                    loss, other = less, edge
-        first = b"".join([edge[1][2] for edge in reversed(way)])
-        if other is None:
-            return first, NEVER, ()
-        second = [edge[1][2] for edge in way if edge[0] > other[0]]
-        second.append(other[1][2])
-        place = other[0] - other[1][0]
-        while place:
-            edge = into[place]
-            second.append(edge[1][2])
-            place -= 1 + edge[1][0]
-        second.reverse()
-        return first, loss, ((loss, b"".join(second)),)
-
-    def lattice(self, text: str) -> tuple[list[float], list[list[tuple[int, float, bytes]]]]:
-        """For each place of a text of known characters the best score of all ways to it, and the edges into it, longest piece first."""
+    def segmentations(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """The best n segmentations of a text of known characters as (score, ids), best first.
+
+        Forwards, each place gets the best score of all ways to it, and the edges into it, longest piece first. Backwards, an entry
+        of the A* search is a place with the path behind it; its value, the score behind plus the place's, is exactly that of
+        the best whole through it.
+        """
         best = [-NEVER] * (len(text) + 1)
         best[0] = 0.0
         edges: list[list[tuple[int, float, bytes]]] = [[] for _ in best]
@@ -214,16 +156,11 @@ class Encoder:
             edges[last].append(edge)
             if whole > best[last]:
                 best[last] = whole
-        return best, edges
-
-    def segmentations(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """The best n segmentations of a text of known characters as (score, ids), best first."""
-        best, edges = self.lattice(text)
         # (minus the score that the whole will have, tie-break, place, score behind it, path behind it)
         heap: list[tuple] = [(-best[-1], 0, len(text), 0.0, None)]
         out, pushed = [], 0
         # The heuristic is exact, so each entry ends in a path of its own with just its score: the n-th best bounds the rest.
-        known, worst = [best[-1]], -NEVER
+        known, worst = [best[-1]], best[-1] if n == 1 else -NEVER
         while heap and len(out) < n:
             total, _, place, behind, path = heapq.heappop(heap)
             while place:  # the best successor would come off the heap next: it is followed at once, the others wait
@@ -278,10 +215,6 @@ class Encoder:
             cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in self.together]
             if cuts:
                 return self.joined([self.parts[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)])])
-        if self.n == 1:
-            return self.best(text)[1], NEVER, ()
-        if self.n == 2:
-            return self.two(text)
         (score, ids), *others = self.segmentations(text, self.n)
         return ids, score - others[0][0] if others else NEVER, tuple([(score - s, i) for s, i in others])
 

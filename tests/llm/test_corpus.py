@@ -294,15 +294,40 @@ def test_quality_fit_is_bounded(spark):
     assert 0 < np.count_nonzero(few["weights"]) <= 7000 < np.count_nonzero(all_["weights"])
 
 
-def test_two_best_of_words_and_long_units():
+@pytest.mark.parametrize("n", [1, 2, 3, 7])
+def test_a_star_gives_the_best_n_of_all_segmentations(n):
     model = pieces.load_model()
-    two, three = pieces.Encoder(model, 2), pieces.Encoder(model, 3)
-    for _ in range(2000):
-        word = "▁" + "".join(RNG.choice(["th", "er", "a", "é", "ing", "ß", "on", "e"]) for _ in range(RNG.randint(1, 6)))
-        (best, ids), *others = three.segmentations(word, 2)
-        got = two.two(word)
-        assert got[0] == ids and (got[1] == pytest.approx(best - others[0][0]) if others else got[2] == ())
+    encoder = pieces.Encoder(model, n)
+
+    def every(t):
+        return [(0.0, [])] if not t else [(model.pieces[t[:j]][1] + s, [model.pieces[t[:j]][0], *ids]) for j in range(1, len(t) + 1) if t[:j] in model.pieces for s, ids in every(t[j:])]
+
+    for _ in range(300):
+        word = "▁" + "".join(RNG.choice(["th", "er", "a", "é", "ing", "ß", "on", "e"]) for _ in range(RNG.randint(1, 4)))
+        all_ = sorted(every(word), key=lambda x: -x[0])
+        got = encoder.segmentations(word, n)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in all_[:n]]) and len({ids for _, ids in got}) == len(got)
+        scores = {np.array(ids, np.uint32).tobytes(): s for s, ids in all_}
+        assert all(scores[ids] == pytest.approx(s) for s, ids in got)
     long = "thereof" * 20_000
-    for n in (1, 2, 5):
-        u = pieces.Encoder(model, n).encode(long)
-        assert pieces.Encoder(model, n).decode(u.ids) == long and len(u.others) == n - 1 and all(loss >= 0 for loss, _ in u.others)
+    u = pieces.Encoder(model, n).encode(long)
+    assert pieces.Encoder(model, n).decode(u.ids) == long and len(u.others) == n - 1 and all(loss >= 0 for loss, _ in u.others)
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_every_unit_goes_through_the_search(n):
+    """What the query (two segmentations) and the pipeline (one) remember of runs without a cut all came from the A* search."""
+    searched = set()
+
+    class Counting(pieces.Encoder):
+        def segmentations(self, text, k):
+            assert k == n
+            searched.add(text)
+            return super().segmentations(text, k)
+
+    encoder = Counting(pieces.load_model(), n)
+    texts = [*TEXTS, "▁mark", "日本語 unit of 一 signs", "x" * 300, prose(2000)]
+    for t in texts:
+        assert encoder.decode(encoder.encode(t).ids) == (t or "")
+    whole = [p for p in encoder.parts if encoder.alone.issuperset(p) and (len(p) <= pieces.SHORT or all(a + b in encoder.together for a, b in zip(p, p[1:])))]
+    assert len(whole) > 100 and set(whole) <= searched
