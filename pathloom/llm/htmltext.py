@@ -6,6 +6,11 @@ are discounted by its share of linked characters. The best container is kept, wi
 it, with those siblings that score a fifth of it; where there is no such part, with its sibling headings, paragraphs and
 containers of whole paragraphs. Unlikely containers (menus, adverts, notices, comments and the like) and lists made of links go.
 
+A name (class, id, role) speaks against a container by its last word, or by its first or last but one where the last only says what kind of part
+it is (`share-buttons`, `widget-area`). It does not where it tells a state (`has-sidebar`, `no-comments`), nor on a page of whose
+unlinked text half or more stands in parts of that very name (frameworks call everything a widget), nor inside the article for a part with two
+long paragraphs and few links (`related`, `social` may head a section). Names of adverts and readers' comments always count.
+
 One pass over the tags and one over the tree: the time follows the page's length, however tags nest or stay open.
 
 Defined cases: null and empty html give an empty text; unclosed and crossed tags close at the next fitting tag; a menu, form or
@@ -46,10 +51,18 @@ INNER = PARAGRAPH_LIKE | frozenset("li dt dd figcaption".split())
 LISTS = frozenset("ul ol dl table tbody thead tr td th div section figure".split())
 #: Words in class, id or role of what is no part of an article.
 UNLIKELY = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discuss discussion disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pagination popup promo promos promoted promotion related replies reply share shares sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
+#: Of these, the ones that count however much text a part holds.
+ALWAYS = frozenset("ad ads adv advert adverts advertisement advertising promo promos promoted promotion sponsor sponsored sponsors comment comments disqus replies reply".split())
+#: Words that tell a state of what they name.
+STATES = frozenset("has have no not non with without is are hide hides hidden show shows enable enabled disable disabled".split())
+#: Words that say what kind of part it is, so that the words before them say whose.
+PART_NOUNS = frozenset("area aside bar block body box button buttons card cards center col column container content count cta element feed footer form grid group header heading icon icons image inner item items layout left link links list logo main module modal nav outer overlay panel popup post posts region right row section slot stories strip tab tabs title top bottom unit view wrap wrapper zone".split())
 PAGE_HEADS = frozenset("header masthead".split())
 ATTRIBUTE = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"\shidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Tags whose names say nothing about a part.
+WHOLE = frozenset("html body main".split())
 BONUS = {"article": 25, "main": 15, "section": 3, "div": 3, "td": 2, "blockquote": 2}
 LEVELS = 5
 #: Mean characters of a paragraph from which on a container beside the best one is text.
@@ -57,26 +70,73 @@ LONG = 80
 
 
 class Node:
-    __slots__ = ("tag", "up", "bad", "article", "score", "chars", "linked", "blocks", "place", "last")
+    __slots__ = ("tag", "up", "bad", "article", "score", "chars", "linked", "blocks", "place", "last", "names", "head", "hidden", "plain", "long")
 
-    def __init__(self, tag: str, up: Node | None, bad: bool, article: Node | None, place: int):
-        self.tag, self.up, self.bad, self.place, self.last = tag, up, bad, place, place
-        self.article = self if article is None and tag in ("article", "main") and not bad else article
+    def __init__(self, tag: str, up: Node | None, place: int, attributes: str = ""):
+        self.tag, self.up, self.place, self.last = tag, up, place, place
+        self.bad, self.article = False, None
+        self.hidden = bool(attributes and tag not in WHOLE and HIDDEN.search(attributes))
+        self.names, self.head = names_of(tag, attributes) if attributes and tag not in WHOLE else ((), False)
         self.score, self.chars, self.linked, self.blocks = float(BONUS.get(tag, 0)), 0, 0, 0
+        #: unlinked characters, and how many long unlinked blocks they make
+        self.plain, self.long = 0, 0
 
 
-def unlikely(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether class, id or role say that an element is no part of the article. A paragraph's name counts only as a whole, the first
-    or last word of a container's does; a header inside the article is part of it."""
+def names_of(tag: str, attributes: str) -> tuple[tuple[tuple[str, bool], ...], bool]:
+    """The tokens of class, id and role that speak against an element, each with whether it always counts, and whether one names a
+    page's head. A paragraph's or article's name counts only as a whole."""
+    found, head, alone = [], False, tag in INNER or tag == "article"
     for name in ATTRIBUTE.findall(attributes):
         for token in name.strip("\"'").split():
             words = [w.lower() for w in PARTS.findall(token)]
-            if not words:
+            if not words or STATES.intersection(words) or (alone and len(words) > 1):
                 continue
-            ends = words if len(words) == 1 else [] if tag in INNER else [words[0], words[-1]] if len(words) == 2 or words[-1] in UNLIKELY else []
-            if any(w in UNLIKELY for w in ends) or (not inside and tag not in INNER and any(w in PAGE_HEADS for w in ends) and not {"article", "post", "entry", "story", "content"} & set(words)):
-                return True
-    return False
+            signs = {words[-1], words[0], words[-2]} if len(words) > 1 and words[-1] in PART_NOUNS else {words[-1]}
+            if signs & UNLIKELY:
+                found.append((token.lower(), bool(signs & ALWAYS)))
+            head |= not alone and bool(PAGE_HEADS.intersection((words[0], words[-1]) if len(words) < 3 else words[-1:])) and not {"article", "post", "entry", "story", "content"} & set(words)
+    return tuple(found), head
+
+
+def judge(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Sums up what each node holds and says which nodes are no part of an article, and which article each is in."""
+    for node, text, linked in blocks:
+        node.chars += len(text)
+        node.linked += linked
+        node.blocks += 1
+        if 2 * linked <= len(text):
+            node.plain += len(text)
+            node.long += len(text) >= LONG
+    own = [node.plain for node in nodes]
+    for node in reversed(nodes[1:]):
+        up = node.up
+        up.chars, up.linked, up.blocks, up.last = up.chars + node.chars, up.linked + node.linked, up.blocks + node.blocks, max(up.last, node.last)
+        up.plain, up.long = up.plain + node.plain, up.long + node.long
+    # how much text stands in parts of each name, and in all that no part which is certain to go holds
+    whole, under, share = 0, defaultdict(int), defaultdict(int)
+    around: list[Node] = []
+    gone = -1
+    for node in nodes:
+        while around and around[-1].last < node.place:
+            for token, _ in around.pop().names:
+                under[token] -= 1
+        if node.place > gone:
+            if node.hidden or any(always for _, always in node.names):
+                gone = node.last
+            else:
+                whole += own[node.place]
+        if node.names:
+            for token, _ in node.names:
+                if not under[token] and node.place > gone:
+                    share[token] += node.plain
+                under[token] += 1
+            around.append(node)
+    for node in nodes[1:]:
+        up, inside = node.up, node.up.article is not None
+        rich = inside and node.long >= 2 and 4 * node.linked < node.chars
+        named = any(always or not (rich or (2 * share[token] >= whole > 0)) for token, always in node.names) and (node.tag != "article" or inside)
+        node.bad = up.bad or node.hidden or named or (not inside and (node.head or node.tag == "header"))
+        node.article = node if up.article is None and node.tag in ("article", "main") and not node.bad else up.article
 
 
 def skips(tokens: list[re.Match]) -> dict[int, int]:
@@ -108,7 +168,7 @@ def tags_of(html: str) -> list[re.Match]:
 
 def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """The tree's nodes, each before what it holds, and (container, text, linked characters) of each block of text in page order; dropped parts are left out."""
-    nodes = [Node("#", None, False, None, 0)]
+    nodes = [Node("#", None, 0)]
     open_: list[Node] = [nodes[0]]
     where: defaultdict[str, list[int]] = defaultdict(list)  # tag -> depths at which it is open
     out: list[tuple[Node, str, int]] = []
@@ -184,13 +244,8 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             if depth and depth > max((where[t][-1] for t in LIMITS if where[t]), default=0):
                 shut(depth)
         up = open_[-1]
-        bad = up.bad
-        if tag not in ("html", "body", "article", "main") and not bad and (m[3] or tag == "header"):
-            bad = bool(HIDDEN.search(m[3])) or unlikely(tag, m[3], up.article is not None) or (tag == "header" and up.article is None)
-        elif tag == "article" and not bad:  # one reader's comment is often an article of its own
-            bad = up.article is not None and unlikely("p", m[3], True)
         where[tag].append(len(open_))
-        nodes.append(Node(tag, up, bad, up.article, len(nodes)))
+        nodes.append(Node(tag, up, len(nodes), m[3]))
         open_.append(nodes[-1])
     put(html[at:])
     close()
@@ -205,12 +260,10 @@ def main_text(html: str | None) -> str:
     nodes, blocks = blocks_of(html or "")
     if not blocks:
         return ""
+    judge(nodes, blocks)
     scored: dict[Node, None] = {}
     holds_heading: set[Node] = set()
     for node, text, linked in blocks:
-        node.chars += len(text)
-        node.linked += linked
-        node.blocks += 1
         above: Node | None = node.up if node.tag in INNER and node.up is not None else node
         if node.tag in ("h1", "h2") and not node.bad:
             holds_heading.add(above)
@@ -224,9 +277,6 @@ def main_text(html: str | None) -> str:
                     scored[above] = None
                 above.score += points / level
             above = above.up
-    for node in reversed(nodes[1:]):
-        up = node.up
-        up.chars, up.linked, up.blocks, up.last = up.chars + node.chars, up.linked + node.linked, up.blocks + node.blocks, max(up.last, node.last)
     worth = {c: c.score * (1 - density(c)) for c in scored}
     if worth:
         best = max(worth, key=lambda c: worth[c])

@@ -18,7 +18,7 @@ def random_tree(depth):
     """(tag, class, linked, children or text)"""
     if depth == 0 or RNG.random() < 0.3:
         return (RNG.choice(["p", "p", "p", "h2", "blockquote", "pre"]), RNG.choice(["", "", "lead", "ad"]), RNG.random() < 0.15, sentence(RNG.randrange(1, 40)))
-    return (RNG.choice(["div", "section", "article", "div"]), RNG.choice(["", "", "", "sidebar", "body", "user-comments"]), False, [random_tree(depth - 1) for _ in range(RNG.randrange(1, 5))])
+    return (RNG.choice(["div", "section", "article", "div"]), RNG.choice(["", "", "", "sidebar", "body", "user-comments", "ad-slot", "has-sidebar", "elementor-widget", "widget-text", "related-posts"]), False, [random_tree(depth - 1) for _ in range(RNG.randrange(1, 5))])
 
 
 def rendered(tree):
@@ -34,6 +34,7 @@ class Naive:
         self.tag, self.name, self.linked, inner = tree
         self.up, self.leaf = up, not isinstance(inner, list)
         self.text = inner.replace("&amp;", "&") if self.leaf else ""
+        self.memory = {}
         self.children = [] if self.leaf else [Naive(x, self) for x in inner]
 
     def above(self):
@@ -49,11 +50,40 @@ class Naive:
         found = [x for x in [self, *self.above()] if x.tag == "article" and not x.bad()]
         return found[-1] if found else None
 
+    def root(self):
+        return self.above()[-1] if self.up else self
+
+    def named(self):
+        """The name speaks against this part: whether, and whether it always counts."""
+        alone = self.tag in htmltext.INNER or self.tag == "article"
+        if self.name == "ad" or (not alone and self.name in ("user-comments", "ad-slot")):
+            return True, True
+        return self.name == "sidebar" or (not alone and self.name in ("elementor-widget", "related-posts")), False
+
+    def plain(self):
+        return [x for x in self.leaves() if not x.linked and x.text]
+
+    def common(self):
+        """Half of the page's unlinked text, but for what is certain to go, stands in parts of this name."""
+        going = lambda x: any(y.named() == (True, True) for y in [x, *x.above()])
+        whole = sum(len(x.text) for x in self.root().plain() if not going(x))
+        parts = [x for x in self.root().below() if x.name == self.name and x.named()[0] and not any(y.name == self.name and y.named()[0] for y in x.above()) and not going(x)]
+        return 2 * sum(len(x.text) for p in parts for x in p.plain()) >= whole > 0
+
     def bad(self):
-        up_bad = bool(self.up) and self.up.bad()
-        if self.tag == "article":
-            return up_bad or (bool(self.up) and self.up.article() is not None and self.name in ("ad", "sidebar"))
-        return up_bad or self.name in ("ad", "sidebar") or (self.name == "user-comments" and self.tag not in htmltext.INNER)
+        if "bad" not in self.memory:
+            self.memory["bad"] = self.is_bad()
+        return self.memory["bad"]
+
+    def is_bad(self):
+        if self.up and self.up.bad():
+            return True
+        against, always = self.named()
+        inside = bool(self.up) and self.up.article() is not None
+        if not against or (self.tag == "article" and not inside):
+            return False
+        rich = inside and sum(len(x.text) >= htmltext.LONG for x in self.plain()) >= 2 and self.density() < 0.25
+        return always or not (rich or self.common())
 
     def chars(self):
         return sum(len(x.text) for x in self.leaves())
@@ -109,6 +139,8 @@ def test_equals_the_naive_version():
     assert kept > 200
 
 
+LONG = "<p>" + "Some long sentence, of the article, that goes on and on until it is long enough. " * 2 + "</p>"
+TEXT = ("Some long sentence, of the article, that goes on and on until it is long enough. " * 2).strip()
 BODY = "<p>One, two and three, as is said.</p>" * 3
 
 
@@ -137,7 +169,27 @@ def test_parts_that_stay_or_go(page, expected):
     assert got == expected or (page.startswith("<nav>") and got == "Text, here.")
 
 
-@pytest.mark.parametrize("unit", ["<button>x", "<div>x", '<a "', '<a x="', "<!", "<?", "<a ", "<blockquote><p>x", "<div></section>", "<script>", "<ul><li>x", '<p title="5" 6">T', "<form>", "<!--", "&", "<", "<table><tr><td>x", "<section class='a-b'>x</div>"])
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "elementor-widget", "elementor-element elementor-widget elementor-widget-text", "with-comments", "layout sidebar-right", "post social-share-enabled"])
+def test_a_name_takes_no_article_away(name):
+    for page in (f'<body><div class="{name}"><h1>Head</h1>{LONG * 3}</div></body>', f'<body><nav>menu</nav><div class="{name}"><div><h1>Head</h1></div><div>{LONG * 3}</div></div><div class="ad">Buy</div></body>'):
+        assert htmltext.main_text(page) == " ".join(["Head"] + [TEXT] * 3)
+    parts = "".join(f'<div class="{name}">{LONG}</div>' for _ in range(4))
+    assert htmltext.main_text(f"<body><main><h1>Head</h1>{parts}</main></body>") == " ".join(["Head"] + [TEXT] * 4)
+
+
+@pytest.mark.parametrize("name", ['class="widget-text"', 'class="social-history"', 'id="related-work"', 'id="related"', 'class="discussion"', 'id="social-media"', 'class="has-ads"'])
+def test_a_section_of_the_article_stays(name):
+    assert htmltext.main_text(f"<article><h1>Head</h1>{LONG}<section {name}>{LONG * 2}</section>{LONG}</article>") == " ".join(["Head"] + [TEXT] * 4)
+    assert htmltext.main_text(f"<article><h1>Head</h1><div {name}>{LONG * 3}</div></article>") == " ".join(["Head"] + [TEXT] * 3)
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "user-comments", "comment-list", "sidebar", "newsletter-signup", "share-buttons", "related-posts", "cookie-notice", "widget-area", "advertisement"])
+def test_parts_beside_the_article_go(name):
+    other = "<p>Short, one.</p>" if name in ("ad", "sidebar") else "<p>Some other words, as many as it takes to be a paragraph of eighty characters.</p>"
+    assert htmltext.main_text(f"<body><div class='{name}'>{other}</div><article><h1>Head</h1>{LONG * 3}<div class='{name}'>{other}</div></article><div class='{name}'>{other}</div></body>") == " ".join(["Head"] + [TEXT] * 3)
+
+
+@pytest.mark.parametrize("unit", ["<div class='sidebar'>x", "<div class='x-sidebar a-widget'><p>x", "<button>x", "<div>x", '<a "', '<a x="', "<!", "<?", "<a ", "<blockquote><p>x", "<div></section>", "<script>", "<ul><li>x", '<p title="5" 6">T', "<form>", "<!--", "&", "<", "<table><tr><td>x", "<section class='a-b'>x</div>"])
 def test_time_follows_the_length(unit):
     began = time.process_time()
     htmltext.main_text(unit * 50_000)
