@@ -6,7 +6,9 @@ document that has a window sends it; for the others it is known at once that a s
 in one task: every (window, document) that is not the smallest of its window goes, by its place, to the document's group,
 where it meets the text again and overlapping windows merge into maximal intervals to remove.
 
-Hot windows: a passage that a third of all documents share is sent once per batch. Buckets grow in number with the input.
+Hot windows: a passage that a third of all documents share is sent once per batch. Buckets grow in number with the input. Beyond
+LEVEL of them a batch would hold too few windows of each to pack; windows then travel in two steps, first by the LEVEL ranges of their
+hashes, in which batches of one range form anew, then by bucket. What a batch costs does not depend on the number of buckets.
 
 Defined cases: null and empty texts and texts of fewer than `size` words lose nothing, nor do rows with a null id; a
 document never loses words for a repeat inside itself only; texts of any length are taken whole; repeated rows of one id count as
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ from .common import in_batches, input_partitions, shuffle_partitions, table
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of a batch: what one task holds at a time. A longer document is a batch of its own.
 BATCH_WORDS = 1_500_000
+#: Ranges of hashes of a first step; with these the highest byte of a hash follows from its range.
+LEVEL = 1024
 
 
 class WordHashes(dict):
@@ -55,19 +60,30 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where runs of one id start, and their lengths."""
-    starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else np.zeros(0, np.int64)
-    return starts, np.diff(np.append(starts, len(ids)))
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Stretches of data's bytes as a column; offsets in bytes."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def pack_places(places: np.ndarray, starts: np.ndarray) -> bytes:
-    """Places as 16-bit steps within a document, low bytes first, then high bytes; as 32-bit numbers if a step is too long."""
+def packed_places(places: np.ndarray, runs_at: np.ndarray, rows_at: np.ndarray) -> pa.Array:
+    """One binary a row: places as 16-bit steps within a document, low bytes first, then high bytes; as 32-bit numbers if a step of the row is too long."""
     steps = np.diff(places, prepend=0)
-    steps[starts] = places[starts]
-    if len(steps) and steps.max() < 1 << 16:
-        return b"\0" + steps.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
-    return b"\1" + places.astype("<u4").tobytes()
+    steps[runs_at] = places[runs_at]
+    sizes = np.diff(np.append(rows_at, len(places)))
+    wide = np.maximum.reduceat(steps, rows_at) >= 1 << 16
+    offsets = np.concatenate(([0], np.cumsum(1 + sizes * np.where(wide, 4, 2))))
+    out = np.zeros(offsets[-1], np.uint8)
+    out[offsets[:-1]] = wide
+    inside = np.arange(len(places)) - np.repeat(rows_at, sizes)
+    first, size, is_wide = np.repeat(offsets[:-1] + 1, sizes), np.repeat(sizes, sizes), np.repeat(wide, sizes)
+    short = ~is_wide
+    at = first[short] + inside[short]
+    out[at] = steps[short] & 255
+    out[at + size[short]] = steps[short] >> 8
+    at = first[is_wide] + 4 * inside[is_wide]
+    for k in range(4):
+        out[at + k] = places[is_wide] >> 8 * k & 255
+    return binaries(out, offsets)
 
 
 def unpack_places(raw: bytes, counts: np.ndarray) -> np.ndarray:
@@ -79,19 +95,41 @@ def unpack_places(raw: bytes, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[starts] - steps[starts], counts)
 
 
-def rows_by(key: np.ndarray, keys: int, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray | None = None) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-    """Windows (by id, then place) as one row per key: (key, ids, windows of each, places, hashes).
+def rows_by(key: np.ndarray, ids: np.ndarray, places: np.ndarray, hashes: np.ndarray | None = None) -> list[pa.Array]:
+    """Windows (by id, then place) as one row per key that occurs: columns key, ids, windows of each, places, hashes.
 
-    Of a hash seven bytes travel: the eighth, its highest, follows but for a bit from the bucket.
+    Of a hash seven bytes travel: the eighth, its highest, follows from the bucket or its range, but for a bit.
     """
     order = np.argsort(key, kind="stable")
-    bounds = np.searchsorted(key[order], np.arange(keys + 1))
-    for k in range(keys):
-        rows = order[bounds[k] : bounds[k + 1]]
-        if len(rows):
-            starts, lengths = runs(ids[rows])
-            sent = b"" if hashes is None else np.ascontiguousarray(hashes[rows]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-            yield k, ids[rows[starts]].tobytes(), lengths.astype(np.uint32).tobytes(), pack_places(places[rows], starts), sent
+    key, ids, places = key[order], ids[order], places[order]
+    new_key = np.diff(key, prepend=key[:1] - 1) != 0
+    rows_at = np.flatnonzero(new_key)
+    runs_at = np.flatnonzero(new_key | (np.diff(ids, prepend=ids[:1]) != 0))
+    lengths = np.diff(np.append(runs_at, len(key))).astype(np.uint32)
+    first_runs = np.append(np.searchsorted(runs_at, rows_at), len(runs_at))
+    sent = pa.array([b""] * len(rows_at), pa.binary()) if hashes is None else binaries(np.ascontiguousarray(hashes[order]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7], 7 * np.append(rows_at, len(key)))
+    return [pa.array(key[rows_at], pa.int32()), binaries(ids[runs_at].view(np.uint8), 8 * first_runs), binaries(lengths.view(np.uint8), 4 * first_runs), packed_places(places, runs_at, rows_at), sent]
+
+
+def first_starts(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of windows by id, which have a hash that occurs under a smaller id too."""
+    order = np.argsort(hashes, kind="stable")
+    h, i = hashes[order], ids[order]
+    new = np.diff(h, prepend=~h[:1]) != 0
+    least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
+    loses = np.zeros(len(h), bool)
+    loses[order] = i > least
+    return loses
+
+
+def dealt(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, buckets: int, groups: int, names: list[str]) -> pa.RecordBatch:
+    """A batch of windows (by id, then place): those of the smallest document of each go by bucket of their hash, the others, known already, by group of documents."""
+    loses = first_starts(hashes, ids)
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    parts = [rows_by(bucket[~loses], ids[~loses], places[~loses], hashes[~loses])]
+    if loses.any():
+        parts.append(rows_by(group_of(ids[loses], groups), ids[loses], places[loses]))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(columns) for columns in zip(*parts)], names=names)
 
 
 def unpack_hashes(raw: bytes) -> np.ndarray:
@@ -111,10 +149,13 @@ def group_column(id_col: str, text_col: str, groups: int) -> Column:
     return (F.coalesce(F.crc32(F.col(id_col).cast("string")), F.crc32(text_col), F.lit(0)) % groups).cast("int")
 
 
-def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL) -> DataFrame:
     """Windows that also start in a document with a smaller id: (grp, ids, counts, places), packed by group of documents; many rows a group."""
     schema = "key int, ids binary, counts binary, places binary, hashes binary"
     names = ["key", "ids", "counts", "places", "hashes"]
+    two_steps = buckets > level
+    fine = -(-buckets // level)
+    all_buckets = level * fine if two_steps else buckets
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -127,18 +168,7 @@ def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str =
             places = np.concatenate([np.arange(len(h), dtype=np.int64) for _, h in held])
             hashes = np.concatenate([h for _, h in held])
             held.clear()
-            order = np.argsort(hashes, kind="stable")  # of one hash: by id, as the rows are
-            h, i = hashes[order], ids[order]
-            new = np.diff(h, prepend=~h[:1]) != 0
-            least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
-            loses = np.zeros(len(h), bool)
-            loses[order] = i > least
-            del order, h, i, new, least
-            bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            rows = list(rows_by(bucket[~loses].astype(np.int64), buckets, ids[~loses], places[~loses], hashes[~loses]))
-            # what is known already goes by group of documents
-            rows += rows_by(group_of(ids[loses], buckets), buckets, ids[loses], places[loses])
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 5))], names=names)
+            return dealt(ids, places, hashes, level if two_steps else buckets, buckets, names)
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -153,6 +183,34 @@ def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str =
         if held:
             yield flush()
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one range after the other: batches of its windows, dealt by bucket."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        now, windows = None, 0
+
+        def flush() -> pa.RecordBatch:
+            ids, places, hashes = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((places, ids))
+            return dealt(ids[order], places[order], hashes[order], all_buckets, buckets, names)
+
+        for batch in batches:
+            known = pc.equal(pc.binary_length(batch.column(4)), 0)
+            if pc.any(known).as_py():
+                yield batch.filter(known)
+            for key, ids, counts, places, hashes in zip(*(c.to_pylist() for c in batch.filter(pc.invert(known)).columns)):
+                if held and (key != now or windows >= BATCH_WORDS):
+                    yield flush()
+                    windows = 0
+                now = key
+                n = np.frombuffer(counts, np.uint32).astype(np.int64)
+                # the range says what the highest byte is: a step of hashes is 2^64 / level wide
+                top = np.uint64((key << 32) // level >> 24 << 56)
+                held.append((np.repeat(np.frombuffer(ids, np.int64), n), unpack_places(places, n), unpack_hashes(hashes) | top))
+                windows += len(held[-1][0])
+        if held:
+            yield flush()
+
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         ids, places, hashes, out = [], [], [], []
         for i, c, p, h in zip(*(rows.column(n) for n in names[1:])):
@@ -163,6 +221,7 @@ def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str =
             hashes.append(unpack_hashes(h.as_py()))
             places.append(unpack_places(p.as_py(), n))
             ids.append(np.repeat(np.frombuffer(i.as_py(), np.int64), n))
+        found = [pa.array([r[k] for r in out], kind) for k, kind in enumerate([pa.int32(), *[pa.binary()] * 3])]
         if hashes:
             h = np.concatenate(hashes)
             del hashes
@@ -177,10 +236,16 @@ def repeated_places(docs: DataFrame, buckets: int, size: int = 13, id_col: str =
                 i, p = i[lost], p[lost]
                 order = np.lexsort((p, i))
                 i, p = i[order], p[order]
-                out += [r[:4] for r in rows_by(group_of(i, buckets), buckets, i, p)] if len(i) else []
-        return pa.table({"grp": pa.array([r[0] for r in out], pa.int32()), **{n: pa.array([r[k] for r in out], pa.binary()) for k, n in enumerate(names[1:4], 1)}})
+                if len(i):
+                    found = [pa.concat_arrays(pair) for pair in zip(found, rows_by(group_of(i, buckets), i, p))]
+        return pa.table(found, names=["grp", *names[1:4]])
 
     sent = in_batches(docs.select(F.col(id_col).cast("long"), text_col), send, schema)
+    if two_steps:
+        many = shuffle_partitions(docs.sparkSession)
+        slices = -(-4 * many // level)  # a range may lie in several tasks
+        sent = sent.repartition(many, "key", F.pmod(F.xxhash64("ids"), F.lit(slices))).sortWithinPartitions("key")
+        sent = in_batches(sent, again, schema)
     return sent.groupBy("key").applyInArrow(count, "grp int, ids binary, counts binary, places binary")
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -191,6 +192,42 @@ def test_substrings(docs, nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_in_two_steps_of_the_exchange(spark, monkeypatch):
+    """With more buckets than ranges the same places are found as in one step."""
+    passages = [prose(20) for _ in range(6)]
+    rows = [(i, f"{prose(RNG.randrange(5, 60))} {RNG.choice(passages)} {prose(3)}") for i in range(150)] + [(500, " ".join(f"w{k}" for k in range(70_000)) + " " + passages[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+    def places(buckets, level):
+        out = set()
+        for r in substrings.repeated_places(frame, buckets, level=level).collect():
+            counts = np.frombuffer(r.counts, np.uint32).astype(np.int64)
+            out |= set(zip(np.repeat(np.frombuffer(r.ids, np.int64), counts).tolist(), substrings.unpack_places(r.places, counts).tolist()))
+        return out
+
+    seen, expected = {}, set()
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            if seen.setdefault(tuple(w[k : k + 13]), i) != i:
+                expected.add((i, k))
+    assert len(expected) > 200 and places(8, 1024) == places(5000, 256) == places(700, 512) == expected
+
+
+def test_a_batch_costs_the_same_however_many_buckets():
+    rng = np.random.default_rng(3)
+    ids = np.repeat(np.arange(4000), 100)
+    args = ids, np.tile(np.arange(100), 4000), rng.integers(0, 1 << 63, len(ids)).astype(np.uint64) * np.uint64(2)
+    took = []
+    for buckets in (1000, 1_000_000):
+        began = time.process_time()
+        batch = substrings.dealt(*args, buckets, buckets, ["key", "ids", "counts", "places", "hashes"])
+        took.append(time.process_time() - began)
+        counts = [np.frombuffer(c.as_py(), np.uint32).astype(np.int64) for c in batch.column(2)]
+        assert sum(c.sum() for c in counts) == len(ids)
+    assert took[1] < 3 * took[0] + 0.5
+
+
 def test_personal_data(docs, nothing):
     model = pii.fit(np.zeros((0, pii.FEATURES)), np.zeros(0, bool), np.zeros(0, bool))
     got = {r.doc_id: r for r in pii.find(docs, model, ["doc_id"], redact=True).collect()}
