@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, in_batches, shared_folder, table
+from .common import broadcast_if_small, cut, in_batches, removed, shared_folder, table
 
 #: Letters A-Z become small, digits, small letters and all bytes from 128 stay, everything else parts words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -167,9 +167,12 @@ def search(index: DataFrame, phrases: DataFrame, id_col: str = "doc_id", slop: i
     counts = places.groupBy("term").agg(F.sum("n").alias("total"))
     known = wanted.join(counts, "term", "left").groupBy("phrase").agg(F.min_by("term", F.struct("total", "offset")).alias("term"), F.count(F.when(F.col("total").isNull(), 1)).alias("missing"))
     slices = max(1, -(-known.count() // PHRASES))
-    asked = known.filter("missing = 0").join(places.select("shard", "term"), "term").select("shard", F.pmod(F.xxhash64("phrase"), F.lit(slices)).cast("int").alias("slice"), "phrase")
+    slice_of = F.pmod(F.xxhash64("phrase"), F.lit(slices)).cast("int").alias("slice")
+    asked = known.filter("missing = 0").join(places.select("shard", "term"), "term").select("shard", slice_of, "phrase")
+    # a slice of phrases gets the places of its own terms, and the shard's documents
     every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
-    held = index.filter("term = 0").unionByName(places).select("shard", every, "term", "places")
+    sent = places.join(wanted.select("term", slice_of).distinct(), "term") if slices > 1 else places.withColumn("slice", F.lit(0))
+    held = index.filter("term = 0").select("shard", every, "term", "places").unionByName(sent.select("shard", "slice", "term", "places"))
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         postings, docs = {}, np.zeros((0, 2), np.int64)
@@ -225,7 +228,10 @@ def search(index: DataFrame, phrases: DataFrame, id_col: str = "doc_id", slop: i
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0) -> DataFrame:
     """search() of every window of `size` words of the items' texts in all docs."""
-    return search(build_index(docs), cut(phrases_of(items, size)), slop=slop)
+    path = f"{shared_folder(docs.sparkSession)}/postings-{uuid.uuid4().hex}"
+    found = search(build_index(docs, path), cut(phrases_of(items, size)), slop=slop)
+    removed(docs.sparkSession, path)  # what was found is stored by now
+    return found
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
