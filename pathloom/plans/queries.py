@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import catalog, cleaning, floors, graph, grouped
+from ..operators.keeping import shared_folder
+from ..sources import slam
 from ..sources.scans import OLD_TOLERANCE, TRAJECTORY_SQL, decoded_pose, encoded_pose, rotation, trajectory, walks
 from . import processing
 
@@ -55,6 +58,19 @@ FLOATS = "CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE
 query("s1_s2_s3_positions", f"{WALKS}, v AS (SELECT scan_id, node_id, {FLOATS} FROM p WHERE node_id % 11 <> 0 AND node_id % 13 <> 0 AND node_id % 17 <> 0 AND node_id % 19 <> 0) SELECT scan_id, node_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY node_id) - 1 AS BIGINT) AS seq, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM v")(
     lambda s, d: rounded(trajectory(nodes_of(s, d).withColumn("pose", F.when(F.col("short"), F.substring("pose", 1, 47)).otherwise(F.col("pose")))).select("scan_id", "node_id", "seq", "x", "y", "z"), 5)
 )
+def slam_folder(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """nodes written as one database a scan into the shared folder, and read from there by the source; through Spark's files where the shared folder is no mounted one."""
+    shared = f"{shared_folder(spark)}/slam-{uuid.uuid4().hex}"
+    if shared.startswith(("file:", "/")):
+        slam.write_nodes(nodes, shared)
+        return slam.read_nodes(spark, shared)
+    slam.packed(nodes).write.parquet(shared)
+    return slam.nodes_in(spark.read.parquet(shared)).filter("NOT head")
+
+
+query("s1_slam_files", f"{WALKS}, v AS (SELECT scan_id, node_id, {FLOATS} FROM p WHERE node_id % 11 <> 0 AND node_id % 13 <> 0 AND node_id % 17 <> 0 AND node_id % 19 <> 0 AND node_id > 500) SELECT scan_id || '.db' AS scan_id, node_id, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY node_id) - 1 AS BIGINT) AS seq, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM v")(
+    lambda s, d: rounded(trajectory(slam_folder(s, nodes_of(s, d).withColumn("pose", F.when(F.col("short"), F.substring("pose", 1, 47)).otherwise(F.col("pose")))).filter("node_id > 500")).select("scan_id", "node_id", "seq", "x", "y", "z"), 5)
+)
 query("s5_rotation", f"{WALKS} SELECT scan_id, node_id, node_id % 7 AS r3, node_id % 5 AS r6, 3 AS trace FROM p WHERE node_id % 11 <> 0 AND node_id % 17 <> 0")(
     lambda s, d: nodes_of(s, d).filter(F.length("pose") == 48).withColumn("r", rotation(decoded_pose("pose"))).select("scan_id", "node_id", F.col("r")[2].cast("long").alias("r3"), F.col("r")[5].cast("long").alias("r6"), (F.col("r")[0] + F.col("r")[4] + F.col("r")[8]).cast("int").alias("trace"))
 )

@@ -1,57 +1,17 @@
-"""Sources: SLAM databases (SQLite files with a Node table) and a trajectory made from the events table."""
+"""Poses and positions of nodes, and a trajectory made from the events table."""
 
 from __future__ import annotations
 
-import os
-import sqlite3
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from ..functions.geometry import valid_position
 
 
-class NodeFile(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class NodeReader(DataSourceReader):
-    """One partition a file; paths must be visible to the executors, as SQLite reads files only."""
-
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["path"].split(",") if p]
-
-    def partitions(self) -> list[NodeFile]:
-        return [NodeFile(p) for p in self.paths]
-
-    def read(self, partition: NodeFile) -> Iterator[tuple]:
-        with sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True) as db:
-            for ident, pose in db.execute("SELECT id, pose FROM Node ORDER BY id"):
-                yield os.path.basename(partition.path), ident, None if pose is None else bytes(pose)
-
-
-class NodeSource(DataSource):
-    """spark.read.format("slam_nodes").load("a.db,b.db"): scan_id, node_id, pose."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "slam_nodes"
-
-    def schema(self) -> str:
-        return "scan_id string, node_id long, pose binary"
-
-    def reader(self, schema: object) -> NodeReader:
-        return NodeReader(self.options)
-
-
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def decoded_pose(pose: pd.Series) -> pd.Series:
     """Twelve little-endian 32-bit floats, row by row a 3 x 4 matrix."""
