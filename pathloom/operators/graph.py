@@ -11,10 +11,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import angle, distance, minus
 from .cleaning import by, here, shifted
-from .grouped import in_groups
+from .grouped import in_groups, pa_type
 from .keeping import kept
 
 FLOOR = ("scan_id", "floor_level")
@@ -56,9 +57,11 @@ def path_nodes(points: DataFrame, spacing: float = 1.0, near: float = 1.5) -> Da
             return None
         merged = [seeds[i] if k == "JUNCTION" else (None, None) for i, k in zip(places, kinds)]
         at = p[places]
-        return [pa.array([key[0]] * len(places), pa.int64()), pa.array([key[1]] * len(places), pa.int32()), pa.array(places, pa.int64()), *(pa.array(at[:, c]) for c in range(3)), pa.array(kinds), pa.array([m[0] for m in merged], pa.float64()), pa.array([m[1] for m in merged], pa.int32())]
+        return [*(pa.array([k] * len(places), kind) for k, kind in zip(key, key_kinds)), pa.array(places, pa.int64()), *(pa.array(at[:, c]) for c in range(3)), pa.array(kinds), pa.array([m[0] for m in merged], pa.float64()), pa.array([m[1] for m in merged], pa.int32())]
 
-    nodes = in_groups(rows, FLOOR, "seq", run, NODE_SCHEMA)
+    schema = T.StructType([*(points.schema[k] for k in FLOOR), *T.StructType.fromDDL(NODE_SCHEMA).fields[len(FLOOR) :]])
+    key_kinds = [pa_type(points.schema[k].dataType) for k in FLOOR]
+    nodes = in_groups(rows, FLOOR, "seq", run, schema)
     return nodes.withColumn("node_id", F.sha2(F.concat_ws(":", *FLOOR, "original_index"), 256))
 
 

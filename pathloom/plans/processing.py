@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import distance, floor_name
@@ -77,9 +77,15 @@ def results(done: Processed) -> DataFrame:
     return f.join(v, "scan_id", "left").join(graph.graph_stats(done.nodes, done.edges).select("scan_id", "total_nodes", "total_edges"), "scan_id", "left")
 
 
-def write_results(done: Processed, path: str) -> None:
-    """The results as JSON lines, dealt by scan."""
-    results(done).write.mode("overwrite").json(path)
+def write_results(done: Processed, path: str, version: int = 0) -> None:
+    """The results as JSON lines, one folder a version. Writing a version again replaces that one only; other scans' results stay."""
+    results(done).write.mode("overwrite").json(f"{path}/version={version}")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of each scan's result."""
+    rows = spark.read.json(path)
+    return rows.groupBy("scan_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "scan_id")), "version").alias("_r")).select("scan_id", "_r.*")
 
 
 #: A job's progress when a stage has ended.

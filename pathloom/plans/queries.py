@@ -13,6 +13,7 @@ from ..operators import catalog, cleaning, floors, graph, grouped
 from ..operators.keeping import shared_folder
 from ..sources import slam
 from ..sources.scans import OLD_TOLERANCE, TRAJECTORY_SQL, decoded_pose, encoded_pose, rotation, trajectory, walks
+from ..streaming import jobs
 from . import processing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,3 +245,29 @@ query("m8_point_or_null", f"{WALKS} SELECT scan_id, seq, CASE WHEN seq > 0 AND n
 )
 OFF = "(x - ax) * ux + (y - ay) * uy + (z - az) * uz"
 query("m4_line_distance", f"{WALKS}, e AS (SELECT *, first_value(x) OVER w AS ax, first_value(y) OVER w AS ay, first_value(z) OVER w AS az, last_value(x) OVER w AS bx, last_value(y) OVER w AS ey, last_value(z) OVER w AS bz FROM p WINDOW w AS (PARTITION BY scan_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), l AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (ey - ay) * (ey - ay) + (bz - az) * (bz - az)) AS n FROM e), u AS (SELECT *, CASE WHEN n < 1e-10 THEN 0 ELSE (bx - ax) / n END AS ux, CASE WHEN n < 1e-10 THEN 0 ELSE (ey - ay) / n END AS uy, CASE WHEN n < 1e-10 THEN 0 ELSE (bz - az) / n END AS uz FROM l), o AS (SELECT *, {OFF} AS t FROM u) SELECT scan_id, seq, round(sqrt((x - ax - t * ux) * (x - ax - t * ux) + (y - ay - t * uy) * (y - ay - t * uy) + (z - az - t * uz) * (z - az - t * uz)), 6) AS d FROM o")(lambda s, d: walks(s, d).withColumn("_p", F.struct("x", "y", "z")).withColumns({"_a": F.first("_p").over(Window.partitionBy("scan_id").orderBy("seq")), "_b": F.max_by("_p", "seq").over(Window.partitionBy("scan_id"))}).select("scan_id", "seq", F.round(geo.line_distance(cleaning.here(), [F.col(f"_a.{c}") for c in "xyz"], [F.col(f"_b.{c}") for c in "xyz"]), 6).alias("d")))
+
+
+# --- jobs as a stream -------------------------------------------------------------------------------------------------
+
+
+def job_folder(spark: SparkSession, d: str) -> str:
+    """Runs both streams over the walks as database files, some of them broken or without a valid pose; where they left their tables."""
+    out = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    scan, good = F.col("scan_id"), encoded_pose(F.array(*(F.lit(float(k)) for k in (1, 0, 0)), "x", *(F.lit(float(k)) for k in (0, 1, 0)), "y", *(F.lit(float(k)) for k in (0, 0, 1)), "z"))
+    nodes = walks(spark, d).select(scan, "node_id", F.when(scan % 10 == 0, F.lit(b"short")).otherwise(good).alias("pose"))
+    broken = F.substring_index(F.col("path"), ".", 1).cast("long") % 15 == 7
+    slam.packed(nodes).withColumn("content", F.when(broken, F.lit(b"broken")).otherwise(F.col("content"))).write.parquet(f"{out}/in")
+    arriving = spark.readStream.schema("path string, content binary").parquet(f"{out}/in")
+    jobs.process_arrivals(arriving, out, f"{out}/process").awaitTermination()
+    jobs.follow_jobs(spark, out, f"{out}/follow").awaitTermination()
+    return out
+
+
+def job_moves(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.transitions(spark, job_folder(spark, d)).select("scan_id", "number", "status", "progress", (F.col("message").isNotNull()).alias("reason"))
+
+
+query("job_transitions", f"""{WALKS}, s AS (SELECT scan_id || '.db' AS scan_id, CASE WHEN scan_id % 15 = 7 THEN 0 WHEN scan_id % 10 = 0 THEN 1 ELSE 2 END AS kind FROM (SELECT DISTINCT scan_id FROM p)),
+m(kind, number, status, progress, reason) AS (VALUES (0, 1, 'PENDING', 0, false), (0, 2, 'FAILED', 0, true), (1, 1, 'PENDING', 0, false), (1, 2, 'PROCESSING', 5, false), (1, 3, 'FAILED', 5, true),
+  (2, 1, 'PENDING', 0, false), (2, 2, 'PROCESSING', 5, false), (2, 3, 'PROCESSING', 20, false), (2, 4, 'PROCESSING', 40, false), (2, 5, 'PROCESSING', 70, false), (2, 6, 'PROCESSING', 95, false), (2, 7, 'COMPLETED', 100, false))
+SELECT scan_id, number, status, progress, reason FROM s JOIN m USING (kind)""")(job_moves)

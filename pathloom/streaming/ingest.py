@@ -1,4 +1,4 @@
-"""Scans that arrive as files: statistics and graphs batch by batch."""
+"""Statistics of scans that arrive as files, batch by batch."""
 
 from __future__ import annotations
 
