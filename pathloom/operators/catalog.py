@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versions import Conflict, VersionedTable
+from .keeping import kept
+
 
 class CatalogError(ValueError):
     """A look-up or change that fails, by its code (such as FLOOR_NOT_FOUND)."""
@@ -37,11 +40,58 @@ def conflicts(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataF
     return new.join(existing.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def accepted(new: DataFrame, existing: DataFrame, keys: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
-    """New rows that may be created: required columns neither null nor blank, keys not taken."""
+def judged(new: DataFrame, existing: DataFrame, keys: Sequence[str], required: Sequence[str] = (), order: str | None = None, taken: str = "FLOOR_ALREADY_EXISTS", invalid: str = "INVALID_INPUT_VALUE") -> DataFrame:
+    """Each new row with `error`: null if it may be created, `invalid` where a required column is null or blank, `taken` where its
+    keys exist or an earlier new row (by `order`, else by its values) has them. A key with a null is equal to no other."""
+    valid = F.lit(True)
     for c in required:
-        new = new.filter(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""))
-    return new.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+        valid = valid & F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")
+    whole = F.lit(True)
+    for c in keys:
+        whole = whole & F.col(c).isNotNull()
+    rows = new.join(existing.select(*keys).distinct().withColumn("_there", F.lit(True)), list(keys), "left").withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    first = Window.partitionBy(*keys, "_valid").orderBy(*([order] if order else []), *(c for c in new.columns if c != order))
+    rows = rows.withColumn("_nth", F.row_number().over(first))
+    error = F.when(~F.col("_valid"), invalid).when(whole & (F.col("_there").isNotNull() | (F.col("_nth") > 1)), taken)
+    return rows.withColumn("error", error).select(*new.columns, "error")
+
+
+def accepted(new: DataFrame, existing: DataFrame, keys: Sequence[str], required: Sequence[str] = (), order: str | None = None) -> DataFrame:
+    """New rows that may be created: required columns neither null nor blank, keys neither taken nor those of an earlier new row."""
+    return judged(new, existing, keys, required, order).filter("error IS NULL").drop("error")
+
+
+def create(table: VersionedTable, new: DataFrame, keys: Sequence[str], required: Sequence[str] = (), order: str | None = None, tries: int = 10) -> DataFrame:
+    """Stores the new rows that may be created as the table's next version; each new row with its `error`.
+
+    Another writer's version in between is a conflict: its rows count as existing, and what is still free is tried again.
+    """
+    new = kept(new)
+    for _ in range(tries):
+        version = table.latest()
+        answers = kept(judged(new, table.read(version), keys, required, order))
+        if not answers.filter("error IS NULL").limit(1).count():
+            return answers
+        folder = table.store(answers.filter("error IS NULL"))
+        try:
+            table.commit(version + 1, [*table.manifest(version), folder])
+            return answers
+        except Conflict:
+            continue
+    raise CatalogError("INTERNAL_SERVER_ERROR")
+
+
+def replace(table: VersionedTable, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> int:
+    """The table's rows as `change` makes them (`changed`, `deleted`) as its next version, computed again if another writer comes first; the version."""
+    for _ in range(tries):
+        version = table.latest()
+        folder = table.store(change(table.read(version)))
+        try:
+            table.commit(version + 1, [folder])
+            return version + 1
+        except Conflict:
+            continue
+    raise CatalogError("INTERNAL_SERVER_ERROR")
 
 
 def changed(rows: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import catalog, cleaning, floors, graph, grouped
 from ..operators.keeping import shared_folder
 from ..sources import slam
 from ..sources.scans import OLD_TOLERANCE, TRAJECTORY_SQL, decoded_pose, encoded_pose, rotation, trajectory, walks
+from ..sources.versions import VersionedTable
 from ..streaming import jobs
 from . import processing
 
@@ -234,6 +235,19 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
 
 query("r14_sessions_of_building", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 11")(lambda s, d: catalog.of_parent(table(s, d, "orders"), "o_custkey", 11).select("o_orderkey", "o_orderstatus"))
 query("r17_accepted", "SELECT c_custkey + 10 AS key FROM customer WHERE c_custkey + 10 NOT IN (SELECT c_custkey FROM customer)")(lambda s, d: catalog.accepted(table(s, d, "customer").select((F.col("c_custkey") + 10).alias("key")), table(s, d, "customer").select(F.col("c_custkey").alias("key")), ["key"], ["key"]))
+def created_floors(spark: SparkSession, d: str) -> DataFrame:
+    """A table of floors in the shared folder, and new ones of which some clash with it, some with each other and some are blank."""
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    floors_table = VersionedTable(spark, f"{shared_folder(spark)}/floors-{uuid.uuid4().hex}", "request long, level long, name string")
+    catalog.create(floors_table, c.filter(key % 3 == 0).select((-key).alias("request"), key.alias("level"), F.col("c_name").alias("name")), ["level"], ["name"], "request")
+    new = c.select(key.alias("request"), F.floor(key / 2).alias("level"), F.when(key % 7 == 0, " ").otherwise(F.col("c_name")).alias("name"))
+    answers = catalog.create(floors_table, new, ["level"], ["name"], "request")
+    return answers.select("request", "level", "error", F.lit(floors_table.latest()).alias("version")).join(floors_table.read().select("request", F.col("level").alias("stored")), "request", "left").select("request", "level", "error", "version", F.when(F.col("error").isNull(), F.col("stored")).alias("stored"))
+
+
+query("r17_created", """WITH n AS (SELECT CAST(c_custkey AS BIGINT) AS request, CAST(c_custkey // 2 AS BIGINT) AS level, c_custkey % 7 = 0 AS blank FROM customer),
+j AS (SELECT request, level, CASE WHEN blank THEN 'INVALID_INPUT_VALUE' WHEN level IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) OR row_number() OVER (PARTITION BY level, blank ORDER BY request) > 1 THEN 'FLOOR_ALREADY_EXISTS' END AS error FROM n)
+SELECT request, level, error, 2 AS version, CASE WHEN error IS NULL THEN level END AS stored FROM j""")(created_floors)
 query("r17_m9_changed", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")(lambda s, d: catalog.changed(table(s, d, "customer").select("c_custkey", "c_mktsegment"), table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "NEW").alias("c_mktsegment")), "c_custkey", ["c_mktsegment"]))
 query("r17_deleted", "SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0")(lambda s, d: catalog.deleted(table(s, d, "customer").select("c_custkey"), table(s, d, "customer").filter("c_custkey % 5 = 0"), "c_custkey"))
 query("m6_poi_type", "SELECT p_partkey, CASE WHEN p_partkey % 4 > 1 THEN 'POI' WHEN p_partkey % 3 = 0 THEN 'POI' ELSE 'WAYPOINT' END AS type, CASE WHEN p_partkey % 3 = 1 THEN 'ENDPOINT' ELSE 'WAYPOINT' END AS cleared FROM part")(

@@ -1,0 +1,80 @@
+"""Creating, changing and deleting rows of a versioned table: clashes within a batch, between writers, and half-written versions."""
+
+import os
+import threading
+
+import pytest
+
+from pathloom.operators import catalog
+from pathloom.sources.versions import Conflict, VersionedTable
+
+SCHEMA = "request int, building string, level int, name string"
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    return VersionedTable(spark, f"file:{tmp_path}/floors", SCHEMA)
+
+
+def new(spark, *rows):
+    return spark.createDataFrame(list(rows), SCHEMA)
+
+
+def errors(answers):
+    return {r.request: r.error for r in answers.collect()}
+
+
+KEYS, NEEDED = ["building", "level"], ["name", "level"]
+
+
+def test_two_creates_of_one_batch_give_one_floor_and_one_conflict(spark, table):
+    assert table.latest() == 0 and table.read().count() == 0
+    answers = catalog.create(table, new(spark, (2, "b", 1, "again"), (1, "b", 1, "first"), (3, "b", 2, " "), (4, "b", None, "x"), (5, "c", 1, "other"), (6, "b", 2, "valid")), KEYS, NEEDED, "request")
+    assert errors(answers) == {1: None, 2: "FLOOR_ALREADY_EXISTS", 3: "INVALID_INPUT_VALUE", 4: "INVALID_INPUT_VALUE", 5: None, 6: None}
+    assert sorted(r.request for r in table.read().collect()) == [1, 5, 6] and table.latest() == 1
+    assert errors(catalog.create(table, new(spark, (7, "b", 1, "late")), KEYS, NEEDED)) == {7: "FLOOR_ALREADY_EXISTS"} and table.latest() == 1
+    assert [r.request for r in catalog.accepted(new(spark, (8, "d", 1, "x"), (9, "d", 1, "y"), (10, "b", 1, "z")), table.read(), KEYS, NEEDED, "request").collect()] == [8]
+
+
+def test_another_writer_comes_first(spark, table, monkeypatch):
+    commit, other = VersionedTable.commit, new(spark, (1, "b", 1, "theirs"))
+
+    def late(self, version, folders):
+        monkeypatch.setattr(VersionedTable, "commit", commit)
+        assert errors(catalog.create(self, other, KEYS, NEEDED)) == {1: None}
+        return commit(self, version, folders)
+
+    monkeypatch.setattr(VersionedTable, "commit", late)
+    assert errors(catalog.create(table, new(spark, (2, "b", 1, "mine"), (3, "b", 2, "free")), KEYS, NEEDED)) == {2: "FLOOR_ALREADY_EXISTS", 3: None}
+    assert sorted(r.name for r in table.read().collect()) == ["free", "theirs"] and table.latest() == 2
+    assert table.cleaned() == 1 and table.read().count() == 2
+
+
+def test_many_writers_at_once(spark, table):
+    found = {}
+    workers = [threading.Thread(target=lambda k=k: found.update({k: errors(catalog.create(table, new(spark, (k, "b", k % 2, f"n{k}")), KEYS, NEEDED))[k]})) for k in range(6)]
+    for w in workers:
+        w.start()
+    for w in workers:
+        w.join()
+    assert len(found) == 6 and sorted(v is None for v in found.values()).count(True) == 2
+    rows = table.read().collect()
+    assert sorted(r.level for r in rows) == [0, 1] and table.latest() == 2 and all(found[r.request] is None for r in rows)
+
+
+def test_half_written_versions_are_never_read(spark, table, tmp_path):
+    catalog.create(table, new(spark, (1, "b", 1, "x")), KEYS)
+    table.store(new(spark, (2, "b", 2, "y")))  # a writer that stopped before its commit
+    (tmp_path / "floors" / "versions" / ".half.part").write_text('{"folders": ["no')
+    assert table.latest() == 1 and [r.request for r in table.read().collect()] == [1]
+    with pytest.raises(Conflict):
+        table.commit(1, [])
+    assert not [f for f in os.listdir(tmp_path / "floors" / "versions") if f.endswith(".part") and f != ".half.part"]
+
+
+def test_changes_and_deletions_keep_older_versions(spark, table):
+    catalog.create(table, new(spark, (1, "b", 1, "x"), (2, "b", 2, "y")), KEYS)
+    changes = spark.createDataFrame([(1, "new", None), (9, "z", 4)], "request int, name string, level int")
+    assert catalog.replace(table, lambda rows: catalog.changed(rows, changes, "request", ["name", "level"])) == 2
+    assert catalog.replace(table, lambda rows: catalog.deleted(rows, changes.filter("request = 1"), "request")) == 3
+    assert [sorted((r.request, r.level, r.name) for r in table.read(v).collect()) for v in (1, 2, 3)] == [[(1, 1, "x"), (2, 2, "y")], [(1, 1, "new"), (2, 2, "y")], [(2, 2, "y")]]
