@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import catalog, cleaning, floors, graph, grouped
+from ..operators import catalog, cleaning, floors, graph, grouped, splines
 from ..operators.keeping import shared_folder
 from ..sources import slam
 from ..sources.scans import OLD_TOLERANCE, TRAJECTORY_SQL, decoded_pose, encoded_pose, rotation, trajectory, walks
@@ -129,6 +129,7 @@ def smoothed_sql(source: str, keys: str) -> str:
 query("w5_smooth_pieces", f"{PIECES}, u AS (SELECT scan_id, piece, row_number() OVER (PARTITION BY scan_id, piece ORDER BY seq) - 1 AS seq, x, y, z FROM h WHERE m > 1 OR k = 0), {smoothed_sql('u', 'scan_id, piece').replace('k AS (SELECT k, exp', 'kn AS (SELECT k, exp').replace('FROM k) AS w FROM k)', 'FROM kn) AS w FROM kn)')} SELECT scan_id, piece, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY piece, seq) - 1 AS BIGINT) AS seq, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM sm")(lambda s, d: rounded(cleaning.smooth_pieces(walks(s, d)).drop("node_id"), 5))
 query("w6_adaptive_smooth", f"{CURVES}, sg AS (SELECT scan_id, seq, greatest(0.5, 1.0 * (1 - 0.5 * curvature / CASE WHEN max(curvature) OVER (PARTITION BY scan_id) > 0 THEN max(curvature) OVER (PARTITION BY scan_id) ELSE 1 END)) AS s FROM cu), ws AS (SELECT scan_id, seq, k, exp(-0.5 * (k / s) * (k / s)) AS w FROM sg, range(-3, 4) t(k) WHERE abs(k) <= floor(3 * s)) SELECT ws.scan_id, ws.seq, round(sum(p.x * w) / sum(w), 5) AS x, round(sum(p.y * w) / sum(w), 5) AS y, round(sum(p.z * w) / sum(w), 5) AS z FROM ws JOIN p ON p.scan_id = ws.scan_id AND p.seq = ws.seq + ws.k GROUP BY ws.scan_id, ws.seq")(lambda s, d: rounded(cleaning.adaptive_smooth(walks(s, d)).drop("node_id"), 5))
 query("w7_spline")(lambda s, d: rounded(grouped.per_group(walks(s, d), cleaning.KEYS, grouped.spline)))
+query("w7_smoothing_spline")(lambda s, d: rounded(grouped.per_group(walks(s, d), cleaning.KEYS, lambda p: splines.smoothing_spline(p, 1.0))))
 query("t3_smoothing_stats", f"{S}, {smoothed_sql('p', 'scan_id')}, b AS (SELECT scan_id, sum(step) AS l FROM s GROUP BY scan_id), a AS (SELECT scan_id, sum(step) AS l FROM (SELECT scan_id, {STEP} AS step FROM sm WINDOW w AS (PARTITION BY scan_id ORDER BY seq)) GROUP BY scan_id), dd AS (SELECT p.scan_id, sqrt((p.x - sm.x) * (p.x - sm.x) + (p.y - sm.y) * (p.y - sm.y) + (p.z - sm.z) * (p.z - sm.z)) AS d FROM p JOIN sm USING (scan_id, seq)) SELECT scan_id, round(avg(d), 5) AS mean_displacement, round(max(d), 5) AS max_displacement, round(coalesce(any_value(b.l), 0), 5) AS original_length, round(coalesce(any_value(a.l), 0), 5) AS smoothed_length FROM dd JOIN b USING (scan_id) JOIN a USING (scan_id) GROUP BY scan_id")(lambda s, d: rounded(cleaning.smoothing_stats(walks(s, d), cleaning.smooth(walks(s, d))), 5))
 query("t5_t6_line_fit")(lambda s, d: rounded(grouped.line_fit(walks(s, d))))
 query("t7_scan_overlap", f"{WALKS}, b AS (SELECT scan_id % 2 AS odd, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM p GROUP BY 1) SELECT round(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)), 6) AS overlap_x, round(greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)), 6) AS overlap_y, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) > 0.5 OR greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0.5 AS mergeable FROM b a JOIN b ON a.odd = 0 AND b.odd = 1")(lambda s, d: rounded(cleaning.scan_overlap(walks(s, d).filter("scan_id % 2 = 0"), walks(s, d).filter("scan_id % 2 = 1"))))
