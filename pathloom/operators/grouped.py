@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import AXES
 from .cleaning import KEYS
+from .keeping import kept
 
 Group = tuple[tuple, list[np.ndarray]]
 
@@ -85,6 +87,12 @@ def kept_apart(p: np.ndarray, radius: float) -> list[int]:
     A point meets those kept in its own cell of a grid of the radius' width and in the 26 around it; cells hold few, as kept
     points are further apart than the radius. A point that is not finite meets nothing and stays.
     """
+    keep = first_apart(p, radius)
+    return keep if len(keep) >= 2 else list(range(len(p)))
+
+
+def first_apart(p: np.ndarray, radius: float) -> list[int]:
+    """The choice of D1 itself: the places of those that stay."""
     if radius <= 0 or not np.isfinite(p).all():
         cells = np.zeros((len(p), 3), np.int64)
     else:
@@ -103,13 +111,130 @@ def kept_apart(p: np.ndarray, radius: float) -> list[int]:
         if free:
             keep.append(i)
             grid[cell].append(rows[i])
-    return keep if len(keep) >= 2 else list(range(len(p)))
+    return keep
+
+
+class Trodden:
+    """Places kept so far, by cells as wide as the limit: the first or the last of them within it of a point.
+
+    Cells list their places in order, the point's own cell is looked at first, and no list is followed beyond what has been found.
+    """
+
+    AROUND = sorted(((a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)), key=lambda o: sum(map(abs, o)))
+
+    def __init__(self, p: np.ndarray, limit: float):
+        self.rows, self.limit = p.tolist(), limit
+        self.cells = list(map(tuple, np.floor(p / limit).astype(np.int64).tolist()))
+        self.grid: defaultdict[tuple[int, int, int], tuple[list[int], list[list[float]]]] = defaultdict(lambda: ([], []))
+        self.n = 0
+
+    def add(self, i: int) -> None:
+        ranks, rows = self.grid[self.cells[i]]
+        ranks.append(self.n)
+        rows.append(self.rows[i])
+        self.n += 1
+
+    def lists(self, i: int) -> Iterator[tuple[list[int], list[list[float]]]]:
+        x, y, z = self.cells[i]
+        for a, b, c in self.AROUND:
+            found = self.grid.get((x + a, y + b, z + c))
+            if found:
+                yield found
+
+    def first(self, i: int) -> int:
+        """The rank of the first kept place, but for the last one, nearer than the limit; the number of places if there is none."""
+        x, y, z = self.rows[i]
+        best, limit = self.n - 1, self.limit
+        for ranks, rows in self.lists(i):
+            for rank, q in zip(ranks, rows):
+                if rank >= best:
+                    break
+                if math.sqrt((q[0] - x) ** 2 + (q[1] - y) ** 2 + (q[2] - z) ** 2) < limit:
+                    best = rank
+                    break
+        return best if best < self.n - 1 else self.n
+
+    def last(self, i: int) -> int:
+        """The rank of the last kept place within the limit; -1 if there is none."""
+        x, y, z = self.rows[i]
+        best, limit = -1, self.limit
+        for ranks, rows in self.lists(i):
+            for k in range(len(ranks) - 1, -1, -1):
+                if ranks[k] <= best:
+                    break
+                q = rows[k]
+                if math.sqrt((q[0] - x) ** 2 + (q[1] - y) ** 2 + (q[2] - z) ** 2) <= limit:
+                    best = ranks[k]
+                    break
+        return best
+
+
+class Least:
+    """Numbers that only grow, all -1 at first: the first from some place on that is under a bound, in steps as many as their number has binary digits."""
+
+    def __init__(self, n: int):
+        self.size = 1 << max(n - 1, 1).bit_length()
+        self.tree = [-1] * (self.size + n) + [1 << 62] * (self.size - n)
+        for k in range(self.size - 1, 0, -1):
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+
+    def put(self, i: int, value: int) -> None:
+        tree, k = self.tree, i + self.size
+        tree[k] = value
+        while k > 1:
+            k >>= 1
+            less = min(tree[2 * k], tree[2 * k + 1])
+            if tree[k] == less:
+                break
+            tree[k] = less
+
+    def under(self, bound: int, start: int) -> int | None:
+        tree, k = self.tree, start + self.size
+        while tree[k] >= bound:  # up to a subtree to the right that has one
+            while k & 1:
+                k >>= 1
+                if not k:
+                    return None
+            k += 1
+        while k < self.size:
+            k = 2 * k if tree[2 * k] < bound else 2 * k + 1
+        return k - self.size
 
 
 def overlaps_merged(p: np.ndarray, limit: float) -> list[int]:
-    """D2 with D3 and D4: on coming back to an earlier place, skip ahead to where the walk leaves the known path."""
+    """D2 with D3 and D4: on coming back to an earlier place, skip ahead to where the walk leaves the known path.
+
+    A point leaves the path known from rank k on if the last kept place within the limit has a lower rank. That rank only grows while
+    places are kept, so what was once found of a point bounds it for good, and a point is looked at again only where that bound is
+    below k. Points that are not finite are near nothing; a limit of 0 or less, or such points, take the plain way.
+    """
     if len(p) < 3:
         return list(range(len(p)))
+    if limit <= 0 or not np.isfinite(p).all() or np.abs(p).max() / limit > 1e15:
+        return overlaps_merged_plainly(p, limit)
+    known, bounds = Trodden(p, limit), Least(len(p))
+    keep, i = [0], 1
+    known.add(0)
+    while i < len(p):
+        back = known.first(i) if len(keep) > 1 else len(keep)
+        if back < len(keep) - 2:
+            j = bounds.under(back, i)
+            while j is not None:
+                last = known.last(j)
+                bounds.put(j, last)
+                if last < back:
+                    break
+                j = bounds.under(back, j + 1) if j + 1 < len(p) else None
+            if j is not None:
+                i = j
+                continue
+        keep.append(i)
+        known.add(i)
+        i += 1
+    return keep
+
+
+def overlaps_merged_plainly(p: np.ndarray, limit: float) -> list[int]:
     keep, i = [0], 1
     while i < len(p):
         near = np.flatnonzero(np.linalg.norm(p[keep[:-1]] - p[i], axis=1) < limit) if len(keep) > 1 else []
@@ -299,8 +424,49 @@ def spline(p: np.ndarray, points: int | None = None) -> np.ndarray:
     return p[k] + s * (slope[k] - hk * (2 * m[k] + m[k + 1]) / 6) + s**2 * m[k] / 2 + s**3 * (m[k + 1] - m[k]) / (6 * hk)
 
 
-def deduplicate(points: DataFrame, radius: float = 0.3, keys: Sequence[str] = KEYS) -> DataFrame:
-    return per_group(points, keys, lambda p: kept_apart(p, radius))
+#: Points of one scan that one task decides on at a time.
+CHUNK = 100_000
+
+
+def deduplicate(points: DataFrame, radius: float = 0.3, keys: Sequence[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
+    """D1 for scans of any size: round k decides on the k-th `chunk` points of each scan.
+
+    Points near one kept in an earlier round go, by a join over cells of the radius' width, in which kept points are few; among the rest of a chunk
+    the choice is made in order, in one task. That is the choice over the whole scan, as a point depends on those before it only.
+    """
+    if radius <= 0:
+        return per_group(points, keys, lambda p: kept_apart(p, radius))
+    order = Window.partitionBy(*keys).orderBy("seq")
+    finite = F.forall(F.array(*AXES), lambda v: F.coalesce(F.abs(v) < F.lit(1e15 * radius), F.lit(False)))
+    cells = [F.when(finite, F.floor(F.col(c) / radius)).alias(f"_c{c}") for c in AXES]
+    rows = points.select(*keys, "seq", *AXES, F.floor((F.row_number().over(order) - 1) / chunk).cast("int").alias("_chunk"), *cells)
+    rows = kept(rows)
+    rounds = (rows.agg(F.max("_chunk")).first()[0] or 0) + 1
+    wide = ["seq", *AXES, *(f"_c{c}" for c in AXES)]
+    chosen = None
+    for k in range(rounds):
+        now = rows.filter(F.col("_chunk") == k).select(*keys, *wide)
+        if chosen is not None:
+            near = now.select(*keys, "seq", *AXES, *(F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)).alias(f"_c{c}") if c == "x" else F.col(f"_c{c}") for c in AXES))
+            for c in "yz":
+                near = near.withColumn(f"_c{c}", F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)))
+            there = chosen.select(*keys, *(F.col(c).alias(f"_{c}") for c in AXES), *(f"_c{c}" for c in AXES))
+            d = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in AXES[1:]), (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")))
+            gone = near.join(there, [*keys, *(f"_c{c}" for c in AXES)]).filter(F.sqrt(d) <= radius).select(*keys, "seq").distinct()
+            now = now.join(gone, [*keys, "seq"], "left_anti")
+        schema = T.StructType([*(now.schema[c] for c in keys), *(now.schema[c] for c in wide)])
+        kinds = [pa_type(f.dataType) for f in schema]
+
+        def run(key: tuple, columns: list[np.ndarray], kinds: list[pa.DataType] = kinds) -> list[pa.Array]:
+            left = first_apart(np.stack(columns[1:4], axis=1).astype(float), radius)
+            return [*(pa.array([v] * len(left), kind) for v, kind in zip(key, kinds)), *(pa.array(c[left], kind, from_pandas=kind != pa.float64()) for c, kind in zip(columns, kinds[len(keys) :]))]
+
+        new = kept(in_groups(now.select(*keys, *wide), keys, "seq", run, schema))
+        chosen = new if chosen is None else chosen.unionByName(new)
+    # a scan of which under two points would stay keeps all
+    few = chosen.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n < 2").select(*keys)
+    result = chosen.select(*keys, "seq", *AXES).join(few, list(keys), "left_anti").unionByName(rows.select(*keys, "seq", *AXES).join(few, list(keys), "left_semi"))
+    return result.withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
 
 
 def merge_overlaps(points: DataFrame, limit: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:
