@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .cleaning import by
-from .grouped import in_groups, pa_type
 from .keeping import kept
 
 SCAN = ["scan_id"]
@@ -59,37 +57,53 @@ def stair_mask(points: DataFrame, runs: DataFrame) -> DataFrame:
     return points.join(inside, ["scan_id", "seq"], "left").withColumn("on_passage", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
-def height_levels(z: np.ndarray, height: float = 3.0) -> np.ndarray:
-    """V5 and V6: the nearest of the peaks of a smoothed histogram of heights."""
-    spread = z.max() - z.min()
-    if spread < height:
-        return np.zeros(len(z), int)
-    counts, edges = np.histogram(z, bins=max(int(spread / 0.5), 20))
-    kernel = np.exp(-0.5 * (np.arange(-6, 7) / 1.5) ** 2)
-    smoothed = np.convolve(np.pad(counts.astype(float), 6, mode="symmetric"), kernel / kernel.sum(), mode="valid")
-    high = np.flatnonzero(smoothed >= 0.03 * len(z))
-    peaks: list[float] = []
-    for region in np.split(high, np.flatnonzero(np.diff(high) > 2) + 1) if len(high) else []:
-        peak = float(np.average((edges[region] + edges[region + 1]) / 2, weights=smoothed[region]))
-        if all(abs(peak - q) >= 0.7 * height for q in peaks):
-            peaks.append(peak)
-    if not peaks:
-        n = max(1, int(spread / height) + 1)
-        peaks = [z.min() + (i + 0.5) * spread / n for i in range(n)]
-    return np.abs(z[:, None] - np.sort(peaks)).argmin(axis=1)
+#: The histogram's kernel: its reach in bins, and its width.
+REACH, SIGMA = 6, 1.5
+
+
+def height_peaks(rows: DataFrame, height: float = 3.0) -> DataFrame:
+    """V5 and V6: for each scan of rows the lowest z, `spread`, the number n of points and the heights of its levels in rising order: peaks of a smoothed
+    histogram of z in bins of about half a metre. `peaks` is null for a scan of less than `height`, empty where no peak stands out.
+
+    Bins without points are no rows: a bin's count goes to the bins within reach of it, and of its mirror images beyond either end. A region
+    of high bins (a gap of one is none) has one peak; regions come from below, so a peak is accepted if it is far enough from the last one.
+    """
+    whole = rows.groupBy("scan_id").agg(F.min("z").alias("lowest"), F.max("z").alias("_highest"), F.count("*").alias("n"))
+    whole = whole.withColumn("spread", F.col("_highest") - F.col("lowest")).withColumn("_bins", F.greatest(F.floor(F.col("spread") / 0.5), F.lit(20)))
+    whole = kept(whole.drop("_highest"))
+    tall = whole.filter(F.col("spread") >= height)
+    edge = lambda k: F.col("lowest") + k * (F.col("spread") / F.col("_bins"))
+    b = rows.select("scan_id", "z").join(tall, "scan_id").withColumn("_k", F.least(F.floor((F.col("z") - F.col("lowest")) / F.col("spread") * F.col("_bins")), F.col("_bins") - 1))
+    # a height at an edge belongs to the bin above it, whatever the division's rounding says; the highest to the last bin
+    b = b.withColumn("_k", F.col("_k") - (F.col("z") < edge(F.col("_k"))).cast("int"))
+    b = b.withColumn("_k", F.col("_k") + ((F.col("_k") != F.col("_bins") - 1) & (F.col("z") >= edge(F.col("_k") + 1))).cast("int"))
+    counts = b.groupBy("scan_id", "lowest", "spread", "_bins", "n", "_k").agg(F.count("*").alias("_c"))
+    norm = sum(math.exp(-0.5 * (o / SIGMA) ** 2) for o in range(-REACH, REACH + 1))
+    weights = F.array(*(F.lit(math.exp(-0.5 * (o / SIGMA) ** 2) / norm) for o in range(-REACH, REACH + 1)))
+    images = F.explode(F.array(F.col("_k"), -1 - F.col("_k"), 2 * F.col("_bins") - 1 - F.col("_k"))).alias("_image")
+    spread_out = counts.select("*", images).select("*", F.explode(F.sequence(F.lit(-REACH), F.lit(REACH))).alias("_o")).withColumn("_to", F.col("_image") + F.col("_o")).filter((F.col("_to") >= 0) & (F.col("_to") < F.col("_bins")))
+    smooth = spread_out.groupBy("scan_id", "lowest", "spread", "_bins", "n", "_to").agg(F.sum(F.col("_c") * F.element_at(weights, F.col("_o") + REACH + 1)).alias("_s"))
+    w = Window.partitionBy("scan_id").orderBy("_to")
+    high = smooth.filter(F.col("_s") >= 0.03 * F.col("n")).withColumn("_new", F.coalesce(F.col("_to") - F.lag("_to").over(w) > 2, F.lit(True)).cast("int")).withColumn("_region", F.sum("_new").over(w))
+    regions = high.groupBy("scan_id", "_region").agg((F.sum((edge(F.col("_to")) + edge(F.col("_to") + 1)) / 2 * F.col("_s")) / F.sum("_s")).alias("_peak"))
+    none = F.array().cast("array<double>")
+    far = lambda kept_, x: (F.size(kept_) == 0) | (x - F.element_at(kept_, -1) >= 0.7 * height)
+    found = regions.groupBy("scan_id").agg(F.aggregate(F.array_sort(F.collect_list("_peak")), none, lambda taken, x: F.when(far(taken, x), F.concat(taken, F.array(x))).otherwise(taken)).alias("peaks"))
+    return whole.join(found, "scan_id", "left").select("scan_id", "lowest", "spread", "n", F.when(F.col("spread") >= height, F.coalesce("peaks", none)).alias("peaks"))
+
+
+def height_level(height: float = 3.0):
+    """V5: the place of the nearest peak to z, the lowest of equals; without peaks of the nearest of as many even parts of the spread as have about `height`."""
+    nearest = F.array_min(F.transform("peaks", lambda p, i: F.struct(F.abs(F.col("z") - p).alias("d"), i.alias("i"))))["i"]
+    part = F.col("spread") / F.greatest(F.floor(F.col("spread") / height) + 1, F.lit(1))
+    even = F.greatest(F.ceil((F.col("z") - F.col("lowest")) / F.when(part > 0, part).otherwise(1.0)) - 1, F.lit(0))
+    return F.when(F.col("peaks").isNull(), F.lit(0)).when(F.size("peaks") == 0, even).otherwise(nearest).cast("int")
 
 
 def separate_floors(points: DataFrame, height: float = 3.0, least: int = 10) -> DataFrame:
     """V4: points off passages with floor_level 1..k by rising mean height; levels of under `least` points go."""
-    rows = points.filter("NOT on_passage").select("scan_id", "seq", "x", "y", "z")
-    schema = T.StructType([*rows.schema.fields, T.StructField("_level", T.IntegerType())])
-    kind = pa_type(rows.schema["scan_id"].dataType)
-
-    def run(key: tuple, columns: list[np.ndarray]) -> list[pa.Array]:
-        level = height_levels(columns[3].astype(float), height).astype(np.int32)
-        return [pa.array([key[0]] * len(level), kind), *(pa.array(c) for c in columns), pa.array(level)]
-
-    leveled = kept(in_groups(rows, SCAN, "seq", run, schema))
+    rows = kept(points.filter("NOT on_passage").select("scan_id", "seq", "x", "y", "z"))
+    leveled = kept(rows.join(height_peaks(rows, height), "scan_id").select(*rows.columns, height_level(height).alias("_level")))
     floors = leveled.groupBy("scan_id", "_level").agg(F.avg("z").alias("_z"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
     floors = floors.withColumn("floor_level", F.row_number().over(Window.partitionBy("scan_id").orderBy("_z", "_level")))
     return leveled.join(floors.select("scan_id", "_level", "floor_level"), ["scan_id", "_level"]).drop("_level")

@@ -150,10 +150,36 @@ CLIMB = f"{WALKS}, a AS (SELECT *, z - lag(z) OVER w AS dz, lead(z, 10) OVER w -
 query("v1_climbing", f"{CLIMB} SELECT scan_id, seq FROM c WHERE marked = 1")(lambda s, d: floors.climbing(walks(s, d)).filter("marked").select("scan_id", "seq"))
 RUNS = f"{CLIMB}, r AS (SELECT *, seq - row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS run FROM c WHERE marked = 1), q AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS way FROM r WINDOW w AS (PARTITION BY scan_id, run ORDER BY seq)), t AS (SELECT scan_id, min(seq) AS start_idx, max(seq) + 1 AS end_idx, arg_min(z, seq) AS z1, arg_max(z, seq) AS z2, coalesce(sum(way), 0) AS xy FROM q GROUP BY scan_id, run)"
 query("v2_passage_runs", f"{RUNS} SELECT scan_id, start_idx, end_idx, round(abs(z2 - z1), 6) AS z_displacement, round(xy / abs(z2 - z1), 6) AS xy_z_ratio, CASE WHEN xy / abs(z2 - z1) < 1 THEN 'ELEVATOR' ELSE 'STAIRCASE' END AS type, CASE WHEN z2 > z1 THEN 'UP' ELSE 'DOWN' END AS direction FROM t WHERE abs(z2 - z1) >= 1.5 AND end_idx - start_idx >= 5")(lambda s, d: rounded(floors.passage_runs(walks(s, d)).drop("z_start", "z_end")))
-query("v3_merged_runs", f"{RUNS}, t2 AS (SELECT *, CASE WHEN z2 > z1 THEN 'UP' ELSE 'DOWN' END AS dir FROM t WHERE abs(z2 - z1) >= 1.5 AND end_idx - start_idx >= 5), t3 AS (SELECT *, CASE WHEN lag(dir) OVER w = dir AND start_idx - lag(end_idx) OVER w < 10 THEN 0 ELSE 1 END AS new FROM t2 WINDOW w AS (PARTITION BY scan_id ORDER BY start_idx)), t4 AS (SELECT *, sum(new) OVER (PARTITION BY scan_id ORDER BY start_idx) AS g FROM t3), t5 AS (SELECT scan_id, g, min(start_idx) AS start_idx, max(end_idx) AS end_idx FROM t4 GROUP BY scan_id, g), t6 AS (SELECT t5.scan_id, t5.start_idx, t5.end_idx, p.seq, p.z, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS way FROM t5 JOIN p ON p.scan_id = t5.scan_id AND p.seq >= t5.start_idx AND p.seq < t5.end_idx WINDOW w AS (PARTITION BY t5.scan_id, t5.g ORDER BY p.seq)), t7 AS (SELECT scan_id, start_idx, end_idx, arg_min(z, seq) AS z1, arg_max(z, seq) AS z2, coalesce(sum(way), 0) AS xy FROM t6 GROUP BY ALL) SELECT scan_id, start_idx, end_idx, round(z1, 6) AS z_start, round(z2, 6) AS z_end, round(abs(z2 - z1), 6) AS z_displacement, round(xy / abs(z2 - z1), 6) AS xy_z_ratio, CASE WHEN xy / abs(z2 - z1) < 1 THEN 'ELEVATOR' ELSE 'STAIRCASE' END AS type, CASE WHEN z2 > z1 THEN 'UP' ELSE 'DOWN' END AS direction FROM t7")(lambda s, d: rounded(floors.merged_runs(floors.passage_runs(walks(s, d)), walks(s, d))))
-query("v4_v5_v6_floors")(lambda s, d: rounded(floors.floor_summary(processing.process(walks(s, d)).leveled)))
-query("v7_v8_passages")(lambda s, d: rounded(floors.detect_passages(walks(s, d))))
-query("v9_passage_stats")(lambda s, d: rounded(floors.passage_stats(processing.process(walks(s, d)).passages)))
+#: V3 in SQL, from RUNS: `t7` has the merged passages.
+MERGED = "t2 AS (SELECT *, CASE WHEN z2 > z1 THEN 'UP' ELSE 'DOWN' END AS dir FROM t WHERE abs(z2 - z1) >= 1.5 AND end_idx - start_idx >= 5), t3 AS (SELECT *, CASE WHEN lag(dir) OVER w = dir AND start_idx - lag(end_idx) OVER w < 10 THEN 0 ELSE 1 END AS new FROM t2 WINDOW w AS (PARTITION BY scan_id ORDER BY start_idx)), t4 AS (SELECT *, sum(new) OVER (PARTITION BY scan_id ORDER BY start_idx) AS g FROM t3), t5 AS (SELECT scan_id, g, min(start_idx) AS start_idx, max(end_idx) AS end_idx FROM t4 GROUP BY scan_id, g), t6 AS (SELECT t5.scan_id, t5.start_idx, t5.end_idx, p.seq, p.z, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS way FROM t5 JOIN p ON p.scan_id = t5.scan_id AND p.seq >= t5.start_idx AND p.seq < t5.end_idx WINDOW w AS (PARTITION BY t5.scan_id, t5.g ORDER BY p.seq)), t7 AS (SELECT scan_id, start_idx, end_idx, arg_min(z, seq) AS z1, arg_max(z, seq) AS z2, coalesce(sum(way), 0) AS xy FROM t6 GROUP BY ALL)"
+query("v3_merged_runs", f"{RUNS}, {MERGED} SELECT scan_id, start_idx, end_idx, round(z1, 6) AS z_start, round(z2, 6) AS z_end, round(abs(z2 - z1), 6) AS z_displacement, round(xy / abs(z2 - z1), 6) AS xy_z_ratio, CASE WHEN xy / abs(z2 - z1) < 1 THEN 'ELEVATOR' ELSE 'STAIRCASE' END AS type, CASE WHEN z2 > z1 THEN 'UP' ELSE 'DOWN' END AS direction FROM t7")(lambda s, d: rounded(floors.merged_runs(floors.passage_runs(walks(s, d)), walks(s, d))))
+#: V4 to V6 in SQL: `lv` has the points off passages with their floors, `fs` the floors.
+FLOORS_SQL = f"""{RUNS}, off AS (SELECT scan_id, start_idx, end_idx FROM t WHERE abs(z2 - z1) >= 1.5 AND end_idx - start_idx >= 5),
+f AS (SELECT p.scan_id, p.seq, p.x, p.y, p.z FROM p ANTI JOIN off ON p.scan_id = off.scan_id AND p.seq >= off.start_idx AND p.seq < off.end_idx),
+zs AS (SELECT scan_id, min(z) AS z0, max(z) - min(z) AS spread, count(*) AS n, greatest(CAST(floor((max(z) - min(z)) / 0.5) AS BIGINT), 20) AS nb FROM f GROUP BY scan_id),
+b0 AS (SELECT scan_id, z, z0, spread, nb, n, least(CAST(floor((z - z0) / spread * nb) AS BIGINT), nb - 1) AS k FROM f JOIN zs USING (scan_id) WHERE spread >= 3),
+b1 AS (SELECT * REPLACE (k - CASE WHEN z < z0 + k * (spread / nb) THEN 1 ELSE 0 END AS k) FROM b0),
+b2 AS (SELECT * REPLACE (k + CASE WHEN k <> nb - 1 AND z >= z0 + (k + 1) * (spread / nb) THEN 1 ELSE 0 END AS k) FROM b1),
+hist AS (SELECT scan_id, z0, spread, nb, n, k, count(*) AS c FROM b2 GROUP BY ALL),
+images AS (SELECT * EXCLUDE (k), unnest([k, -1 - k, 2 * nb - 1 - k]) AS k FROM hist),
+kernel AS (SELECT o, exp(-0.5 * (o / 1.5) * (o / 1.5)) / sum(exp(-0.5 * (o / 1.5) * (o / 1.5))) OVER () AS w FROM range(-6, 7) r(o)),
+smooth AS (SELECT scan_id, z0, spread, nb, n, k + o AS k, sum(c * w) AS s FROM images, kernel WHERE k + o BETWEEN 0 AND nb - 1 GROUP BY ALL),
+high AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY scan_id ORDER BY k) <= 2 THEN 0 ELSE 1 END AS new FROM smooth WHERE s >= 0.03 * n),
+region AS (SELECT *, sum(new) OVER (PARTITION BY scan_id ORDER BY k) AS region FROM high),
+peak AS (SELECT scan_id, sum((z0 + k * (spread / nb) + z0 + (k + 1) * (spread / nb)) / 2 * s) / sum(s) AS peak FROM region GROUP BY scan_id, region),
+peaks AS (SELECT scan_id, list_reduce(list([peak] ORDER BY peak), lambda a, b: CASE WHEN b[1] - a[-1] >= 0.7 * 3 THEN list_concat(a, b) ELSE a END) AS peaks FROM peak GROUP BY scan_id),
+lv0 AS (SELECT f.*, CASE WHEN spread < 3 THEN 0 WHEN peaks IS NULL THEN greatest(ceil((z - z0) / (spread / greatest(floor(spread / 3) + 1, 1))) - 1, 0)
+  ELSE list_position(list_transform(peaks, lambda q: abs(z - q)), list_min(list_transform(peaks, lambda q: abs(z - q)))) - 1 END AS level FROM f JOIN zs USING (scan_id) LEFT JOIN peaks USING (scan_id)),
+fl AS (SELECT scan_id, level, avg(z) AS z_mean, min(z) AS z_min, max(z) AS z_max, count(*) AS point_count, row_number() OVER (PARTITION BY scan_id ORDER BY avg(z), level) AS floor_level FROM lv0 GROUP BY scan_id, level HAVING count(*) >= 10),
+lv AS (SELECT lv0.*, floor_level FROM lv0 JOIN fl USING (scan_id, level))"""
+query("v4_v5_v6_floors", f"{FLOORS_SQL} SELECT scan_id, CAST(floor_level AS INT) AS floor_level, round(z_mean, 9) AS z_mean, round(z_min, 9) AS z_min, round(z_max, 9) AS z_max, point_count FROM fl")(lambda s, d: rounded(floors.floor_summary(processing.process(walks(s, d)).leveled), 9))
+#: V7 in SQL: `pa` has the passages with the floors nearest to their ends.
+PASSAGES_SQL = f"""{FLOORS_SQL}, {MERGED},
+pa AS (SELECT t7.scan_id, start_idx, end_idx, z1 AS z_start, z2 AS z_end, abs(z2 - z1) AS z_displacement, xy / abs(z2 - z1) AS xy_z_ratio, CASE WHEN xy / abs(z2 - z1) < 1 THEN 'ELEVATOR' ELSE 'STAIRCASE' END AS type,
+  CASE WHEN z2 > z1 THEN 'UP' ELSE 'DOWN' END AS direction, CAST(coalesce(arg_min(floor_level, (abs(z_mean - z1), floor_level)), 0) AS INT) AS from_floor, CAST(coalesce(arg_min(floor_level, (abs(z_mean - z2), floor_level)), 0) AS INT) AS to_floor
+  FROM t7 LEFT JOIN fl USING (scan_id) GROUP BY ALL)"""
+query("v7_v8_passages", f"{PASSAGES_SQL} SELECT scan_id, start_idx, end_idx, round(z_start, 6) AS z_start, round(z_end, 6) AS z_end, round(z_displacement, 6) AS z_displacement, round(xy_z_ratio, 6) AS xy_z_ratio, type, direction, from_floor, to_floor FROM pa")(lambda s, d: rounded(floors.detect_passages(walks(s, d))))
+query("v9_passage_stats", f"{PASSAGES_SQL} SELECT scan_id, count(*) AS total_passages, count(*) FILTER (WHERE type = 'STAIRCASE') AS staircase_count, count(*) FILTER (WHERE type = 'ELEVATOR') AS elevator_count, round(sum(z_displacement), 6) AS total_z_displacement, list_sort(list_distinct(flatten(list([from_floor, to_floor])))) AS connected_floors FROM pa GROUP BY scan_id")(lambda s, d: rounded(floors.passage_stats(processing.process(walks(s, d)).passages)))
 query("g2_g3_path_nodes")(lambda s, d: rounded(processing.process(walks(s, d)).nodes))
 query("g4_g5_g6_path_edges")(lambda s, d: rounded(processing.process(walks(s, d)).edges))
 

@@ -115,11 +115,6 @@ def test_every_point_is_snapped(spark):
     assert queries.QUERIES["r13_snap_poi"](spark, sf_dir).count() == scans.walks(spark, sf_dir).count()
 
 
-def test_levels():
-    assert set(floors.height_levels(np.linspace(0, 2.9, 50))) == {0}
-    assert sorted(set(floors.height_levels(np.array([0.0] * 30 + [4.0] * 30)))) == [0, 1]
-
-
 def test_edge_weights(spark):
     rows = [(10.0, k, p) for k in ("VERTICAL_ELEVATOR", "VERTICAL_STAIRCASE", "HORIZONTAL") for p in ("SHORTEST", "ELEVATOR_FIRST", "STAIRCASE_FIRST")]
     got = [r.w for r in spark.createDataFrame(rows, "d double, k string, p string").select(geo.edge_weight(F.col("d"), F.col("k"), F.col("p")).alias("w")).collect()]
