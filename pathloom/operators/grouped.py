@@ -338,16 +338,6 @@ def straightened(p: np.ndarray, least: int = 10, turn: float = 45.0, limit: floa
     return out
 
 
-def straightened_chunks(p: np.ndarray, chunk: int = 20, linear: float = 0.85) -> np.ndarray:
-    """chunks of points (under three are skipped) projected where their line explains enough."""
-    out = p.copy()
-    for a in range(0, len(p), chunk):
-        part = p[a : a + chunk]
-        if len(part) >= 3 and fit_line(part)[2] >= linear:
-            out[a : a + chunk] = projected(part)
-    return out
-
-
 def straightened_flat(p: np.ndarray, **options: float) -> np.ndarray:
     """F8: F4 in the plane, heights as they were."""
     out = straightened(p * [1.0, 1.0, 0.0], **options)
@@ -483,22 +473,3 @@ def snap_to_lines(points: DataFrame, epsilon: float = 0.5, spacing: float = 0.5,
 
 def straighten(points: DataFrame, keys: Sequence[str] = KEYS, **options: float) -> DataFrame:
     return per_group(points, keys, lambda p: straightened(p, **options))
-
-
-def line_fit(points: DataFrame, keys: Sequence[str] = KEYS, distances: bool = False) -> DataFrame:
-    """Explained share, straightness, and mean, largest and population sd of the distance from the line; 1 and zeros under three points.
-
-    With distances also each point's, in order; null under three points.
-    """
-    names = ["explained", "mean_deviation", "max_deviation", "std_deviation"]
-    schema = T.StructType([points.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names] + [T.StructField("distances", T.ArrayType(T.DoubleType()))] * distances)
-    kinds = [pa_type(points.schema[k].dataType) for k in keys]
-
-    def run(key: tuple, columns: list[np.ndarray]) -> list[pa.Array]:
-        p = np.stack(columns[1:], axis=1).astype(float)
-        many = len(p) > 2
-        d = np.linalg.norm(projected(p) - p, axis=1) if many else np.zeros(1)
-        found = [pa.array([float(v)]) for v in (fit_line(p)[2] if many else 1.0, d.mean(), d.max(), d.std())]
-        return [*(pa.array([k], kind) for k, kind in zip(key, kinds)), *found, *([pa.array([d.tolist() if many else None], pa.list_(pa.float64()))] if distances else [])]
-
-    return in_groups(points.select(*keys, "seq", *AXES), keys, "seq", run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import catalog, cleaning, floors, graph, grouped, splines
+from ..operators import catalog, cleaning, floors, graph, grouped, lines, splines
 from ..operators.keeping import shared_folder
 from ..sources import slam
 from ..sources.scans import OLD_TOLERANCE, TRAJECTORY_SQL, decoded_pose, encoded_pose, rotation, trajectory, walks
@@ -131,7 +131,20 @@ query("w6_adaptive_smooth", f"{CURVES}, sg AS (SELECT scan_id, seq, greatest(0.5
 query("w7_spline")(lambda s, d: rounded(grouped.per_group(walks(s, d), cleaning.KEYS, grouped.spline)))
 query("w7_smoothing_spline")(lambda s, d: rounded(grouped.per_group(walks(s, d), cleaning.KEYS, lambda p: splines.smoothing_spline(p, 1.0))))
 query("t3_smoothing_stats", f"{S}, {smoothed_sql('p', 'scan_id')}, b AS (SELECT scan_id, sum(step) AS l FROM s GROUP BY scan_id), a AS (SELECT scan_id, sum(step) AS l FROM (SELECT scan_id, {STEP} AS step FROM sm WINDOW w AS (PARTITION BY scan_id ORDER BY seq)) GROUP BY scan_id), dd AS (SELECT p.scan_id, sqrt((p.x - sm.x) * (p.x - sm.x) + (p.y - sm.y) * (p.y - sm.y) + (p.z - sm.z) * (p.z - sm.z)) AS d FROM p JOIN sm USING (scan_id, seq)) SELECT scan_id, round(avg(d), 5) AS mean_displacement, round(max(d), 5) AS max_displacement, round(coalesce(any_value(b.l), 0), 5) AS original_length, round(coalesce(any_value(a.l), 0), 5) AS smoothed_length FROM dd JOIN b USING (scan_id) JOIN a USING (scan_id) GROUP BY scan_id")(lambda s, d: rounded(cleaning.smoothing_stats(walks(s, d), cleaning.smooth(walks(s, d))), 5))
-query("t5_t6_line_fit")(lambda s, d: rounded(grouped.line_fit(walks(s, d))))
+#: F1 in SQL: from `m` (a group's keys, n, means and sample covariances) the direction of the largest variance, v1 to v3, and its share.
+LINE = """m1 AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), m2 AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM m1),
+m3 AS (SELECT *, (xx - q) / p AS a, (yy - q) / p AS b, (zz - q) / p AS d, xy / p AS e, xz / p AS f, yz / p AS g FROM m2 WHERE n > 2 AND p > 0),
+m4 AS (SELECT *, q + 2 * p * cos(acos(greatest(-1, least(1, (a * (b * d - g * g) - e * (e * d - g * f) + f * (e * g - b * f)) / 2))) / 3) AS top FROM m3),
+m5 AS (SELECT *, [xx - top, xy, xz] AS r0, [xy, yy - top, yz] AS r1, [xz, yz, zz - top] AS r2 FROM m4),
+m6 AS (SELECT *, list_max([list_prepend(list_dot_product(c, c), c) FOR c IN [list_value(r0[2] * r1[3] - r0[3] * r1[2], r0[3] * r1[1] - r0[1] * r1[3], r0[1] * r1[2] - r0[2] * r1[1]),
+  list_value(r0[2] * r2[3] - r0[3] * r2[2], r0[3] * r2[1] - r0[1] * r2[3], r0[1] * r2[2] - r0[2] * r2[1]), list_value(r1[2] * r2[3] - r1[3] * r2[2], r1[3] * r2[1] - r1[1] * r2[3], r1[1] * r2[2] - r1[2] * r2[1])]]) AS best FROM m5),
+line AS (SELECT *, best[2] / sqrt(best[1]) AS v1, best[3] / sqrt(best[1]) AS v2, best[4] / sqrt(best[1]) AS v3, (v1 * v1 * xx + v2 * v2 * yy + v3 * v3 * zz + 2 * (v1 * v2 * xy + v1 * v3 * xz + v2 * v3 * yz)) / (3 * q) AS share FROM m6)"""
+MOMENTS = "count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, covar_samp(x, x) AS xx, covar_samp(y, y) AS yy, covar_samp(z, z) AS zz, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, z) AS yz"
+ALONG = "((x - mx) * v1 + (y - my) * v2 + (z - mz) * v3)"
+LINES = f"{WALKS}, m AS (SELECT scan_id, {MOMENTS} FROM p GROUP BY scan_id), {LINE}"
+query("t5_t6_line_fit", f"{LINES}, o AS (SELECT scan_id, share, sqrt((x - mx - {ALONG} * v1) * (x - mx - {ALONG} * v1) + (y - my - {ALONG} * v2) * (y - my - {ALONG} * v2) + (z - mz - {ALONG} * v3) * (z - mz - {ALONG} * v3)) AS d FROM p JOIN line USING (scan_id)) SELECT scan_id, round(max(share), 6) AS explained, round(avg(d), 6) AS mean_deviation, round(max(d), 6) AS max_deviation, round(stddev_pop(d), 6) AS std_deviation FROM o GROUP BY scan_id")(
+    lambda s, d: rounded(lines.line_fit(walks(s, d)))
+)
 query("t7_scan_overlap", f"{WALKS}, b AS (SELECT scan_id % 2 AS odd, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM p GROUP BY 1) SELECT round(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)), 6) AS overlap_x, round(greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)), 6) AS overlap_y, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) > 0.5 OR greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) > 0.5 AS mergeable FROM b a JOIN b ON a.odd = 0 AND b.odd = 1")(lambda s, d: rounded(cleaning.scan_overlap(walks(s, d).filter("scan_id % 2 = 0"), walks(s, d).filter("scan_id % 2 = 1"))))
 DEDUP = f"""WITH RECURSIVE p AS ({TRAJECTORY_SQL.format(events='events')}),
 l AS (SELECT a.scan_id, a.seq, list(b.seq) FILTER (WHERE b.seq IS NOT NULL) AS later FROM p a LEFT JOIN p b ON a.scan_id = b.scan_id AND b.seq > a.seq AND sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)) <= 0.5 GROUP BY a.scan_id, a.seq),
@@ -141,9 +154,11 @@ query("d1_deduplicate", f"{DEDUP} SELECT scan_id, CAST(row_number() OVER (PARTIT
 query("t2_deduplication_stats", f"{DEDUP} SELECT scan_id, count(*) AS original_count, sum(kept::INT)::BIGINT AS final_count, sum((NOT kept)::INT)::BIGINT AS removed_count, round(sum((NOT kept)::INT) / count(*), 6) AS reduction_rate, printf('%.1f%%', 100.0 * sum((NOT kept)::INT) / count(*)) AS reduction_text FROM r GROUP BY scan_id")(lambda s, d: rounded(cleaning.deduplication_stats(walks(s, d), grouped.deduplicate(walks(s, d), 0.5))))
 query("d2_d3_d4_merge_overlaps")(lambda s, d: rounded(grouped.merge_overlaps(walks(s, d), 1.0)))
 query("d5_simplify")(lambda s, d: rounded(grouped.simplify(walks(s, d), 0.5)))
-query("f1_f2_project")(lambda s, d: rounded(grouped.per_group(walks(s, d), cleaning.KEYS, lambda p: grouped.projected(p) if len(p) > 2 else p)))
+query("f1_f2_project", f"{LINES} SELECT scan_id, seq, round(mx + {ALONG} * v1, 6) AS x, round(my + {ALONG} * v2, 6) AS y, round(mz + {ALONG} * v3, 6) AS z FROM p JOIN line USING (scan_id)")(lambda s, d: rounded(lines.project(walks(s, d))))
 query("f3_f4_f5_f6_straighten")(lambda s, d: rounded(grouped.straighten(walks(s, d))))
-query("f7_straighten_chunks")(lambda s, d: rounded(grouped.per_group(walks(s, d), cleaning.KEYS, grouped.straightened_chunks)))
+query("f7_straighten_chunks", f"{WALKS}, m AS (SELECT scan_id, seq // 20 AS chunk, {MOMENTS} FROM p GROUP BY ALL), {LINE} SELECT p.scan_id, seq, round(CASE WHEN share >= 0.85 THEN mx + {ALONG} * v1 ELSE x END, 6) AS x, round(CASE WHEN share >= 0.85 THEN my + {ALONG} * v2 ELSE y END, 6) AS y, round(CASE WHEN share >= 0.85 THEN mz + {ALONG} * v3 ELSE z END, 6) AS z FROM p LEFT JOIN line ON p.scan_id = line.scan_id AND seq // 20 = chunk")(
+    lambda s, d: rounded(lines.straighten_chunks(walks(s, d)))
+)
 query("f8_straighten_xy")(lambda s, d: rounded(grouped.per_group(walks(s, d), cleaning.KEYS, grouped.straightened_flat)))
 query("f9_f10_snap_to_lines")(lambda s, d: rounded(grouped.snap_to_lines(walks(s, d))))
 CLIMB = f"{WALKS}, a AS (SELECT *, z - lag(z) OVER w AS dz, lead(z, 10) OVER w - z AS rise FROM p WINDOW w AS (PARTITION BY scan_id ORDER BY seq)), b AS (SELECT *, sum(CASE WHEN dz > 0.025 THEN 1 ELSE 0 END) OVER k AS up, sum(CASE WHEN dz < -0.025 THEN 1 ELSE 0 END) OVER k AS down FROM a WINDOW k AS (PARTITION BY scan_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)), c AS (SELECT *, max(CASE WHEN abs(rise) > 0.75 AND CASE WHEN rise > 0 THEN up ELSE down END > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY scan_id ORDER BY seq ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS marked FROM b)"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import geometry as geo
-from pathloom.operators import grouped
+from pathloom.operators import grouped, lines
 from pathloom.plans import processing, queries
 from pathloom.sources.scans import walks
 
@@ -142,7 +142,7 @@ def test_cleaning_and_lines(spark, scans):
         chunks[k] = [q for a in range(0, len(p), 20) for q in (svd_projected(p[a : a + 20]) if len(p[a : a + 20]) >= 3 and svd_line(p[a : a + 20])[2] >= 0.85 else p[a : a + 20])]
     same(run("f7_straighten_chunks"), chunks)
     fits = {r.scan_id: r for r in queries.QUERIES["t5_t6_line_fit"](spark, SF).collect()}
-    lists = {r.scan_id: r.distances for r in grouped.line_fit(source, distances=True).collect()}
+    lists = {r.scan_id: r.distances for r in lines.line_fit(source, distances=True).collect()}
     for k, p in scans.items():
         moved = np.linalg.norm(svd_projected(p) - np.array(p), axis=1)
         assert (fits[k].explained, fits[k].mean_deviation, fits[k].max_deviation, fits[k].std_deviation) == pytest.approx((svd_line(p)[2], moved.mean(), moved.max(), moved.std()), abs=2e-6)
