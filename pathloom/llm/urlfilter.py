@@ -80,6 +80,19 @@ def log_ratios(train: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select("window", (F.log(probs[1]) - F.log(probs[0])).alias("ratio"))
 
 
+def content_labels(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_chars: int = 200, most_signs: float = 0.1) -> DataFrame:
+    """(url, bad): what a page's content says of its URL, for judge_urls(labelled=...). Bad are pages with under `least_chars` characters of
+    text in paragraphs, or of whose text more than the share `most_signs` are signs other than letters, digits, spaces and common marks.
+
+    A null or empty page has no text and is bad; a null URL gets no label; a URL with several pages is bad if one of them is.
+    """
+    blocks = F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(r"(?is)<p[\s>][^<]*(?:<(?!/?(?:p|div|article)[\s>/])[^<]*)*"), F.lit(0))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(blocks, " "), "<[^>]*>?", " "), r"&[a-z#0-9]+;|\s+", " "))
+    rows = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), text.alias("_t"))
+    signs = F.length(F.regexp_replace("_t", r"[\p{L}\p{N}\s.,;:!?'\"()-]", ""))
+    return rows.groupBy("url").agg(F.max((F.length("_t") < least_chars) | (signs > most_signs * F.length("_t"))).alias("bad"))
+
+
 def judge_urls(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject_words: Sequence[str] = REJECT_WORDS, id_col: str = "page_id", url_col: str = "url",
     labelled: DataFrame | None = None, train: DataFrame | None = None, calibration: int = 5, false_rejects: float = 0.005, missed: float = 0.05,

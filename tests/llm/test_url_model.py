@@ -8,6 +8,8 @@ from math import log
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from pathloom.llm import urlfilter
 
 RNG = random.Random(8)
@@ -76,3 +78,19 @@ def test_hosts_that_no_list_names(spark):
 def test_nothing_to_learn_from(spark):
     frame = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (None, None)], "page_id long, url string")
     assert [r.verdict for r in urlfilter.judge_urls(frame, rules=(), reject_words=()).collect()] == ["allow"] * 3
+
+
+def test_labels_from_content(spark):
+    """Labels by what pages hold: short, junk, null and repeated ones; a model taught by them alone, without words."""
+    good = "<article><h1>x</h1><p>" + "Some plain words, as they stand in any text. " * 8 + "<b>bold</b></p></article>"
+    junk = "<p>" + "word%%% other### *** $$$ next&&& " * 20
+    pages = [("http://a.net/good", good), ("http://a.net/short", "<p>Little.</p>"), ("http://a.net/junk", junk), ("http://a.net/none", None), (None, good), ("http://a.net/both", good), ("http://a.net/both", junk)]
+    frame = spark.createDataFrame(pages, "url string, html string").withColumn("bad", F.lit("clash"))
+    got = {r.url: r.bad for r in urlfilter.content_labels(frame).collect()}
+    assert got == {"http://a.net/good": False, "http://a.net/short": True, "http://a.net/junk": True, "http://a.net/none": True, "http://a.net/both": True}
+    rows = [(k, f"http://{'zz-offers' if k % 4 == 0 else 'thering'}{k % 50}.net/en/{k}", junk if k % 4 == 0 else good) for k in range(600)]
+    site = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdicts = {r.page_id: r.verdict for r in urlfilter.judge_urls(site, rules=(), reject_words=(), labelled=urlfilter.content_labels(site)).collect()}
+    wrong = [k for k, v in verdicts.items() if (v == "block") != (k % 4 == 0)]
+    assert len(wrong) < 12
+    assert not re.search("Python|Arrow", urlfilter.content_labels(frame)._jdf.queryExecution().executedPlan().toString())
