@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,57 +154,3 @@ def dead_ends(edges: DataFrame) -> DataFrame:
     """Nodes of degree one; an edge of one direction counts for its source only."""
     ends = edges.select("scan_id", F.explode(F.when(F.col("bidirectional"), F.array("from_node", "to_node")).otherwise(F.array("from_node"))).alias("node_id"))
     return ends.groupBy("scan_id", "node_id").count().filter("count = 1").drop("count")
-
-
-ROUTE_SCHEMA = "scan_id long, request_id long, cost double, path array<string>, error string"
-
-
-def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Cheapest paths by Dijkstra's method on M5's weights, one scan's graph a task.
-
-    requests: scan_id, request_id, floor_level, x, y, destination, preference. nodes may have poi_name. A request without an
-    answer gets GRAPH_NOT_BUILT (no node on its floor), POI_NOT_FOUND (no destination asked for, or a scan without any named
-    place), DESTINATION_NOT_FOUND or NO_PATH_AVAILABLE.
-    """
-    named = nodes if "poi_name" in nodes.columns else nodes.withColumn("poi_name", F.lit(None).cast("string"))
-    rows = named.select("scan_id", "node_id", F.lit(None).cast("string").alias("to_node"), "floor_level", "x", "y", "poi_name", F.lit(0.0).alias("distance"), F.lit(None).cast("string").alias("edge_type"), F.lit(True).alias("bidirectional"), "original_index")
-    rows = rows.unionByName(edges.select("scan_id", F.col("from_node").alias("node_id"), "to_node", F.lit(0).alias("floor_level"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(None).cast("string").alias("poi_name"), "distance", "edge_type", "bidirectional", F.lit(0).cast("long").alias("original_index")))
-
-    def run(asked: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        points = graph[graph["to_node"].isna()].sort_values(["floor_level", "original_index"])
-        ways = defaultdict(list)
-        for a, b, d, kind, two in graph[graph["to_node"].notna()][["node_id", "to_node", "distance", "edge_type", "bidirectional"]].itertuples(index=False):
-            ways[a].append((b, d, kind))
-            if two:
-                ways[b].append((a, d, kind))
-        cost_of = {("ELEVATOR_FIRST", "VERTICAL_ELEVATOR"): 0.5, ("ELEVATOR_FIRST", "VERTICAL_STAIRCASE"): 2.0, ("STAIRCASE_FIRST", "VERTICAL_ELEVATOR"): 2.0, ("STAIRCASE_FIRST", "VERTICAL_STAIRCASE"): 0.8}
-        out = []
-        for r in asked.itertuples(index=False):
-            on = points[points["floor_level"] == r.floor_level]
-            goals = set(points.loc[points["poi_name"] == r.destination, "node_id"])
-            if not len(on) or not goals:
-                missing = r.destination is None or not points["poi_name"].notna().any()
-                out.append((r.scan_id, r.request_id, None, None, "GRAPH_NOT_BUILT" if not len(on) else "POI_NOT_FOUND" if missing else "DESTINATION_NOT_FOUND"))
-                continue
-            start = on["node_id"].iloc[int(np.argmin(np.hypot(on["x"] - r.x, on["y"] - r.y)))]
-            best, came, heap = {start: 0.0}, {}, [(0.0, start)]
-            goal = None
-            while heap:
-                c, a = heapq.heappop(heap)
-                if a in goals:
-                    goal = a
-                    break
-                if c > best[a]:
-                    continue
-                for b, d, kind in ways[a]:
-                    new = c + d * cost_of.get((r.preference, kind), 1.0)
-                    if new < best.get(b, math.inf):
-                        best[b], came[b] = new, a
-                        heapq.heappush(heap, (new, b))
-            path = [goal] if goal else []
-            while path and path[-1] in came:
-                path.append(came[path[-1]])
-            out.append((r.scan_id, r.request_id, best[goal], path[::-1], None) if goal else (r.scan_id, r.request_id, None, None, "NO_PATH_AVAILABLE"))
-        return pd.DataFrame(out, columns=["scan_id", "request_id", "cost", "path", "error"])
-
-    return requests.groupBy("scan_id").cogroup(rows.groupBy("scan_id")).applyInPandas(run, ROUTE_SCHEMA)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import catalog, cleaning, floors, graph, grouped, lines, splines
-from ..operators.keeping import shared_folder
+from ..operators import catalog, cleaning, floors, graph, grouped, lines, routing, splines
+from ..operators.keeping import kept, shared_folder
 from ..sources import slam
 from ..sources.scans import OLD_TOLERANCE, TRAJECTORY_SQL, decoded_pose, encoded_pose, rotation, trajectory, walks
 from ..sources.versions import VersionedTable
@@ -220,7 +220,8 @@ def g12(spark: SparkSession, d: str) -> DataFrame:
     wishes = F.explode(F.array(*map(F.lit, ("SHORTEST", "ELEVATOR_FIRST", "STAIRCASE_FIRST"))))
     first = done.points.filter("seq = 0").select("scan_id", F.lit(1).alias("floor_level"), "x", "y", F.lit("Goal").alias("destination"), wishes.alias("preference"))
     asked = first.withColumn("request_id", F.row_number().over(Window.partitionBy("scan_id").orderBy("preference")).cast("long"))
-    return rounded(graph.routes(asked, nodes, done.edges).withColumn("n_nodes", F.size("path")).drop("path"))
+    edges = kept(done.edges)
+    return rounded(routing.routes(asked, nodes, edges, routing.landmarks(done.nodes, edges)).withColumn("n_nodes", F.size("path")).drop("path", "settled"))
 
 
 # --- look-ups: nations as buildings, customers as floors, orders as paths with line items as segments ---------------------

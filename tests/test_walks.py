@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import geometry as geo
-from pathloom.operators import catalog, cleaning, floors, graph, grouped
+from pathloom.operators import catalog, cleaning, floors, graph, grouped, routing
 from pathloom.sources import scans, slam
 
 POINTS = "scan_id long, seq long, x double, y double, z double"
@@ -125,7 +125,7 @@ def test_routes(spark):
     nodes = spark.createDataFrame([(1, 1, i, float(i), 0.0, 0.0, "WAYPOINT", None, None, f"n{i}", "Room" if i == 3 else None) for i in range(5)], graph.NODE_SCHEMA + ", node_id string, poi_name string")
     edges = spark.createDataFrame([(1, 1, "n0", "n1", 1.0, "HORIZONTAL", True), (1, 1, "n1", "n3", 5.0, "VERTICAL_ELEVATOR", True), (1, 1, "n1", "n2", 1.0, "VERTICAL_STAIRCASE", True), (1, 1, "n2", "n3", 3.0, "HORIZONTAL", True)], "scan_id long, floor_level int, from_node string, to_node string, distance double, edge_type string, bidirectional boolean")
     asked = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, "Room", "SHORTEST"), (1, 2, 1, 0.0, 0.0, "Room", "ELEVATOR_FIRST"), (1, 3, 1, 4.0, 0.0, "Room", "SHORTEST"), (1, 4, 1, 0.0, 0.0, "Hall", "SHORTEST"), (1, 5, 9, 0.0, 0.0, "Room", "SHORTEST")], "scan_id long, request_id long, floor_level int, x double, y double, destination string, preference string")
-    r = {x.request_id: (x.cost, x.path, x.error) for x in graph.routes(asked, nodes, edges).collect()}
+    r = {x.request_id: (x.cost, x.path, x.error) for x in routing.routes(asked, nodes, edges).collect()}
     assert r[1] == (5.0, ["n0", "n1", "n2", "n3"], None) and r[2] == (3.5, ["n0", "n1", "n3"], None)
     assert [r[k][2] for k in (3, 4, 5)] == ["NO_PATH_AVAILABLE", "DESTINATION_NOT_FOUND", "GRAPH_NOT_BUILT"]
 
