@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import angle, distance, minus
 from .cleaning import by, here, shifted
-from .grouped import in_groups, pa_type
+from .grouped import CHUNK, chosen_apart, chunked, in_groups, pa_type
 from .keeping import kept
 
 FLOOR = ("scan_id", "floor_level")
@@ -28,37 +28,69 @@ def junction_turns(points: DataFrame, least: float = 45.0, margin: int = 3, keys
     return p.withColumn("junction", F.coalesce(inside & (F.col("turn") >= least), F.lit(False)))
 
 
-def path_nodes(points: DataFrame, spacing: float = 1.0, near: float = 1.5) -> DataFrame:
-    """Junctions merged around the first of each group, ends, and waypoints `spacing` from the last node."""
-    rows = junction_turns(points).select(*FLOOR, "seq", "x", "y", "z", "turn", "junction")
+def merged_junctions(turns: DataFrame, near: float = 1.5, chunk: int = CHUNK) -> DataFrame:
+    """Of the junctions of junction_turns the first of each group (floor, seq), with the group's largest turn and number.
+
+    In order, a junction that no earlier seed is nearer to than `near` is a seed; the others belong to their earliest seed so near. Both are joins
+    over cells; no task holds more than `chunk` junctions of a floor.
+    """
+    found = kept(turns.filter("junction").select(*FLOOR, "seq", "x", "y", "z", "turn"))
+    just_under = float(np.nextafter(near, 0.0))
+    seeds = chosen_apart(found, just_under, FLOOR, chunk)
+    cell = lambda c: F.floor(F.col(c) / near)
+    at = seeds.select(*FLOOR, F.col("seq").alias("_seed"), *(F.col(c).alias(f"_{c}") for c in "xyz"), *(cell(c).alias(f"_c{c}") for c in "xyz"))
+    asked = found
+    for c in "xyz":
+        asked = asked.withColumn(f"_c{c}", F.explode(F.sequence(cell(c) - 1, cell(c) + 1)))
+    met = asked.join(at, [*FLOOR, "_cx", "_cy", "_cz"]).filter((distance(here(), [F.col(f"_{c}") for c in "xyz"]) <= just_under) & (F.col("_seed") <= F.col("seq")))
+    first = met.groupBy(*FLOOR, "seq").agg(F.min("_seed").alias("_seed"), F.first("turn").alias("turn"))
+    return first.groupBy(*FLOOR, F.col("_seed").alias("seq")).agg(F.max("turn").alias("angle_change"), F.count("*").cast("int").alias("merged_count"))
+
+
+def path_nodes(points: DataFrame, spacing: float = 1.0, near: float = 1.5, chunk: int = CHUNK) -> DataFrame:
+    """Junctions merged around the first of each group, ends, and waypoints `spacing` from the last node.
+
+    Which points are nodes depends on the last node only, so a floor is gone through in rounds of `chunk` points, each of which starts from the last
+    node of the rounds before: no task holds more of a floor.
+    """
+    turns = kept(junction_turns(points).select(*FLOOR, "seq", "x", "y", "z", "turn", "junction"))
+    whole = Window.partitionBy(*FLOOR)
+    rows = turns.select(*FLOOR, "seq", "x", "y", "z").join(merged_junctions(turns, near, chunk), [*FLOOR, "seq"], "left")
+    rows = rows.withColumns({"_end": (F.col("seq") == F.min("seq").over(whole)) | (F.col("seq") == F.max("seq").over(whole)), "_many": F.min("seq").over(whole) != F.max("seq").over(whole)}).filter("_many").drop("_many")
+    rows, rounds = chunked(rows, FLOOR, chunk)
+    schema = T.StructType([*(points.schema[k] for k in FLOOR), *T.StructType.fromDDL(NODE_SCHEMA).fields[len(FLOOR) :]])
+    key_kinds = [pa_type(points.schema[k].dataType) for k in FLOOR]
 
     def run(key: tuple, columns: list[np.ndarray]) -> list[pa.Array] | None:
-        p, turn = np.stack(columns[1:4], axis=1).astype(float), columns[4]
-        left = np.flatnonzero(columns[5].astype(bool)).tolist()
-        seeds: dict[int, tuple[float, int]] = {}
-        while left:
-            distances = np.linalg.norm(p[left] - p[left[0]], axis=1)
-            around = [j for k, j in enumerate(left) if k == 0 or distances[k] < near]
-            seeds[left[0]] = (float(max(turn[j] for j in around)), len(around))
-            gone = set(around)
-            left = [j for j in left if j not in gone]
-        places, kinds, last, end = [], [], 0, len(p) - 1
-        rows = p.tolist()
-        for i in range(len(rows) if end else 0):
-            kind = "ENDPOINT" if i in (0, end) else "JUNCTION" if i in seeds else "WAYPOINT" if math.dist(rows[i], rows[last]) >= spacing else None
+        seq, p, turn, merged, ends = columns[0], np.stack(columns[1:4], axis=1).astype(float).tolist(), columns[4].astype(float), columns[5].astype(float), columns[6]
+        last = [float(columns[7 + k][0]) for k in range(3)]
+        known = not math.isnan(last[0])
+        places, kinds = [], []
+        for i, at in enumerate(p):
+            kind = "ENDPOINT" if ends[i] else "JUNCTION" if merged[i] > 0 else "WAYPOINT" if known and math.dist(at, last) >= spacing else None
             if kind:
                 places.append(i)
                 kinds.append(kind)
-                last = i
+                last, known = at, True
         if not places:
             return None
-        merged = [seeds[i] if k == "JUNCTION" else (None, None) for i, k in zip(places, kinds)]
-        at = p[places]
-        return [*(pa.array([k] * len(places), kind) for k, kind in zip(key, key_kinds)), pa.array(places, pa.int64()), *(pa.array(at[:, c]) for c in range(3)), pa.array(kinds), pa.array([m[0] for m in merged], pa.float64()), pa.array([m[1] for m in merged], pa.int32())]
-
-    schema = T.StructType([*(points.schema[k] for k in FLOOR), *T.StructType.fromDDL(NODE_SCHEMA).fields[len(FLOOR) :]])
-    key_kinds = [pa_type(points.schema[k].dataType) for k in FLOOR]
-    nodes = in_groups(rows, FLOOR, "seq", run, schema)
+        junction = np.array([k != "JUNCTION" for k in kinds])
+        return [
+            *(pa.array([k] * len(places), kind) for k, kind in zip(key, key_kinds)), pa.array(seq[places], pa.int64()), *(pa.array([p[i][c] for i in places]) for c in range(3)), pa.array(kinds),
+            pa.array(turn[places], mask=junction), pa.array(np.nan_to_num(merged[places]).astype(np.int32), mask=junction),
+        ]
+
+    nodes = None
+    for k in range(rounds):
+        now = rows.filter(F.col("_chunk") == k).select(*FLOOR, "seq", "x", "y", "z", "angle_change", "merged_count", "_end")
+        lasts = [f"_l{c}" for c in "xyz"]
+        if nodes is None:
+            now = now.withColumns({c: F.lit(None).cast("double") for c in lasts})
+        else:
+            last = nodes.groupBy(*FLOOR).agg(F.max_by(F.struct(*(F.col(c).alias(f"_l{c}") for c in "xyz")), "original_index").alias("_l")).select(*FLOOR, "_l.*")
+            now = now.join(last, list(FLOOR))
+        new = kept(in_groups(now.select(*FLOOR, "seq", "x", "y", "z", "angle_change", "merged_count", "_end", *lasts), FLOOR, "seq", run, schema))
+        nodes = new if nodes is None else nodes.unionByName(new)
     return nodes.withColumn("node_id", F.sha2(F.concat_ws(":", *FLOOR, "original_index"), 256))
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import AXES
-from .cleaning import KEYS
+from ..functions.geometry import AXES, distance
+from .cleaning import KEYS, here
 from .keeping import kept
 
 Group = tuple[tuple, list[np.ndarray]]
@@ -418,31 +418,34 @@ def spline(p: np.ndarray, points: int | None = None) -> np.ndarray:
 CHUNK = 100_000
 
 
-def deduplicate(points: DataFrame, radius: float = 0.3, keys: Sequence[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
-    """D1 for scans of any size: round k decides on the k-th `chunk` points of each scan.
+def chunked(points: DataFrame, keys: Sequence[str], chunk: int) -> tuple[DataFrame, int]:
+    """points with `_chunk`, the number of the stretch of `chunk` points of its group that each is in, and how many there are at most."""
+    order = Window.partitionBy(*keys).orderBy("seq")
+    rows = kept(points.withColumn("_chunk", F.floor((F.row_number().over(order) - 1) / chunk).cast("int")))
+    return rows, (rows.agg(F.max("_chunk")).first()[0] or 0) + 1
+
 
-    Points near one kept in an earlier round go, by a join over cells of the radius' width, in which kept points are few; among the rest of a chunk
-    the choice is made in order, in one task. That is the choice over the whole scan, as a point depends on those before it only.
+def chosen_apart(points: DataFrame, radius: float, keys: Sequence[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
+    """The points (*keys, seq, x, y, z) that D1's choice keeps: in order, one stays unless an earlier one that stayed is within the radius.
+
+    Round k decides on the k-th `chunk` points of each group. Points near one kept in an earlier round go, by a join over cells of the
+    radius' width, in which kept points are few; among the rest of a chunk the choice is made in order, in one task. That is the choice over the whole
+    group, as a point depends on those before it only. Points that are not finite stay and are near nothing in other chunks.
     """
-    if radius <= 0:
-        return per_group(points, keys, lambda p: kept_apart(p, radius))
-    order = Window.partitionBy(*keys).orderBy("seq")
     finite = F.forall(F.array(*AXES), lambda v: F.coalesce(F.abs(v) < F.lit(1e15 * radius), F.lit(False)))
     cells = [F.when(finite, F.floor(F.col(c) / radius)).alias(f"_c{c}") for c in AXES]
-    rows = points.select(*keys, "seq", *AXES, F.floor((F.row_number().over(order) - 1) / chunk).cast("int").alias("_chunk"), *cells)
-    rows = kept(rows)
-    rounds = (rows.agg(F.max("_chunk")).first()[0] or 0) + 1
+    rows, rounds = chunked(points.select(*keys, "seq", *AXES, *cells), keys, chunk)
     wide = ["seq", *AXES, *(f"_c{c}" for c in AXES)]
     chosen = None
     for k in range(rounds):
         now = rows.filter(F.col("_chunk") == k).select(*keys, *wide)
         if chosen is not None:
-            near = now.select(*keys, "seq", *AXES, *(F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)).alias(f"_c{c}") if c == "x" else F.col(f"_c{c}") for c in AXES))
-            for c in "yz":
+            near = now
+            for c in AXES:
                 near = near.withColumn(f"_c{c}", F.explode(F.sequence(F.col(f"_c{c}") - 1, F.col(f"_c{c}") + 1)))
             there = chosen.select(*keys, *(F.col(c).alias(f"_{c}") for c in AXES), *(f"_c{c}" for c in AXES))
-            d = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in AXES[1:]), (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")))
-            gone = near.join(there, [*keys, *(f"_c{c}" for c in AXES)]).filter(F.sqrt(d) <= radius).select(*keys, "seq").distinct()
+            d = distance(here(), [F.col(f"_{c}") for c in AXES])
+            gone = near.join(there, [*keys, *(f"_c{c}" for c in AXES)]).filter(d <= radius).select(*keys, "seq").distinct()
             now = now.join(gone, [*keys, "seq"], "left_anti")
         schema = T.StructType([*(now.schema[c] for c in keys), *(now.schema[c] for c in wide)])
         kinds = [pa_type(f.dataType) for f in schema]
@@ -453,10 +456,17 @@ def deduplicate(points: DataFrame, radius: float = 0.3, keys: Sequence[str] = KE
 
         new = kept(in_groups(now.select(*keys, *wide), keys, "seq", run, schema))
         chosen = new if chosen is None else chosen.unionByName(new)
-    # a scan of which under two points would stay keeps all
+    return chosen.select(*keys, "seq", *AXES)
+
+
+def deduplicate(points: DataFrame, radius: float = 0.3, keys: Sequence[str] = KEYS, chunk: int = CHUNK) -> DataFrame:
+    """D1 for scans of any size, by `chosen_apart`; a scan of which under two points would stay keeps all."""
+    if radius <= 0:
+        return per_group(points, keys, lambda p: kept_apart(p, radius))
+    chosen = chosen_apart(points, radius, keys, chunk)
     few = chosen.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n < 2").select(*keys)
-    result = chosen.select(*keys, "seq", *AXES).join(few, list(keys), "left_anti").unionByName(rows.select(*keys, "seq", *AXES).join(few, list(keys), "left_semi"))
-    return result.withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
+    result = chosen.join(few, list(keys), "left_anti").unionByName(points.select(*keys, "seq", *AXES).join(few, list(keys), "left_semi"))
+    return result.withColumn("seq", (F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1).cast("long"))
 
 
 def merge_overlaps(points: DataFrame, limit: float = 0.5, keys: Sequence[str] = KEYS) -> DataFrame:

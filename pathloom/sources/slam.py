@@ -2,7 +2,7 @@
 
 `slam_nodes` reads files that tasks can open by path (a disk or a shared mount). A large file is cut into ranges of ids, each read by
 a task of its own; small files share a task. Conditions on node_id, scan_id and null poses go into SQLite's statement or leave
-files and ranges out (Spark hands them over if spark.sql.python.filterPushdown.enabled is set, which `read_nodes` does); without
+files and ranges out (Spark hands them over once `register` has allowed it); without
 poses asked for, none is read. Files elsewhere come through Spark's own file readers, whole, one a row (`nodes_in`).
 
 Defined cases: a null id counts as a row of the first range; a table without rows, a file of no bytes (which Spark's listing passes over) or an empty folder gives no nodes; a file that is no such
@@ -228,16 +228,21 @@ def packed(nodes: DataFrame) -> DataFrame:
     return nodes.select("scan_id", "node_id", "pose").groupBy("scan_id").applyInArrow(run, "path string, content binary")
 
 
+def register(spark: SparkSession) -> None:
+    """Makes `slam_nodes` known to the session, and lets Spark hand conditions over to Python sources, without which it refuses this one."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(NodeSource)
+
+
 def write_nodes(nodes: DataFrame, folder: str) -> None:
     """Writes (scan_id, node_id, pose) as one database a scan into a folder that all tasks see."""
-    nodes.sparkSession.dataSource.register(NodeSource)
+    register(nodes.sparkSession)
     nodes.select("scan_id", "node_id", "pose").repartition("scan_id").sortWithinPartitions("scan_id", "node_id").write.format("slam_nodes").mode("append").save(folder)
 
 
 def read_nodes(spark: SparkSession, path: str | list[str], poses: bool = True, errors: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """The nodes of all .db files at path (folders, files or patterns of any file system that Spark reads)."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(NodeSource)
+    register(spark)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.db").load(path)
     paths = sorted(r.path for r in found.select("path").collect())  # names only, as Spark's own listing holds them
     if all(p.startswith("file:") for p in paths):

@@ -1,0 +1,55 @@
+"""Junction merging and node choice in chunks against plain loops over whole floors."""
+
+import math
+
+import numpy as np
+import pytest
+
+from pathloom.operators import graph
+
+POINTS = "scan_id string, floor_level int, seq long, x double, y double, z double"
+
+
+def walk(rng, n):
+    angle = np.cumsum(rng.choice([0, 0, 0, math.pi / 2, -math.pi / 2, 0.3], n))
+    steps = rng.uniform(0.05, 0.9, n)
+    return np.cumsum(np.stack([np.cos(angle) * steps, np.sin(angle) * steps, 0 * steps], axis=1), axis=0)
+
+
+def plainly(p, turns, spacing=1.0, near=1.5):
+    """(place, kind, largest turn, number) of each node; turns: place -> turn of the junctions."""
+    left, seeds = sorted(turns), {}
+    while left:
+        around = [j for j in left if j == left[0] or math.dist(p[j], p[left[0]]) < near]
+        seeds[left[0]] = (max(turns[j] for j in around), len(around))
+        left = [j for j in left if j not in around]
+    out, last, end = [], 0, len(p) - 1
+    for i in range(len(p) if end else 0):
+        kind = "ENDPOINT" if i in (0, end) else "JUNCTION" if i in seeds else "WAYPOINT" if math.dist(p[i], p[last]) >= spacing else None
+        if kind:
+            out.append((i, kind, *(seeds[i] if kind == "JUNCTION" else (None, None))))
+            last = i
+    return out
+
+
+@pytest.fixture(scope="module")
+def floors():
+    rng = np.random.default_rng(11)
+    out = {(f"s{k}", k % 2): walk(rng, int(rng.integers(2, 300))) for k in range(12)}
+    return out | {("one", 1): np.zeros((1, 3)), ("still", 1): np.zeros((30, 3)), ("two", 1): np.array([(0, 0, 0), (0.1, 0, 0.0)])}
+
+
+@pytest.mark.parametrize("chunk", [40, 100_000])
+def test_nodes_in_chunks(spark, floors, chunk):
+    frame = spark.createDataFrame([(*k, i, *map(float, q)) for k, p in floors.items() for i, q in enumerate(p)], POINTS).repartition(4)
+    turns = {k: {} for k in floors}
+    for r in graph.junction_turns(frame).filter("junction").collect():
+        turns[r.scan_id, r.floor_level][r.seq] = r.turn
+    got = {k: [] for k in floors}
+    for r in graph.path_nodes(frame, chunk=chunk).orderBy("original_index").collect():
+        got[r.scan_id, r.floor_level].append((r.original_index, r.type, r.angle_change, r.merged_count))
+        assert (r.x, r.y, r.z) == tuple(floors[r.scan_id, r.floor_level][r.original_index])
+    assert sum(n[1] == "JUNCTION" and n[3] > 1 for nodes in got.values() for n in nodes) > 5
+    for k, p in floors.items():
+        assert got[k] == plainly(p.tolist(), turns[k]), k
+    assert graph.path_nodes(frame.limit(0)).count() == 0

@@ -135,7 +135,7 @@ def test_slam_files(spark, tmp_path):
     with sqlite3.connect(tmp_path / "a.db") as db:
         db.execute("CREATE TABLE Node (id INTEGER, pose BLOB)")
         db.executemany("INSERT INTO Node VALUES (?, ?)", [(3, pose(1, 2, 3)), (1, pose(4, 5, 6)), (2, None), (4, b""), (5, b"x" * 47), (6, pose(0, 0, 0)), (7, pose(float("nan"), 0, 1))])
-    spark.dataSource.register(slam.NodeSource)
+    slam.register(spark)
     rows = scans.trajectory(spark.read.format("slam_nodes").load(str(tmp_path / "a.db"))).orderBy("seq").collect()
     assert [(r.scan_id, r.node_id, r.seq, r.x, r.y, r.z) for r in rows] == [("a.db", 1, 0, 4, 5, 6), ("a.db", 3, 1, 1, 2, 3)]
     assert [r.file_name for r in scans.scan_files(spark, str(tmp_path)).collect()] == ["a.db"]
