@@ -25,5 +25,8 @@ def test_slices_find_what_one_finds(spark, monkeypatch):
 
 def test_no_index_is_left_behind(spark):
     docs = spark.createDataFrame([(1, prose(30))], "doc_id long, text string")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    indexes = lambda: {d for d in os.listdir(shared) if d.startswith("postings-")} if os.path.isdir(shared) else set()
+    before = indexes()
     decontaminate.contamination(docs, docs.withColumnRenamed("doc_id", "item_id")).collect()
-    assert not [d for d in os.listdir(spark.sparkContext.getConf().get("spark.checkpoint.dir")) if d.startswith("postings-")]
+    assert indexes() == before
