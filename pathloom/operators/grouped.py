@@ -57,7 +57,9 @@ def in_groups(rows: DataFrame, keys: Sequence[str], order: str, run: Callable[[t
             if out is not None:
                 yield out
 
-    return rows.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(stream, schema)
+    # a number of its own, as partitions that are small in bytes would be put together, however much work their groups are
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, *others).repartition(parts, *keys).sortWithinPartitions(*keys, order).mapInArrow(stream, schema)
 
 
 def per_group(points: DataFrame, keys: Sequence[str], f: Callable[[np.ndarray], np.ndarray | list[int]]) -> DataFrame:

@@ -8,6 +8,8 @@ symmetric with four or five diagonals, so time and memory follow the number of p
 
 from __future__ import annotations
 
+from math import isfinite, log
+
 import numpy as np
 
 from .grouped import spline
@@ -151,17 +153,19 @@ def smoothing_fit(p: np.ndarray, s: float) -> tuple[Fit | None, np.ndarray | Non
         return fit, c
     # the residual grows with the roughness's price, from the least-squares spline's to the single cubic's
     unit = fit.squares[:, 0].sum() / fit.rough[:, 0].sum()
-    low, high = -15.0, 9.0
+    # the exponents between which the price lies, each with its residual's logarithm against s
+    low, high, under, over = -15.0, 9.0, log(max(r.sum(), 1e-300) / s), None
     for _ in range(100):
-        price = (low + high) / 2
+        share = 0.5 if over is None or over - under < 1e-9 else min(max((log(0.9995) - under) / (over - under), 0.1), 0.9)
+        price = low + share * (high - low)
         tried = fit.coefficients(unit * 10.0**price)
         reached = fit.residuals(tried).sum()
         if reached <= s:
-            low, c = price, tried
+            low, c, under = price, tried, log(max(reached, 1e-300) / s)
             if reached >= s * 0.999:
                 break
         else:
-            high = price
+            high, over = price, log(reached / s) if isfinite(reached) else None
     return fit, c
 
 
