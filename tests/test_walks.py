@@ -66,6 +66,15 @@ def test_percentages_round_as_python_does(spark):
     assert all(r.t == f"{r.a / r.b * 100:.1f}%" for r in got)
 
 
+def test_deduplication_stats_round_their_percentage_once(spark):
+    pairs = [(a, b) for b in (80, 160, 200, 240, 320) for a in range(1, b)]
+    before = spark.createDataFrame([(b * 1000 + a, k) for a, b in pairs for k in range(b)], "scan_id long, seq long")
+    after = before.filter("seq >= scan_id % 1000")
+    got = {r.scan_id: r.reduction_text for r in cleaning.deduplication_stats(before, after).collect()}
+    assert len(got) == len(pairs) and all(got[b * 1000 + a] == f"{100 * a / b:.1f}%" for a, b in pairs)
+    assert got[80023] == "28.8%"
+
+
 def test_gaps(spark):
     assert xs(cleaning.split_at_gaps(walk(spark, [0, 1, 10, 20, 21]))) == [0, 1, 20, 21]
     assert xs(cleaning.split_at_gaps(walk(spark, [5]))) == [5]
