@@ -22,44 +22,63 @@ from .keeping import kept
 Group = tuple[tuple, list[np.ndarray]]
 
 
+#: Rows of small groups' answers that leave a task in one batch.
+ROWS = 10_000
+
+
 def in_groups(rows: DataFrame, keys: Sequence[str], order: str, run: Callable[[tuple, list[np.ndarray]], list[pa.Array] | None], schema: T.StructType | str) -> DataFrame:
     """run(key, its rows' other columns as arrays, in the order) for each group, one after another in each task.
 
-    Rows are dealt by key and sorted, and stream by: a task holds one group at a time, and a small group costs no more than its rows.
+    Rows are dealt by key and sorted, and stream by: a task holds one group at a time, and a small group costs no more than its rows, as answers
+    go on together, about ROWS rows at a time.
     """
     others = [c for c in rows.columns if c not in keys]
     n = len(keys)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        ready, size = [], 0
+
+        def answer() -> None:
+            nonlocal size
+            got = run(at, held[0] if len(held) == 1 else [np.concatenate([part[k] for part in held]) for k in range(len(others))])
+            if got is not None:
+                ready.append(got)
+                size += len(got[0])
 
-        def answer() -> pa.RecordBatch | None:
-            columns = [np.concatenate([part[k] for part in held]) for k in range(len(others))]
-            got = run(at, columns)
-            return pa.RecordBatch.from_arrays(got, names=[f"c{k}" for k in range(len(got))]) if got is not None else None
+        def together() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([got[k] for got in ready]) for k in range(len(ready[0]))], names=[f"c{k}" for k in range(len(ready[0]))])
 
         for batch in batches:
-            names = list(zip(*(batch.column(k).to_pylist() for k in range(n))))
+            if not batch.num_rows:
+                continue
+            # a key's number in the batch, nulls too
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in range(n)]
+            starts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist()]
+            names = list(zip(*(batch.column(k).take(pa.array(starts)).to_pylist() for k in range(n))))
             values = [batch.column(n + k).to_numpy(zero_copy_only=False) for k in range(len(others))]
-            cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
-            for a, b in zip([0, *cuts], [*cuts, len(names)]):
-                if a == b:
-                    continue
-                if held and names[a] != at:
-                    out = answer()
-                    if out is not None:
-                        yield out
+            for name, a, b in zip(names, starts, [*starts[1:], batch.num_rows]):
+                if held and name != at:
+                    answer()
                     held = []
-                at = names[a]
+                    if size >= ROWS:
+                        yield together()
+                        ready, size = [], 0
+                at = name
                 held.append([v[a:b] for v in values])
         if held:
-            out = answer()
-            if out is not None:
-                yield out
+            answer()
+        if ready:
+            yield together()
 
-    # a number of its own, as partitions that are small in bytes would be put together, however much work their groups are
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*keys, *others).repartition(parts, *keys).sortWithinPartitions(*keys, order).mapInArrow(stream, schema)
+    return dealt(rows.select(*keys, *others), keys).sortWithinPartitions(*keys, order).mapInArrow(stream, schema)
+
+
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows by key in partitions whose number Spark leaves alone: partitions that are small in bytes would be put together, however much work
+    their groups are. One more than its shuffles have, as it takes an equal number for its own and puts those together."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts + 1, *keys)
 
 
 def per_group(points: DataFrame, keys: Sequence[str], f: Callable[[np.ndarray], np.ndarray | list[int]]) -> DataFrame:
@@ -93,8 +112,33 @@ def kept_apart(p: np.ndarray, radius: float) -> list[int]:
     return keep if len(keep) >= 2 else list(range(len(p)))
 
 
+#: Up to this many points, all distances of a group are computed at once.
+SMALL = 256
+
+
+def distances(p: np.ndarray) -> np.ndarray:
+    """Between all points of a small group."""
+    with np.errstate(all="ignore"):
+        x, y, z = (p[:, k, None] - p[None, :, k] for k in range(3))
+        return np.sqrt(x * x + y * y + z * z)
+
+
+def as_bits(table: np.ndarray) -> list[int]:
+    """Each row of a table of truths as one number, the first column in its lowest bit."""
+    packed = np.packbits(table, axis=1, bitorder="little")
+    width, data = packed.shape[1], packed.tobytes()
+    return [int.from_bytes(data[k : k + width], "little") for k in range(0, len(data), width)]
+
+
 def first_apart(p: np.ndarray, radius: float) -> list[int]:
     """The choice of D1 itself: the places of those that stay."""
+    if len(p) <= SMALL:
+        keep, taken = [], 0
+        for i, near in enumerate(as_bits(distances(p) <= radius)):
+            if not near & taken:
+                keep.append(i)
+                taken |= 1 << i
+        return keep
     if radius <= 0 or not np.isfinite(p).all():
         cells = np.zeros((len(p), 3), np.int64)
     else:
@@ -214,6 +258,8 @@ def overlaps_merged(p: np.ndarray, limit: float) -> list[int]:
         return list(range(len(p)))
     if limit <= 0 or not np.isfinite(p).all() or np.abs(p).max() / limit > 1e15:
         return overlaps_merged_plainly(p, limit)
+    if len(p) <= SMALL:
+        return overlaps_merged_at_once(p, limit)
     known, bounds = Trodden(p, limit), Least(len(p))
     keep, i = [0], 1
     known.add(0)
@@ -236,6 +282,28 @@ def overlaps_merged(p: np.ndarray, limit: float) -> list[int]:
     return keep
 
 
+def overlaps_merged_at_once(p: np.ndarray, limit: float) -> list[int]:
+    """overlaps_merged of a small group: kept places, and those near each point, are bits of one number."""
+    d = distances(p)
+    within, touching = as_bits(d < limit), as_bits(d <= limit)
+    keep, taken, before, i = [0], 1, 0, 1
+    while i < len(p):
+        near = within[i] & before
+        if near:
+            back = (near & -near).bit_length() - 1
+            later = taken >> back
+            if later.bit_count() > 2:
+                known = later << back
+                ahead = next((j for j in range(i, len(p)) if not touching[j] & known), None)
+                if ahead is not None:
+                    i = ahead
+                    continue
+        keep.append(i)
+        before, taken = taken, taken | 1 << i
+        i += 1
+    return keep
+
+
 def overlaps_merged_plainly(p: np.ndarray, limit: float) -> list[int]:
     keep, i = [0], 1
     while i < len(p):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import grouped
+from pathloom.operators import cleaning, grouped
 from pathloom.sources.scans import walks
 
 SF = "/root/testdata/sf0.01"
@@ -83,3 +83,25 @@ def test_least():
         least.put(i, plain[i])
         bound, start = int(rng.integers(21)), int(rng.integers(7))
         assert least.under(bound, start) == next((k for k in range(start, 7) if plain[k] < bound), None)
+
+
+def test_groups_are_not_put_together_for_their_few_bytes(spark):
+    """A step over groups behind windows by the same keys: its tasks stay as many as there is work for."""
+    rows = spark.range(640).select((F.col("id") % 64).alias("scan_id"), F.col("id").alias("seq"), *(F.col("id").cast("double").alias(c) for c in "xyz"))
+    got = grouped.per_group(cleaning.renumbered(rows, ["scan_id"]), ["scan_id"], lambda p: p).select("*", F.spark_partition_id().alias("part")).collect()
+    assert len(got) == 640 and len({r.part for r in got}) > 8
+    assert all(r.x == r.scan_id + 64 * r.seq for r in got)
+
+
+def test_small_groups_choose_as_large_ones_do(monkeypatch):
+    random = np.random.default_rng(5)
+    for t in range(200):
+        p = np.cumsum(random.normal(size=(int(random.integers(1, 120)), 3)) * [0.6, 0.6, 0.1], axis=0)
+        p = np.round(p * 2) / 2 if t % 3 == 0 else p
+        if t % 10 == 9:
+            p[0, 0] = np.nan
+        found = []
+        for small in (256, 0):
+            monkeypatch.setattr(grouped, "SMALL", small)
+            found.append((grouped.first_apart(p, 0.5), grouped.overlaps_merged(p, 1.0)))
+        assert found[0] == found[1]
