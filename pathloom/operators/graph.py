@@ -108,10 +108,16 @@ def along(points: DataFrame) -> DataFrame:
     return p.select(*FLOOR, F.col("seq").alias("original_index"), F.sum("_d").over(by(FLOOR).rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
 
 
-def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFrame:
+#: A floor of up to this many nodes is compared whole.
+FEW = 128
+
+
+def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str], few: int = FEW) -> DataFrame:
     """For places (*keep, scan_id, floor_level, px, py, pz) the nearest node of their floor, the first of equals.
 
-    A floor's nodes lie in cells of the plane, of about one node each at level 0 and four times as wide at each level above, up to
+    A floor of up to `few` nodes comes to its places as one array, so that a place travels as one row. On others places go by cells.
+
+    Such a floor's nodes lie in cells of the plane, of about one node each at level 0 and four times as wide at each level above, up to
     one for all. A place is first compared with one node of each of the nine cells around it at every level, which bounds its
     distance; then with all nodes of the nine cells at the level whose cells are as wide as what the bound leaves. A place outside the
     nodes' box looks around the box's nearest point c: as the box is convex, a node at r from c is at least sqrt(|p - c|^2 + r^2) from p, so
@@ -125,9 +131,24 @@ def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFr
     at = nodes.select(*FLOOR, "node_id", "original_index", "x", "y", "z").filter(finite("x y z"))
     side = F.greatest(F.sqrt(span[0] * span[1] / F.count("*")), span[0] / F.count("*"), span[1] / F.count("*"))
     box = [e for c in "xyz" for e in (F.min(c).alias(f"_low_{c}"), F.max(c).alias(f"_high_{c}"))]
-    grid = at.groupBy(*FLOOR).agg(*box, F.when(side > 1e-6, side).otherwise(1.0).alias("_side"), F.greatest(*span).alias("_span"))
+    grid = at.groupBy(*FLOOR).agg(*box, F.count("*").alias("_n"), F.when(side > 1e-6, side).otherwise(1.0).alias("_side"), F.greatest(*span).alias("_span"))
     grid = grid.withColumn("_top", F.greatest(F.ceil(F.log(F.greatest(F.col("_span") / F.col("_side"), F.lit(1.0))) / math.log(4)) + 1, F.lit(1)).cast("int")).drop("_span")
+    grid = kept(grid)
+    many = grid.filter(F.col("_n") > few).drop("_n")
+    place = list(dict.fromkeys([*keep, *FLOOR, "px", "py", "pz"]))
+    where = places.select(*place).filter(finite("px py pz"))
+    whole = at.join(grid.filter(F.col("_n") <= few).select(*FLOOR), list(FLOOR)).groupBy(*FLOOR).agg(F.collect_list(F.struct("original_index", "node_id", "x", "y", "z")).alias("_nodes"))
+    p = [F.col("px"), F.col("py"), F.col("pz")]
+    close = F.array_min(F.transform("_nodes", lambda n: F.struct(distance(p, [n[c] for c in "xyz"]).alias("d"), n["original_index"].alias("original_index"), n["node_id"].alias("node_id"))))
+    candidates = where.join(whole, list(FLOOR)).select(*keep, close.alias("best"))
+    if not many.isEmpty():
+        candidates = candidates.unionByName(nearest_by_cells(where.distinct(), at, many, keep, place))
+    best = candidates.groupBy(*keep).agg(F.min("best").alias("best"))
+    return best.select(*keep, F.col("best.node_id").alias("node_id"), F.col("best.d").alias("distance"))
+
 
+def nearest_by_cells(places: DataFrame, at: DataFrame, grid: DataFrame, keep: list[str], place: list[str]) -> DataFrame:
+    """nearest_node's way for floors of many nodes, of which grid has the boxes, cells and levels: (*keep, best: d, original_index, node_id)."""
     def cell(c: str, of: str):
         return F.floor((F.col(c) - F.col(f"_low_{of}")) / (F.col("_side") * F.pow(F.lit(4.0), F.col("_k"))))
 
@@ -141,8 +162,7 @@ def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFr
     of_cell = [*FLOOR, "_k", "_cx", "_cy"]
     first = layers.groupBy(*of_cell).agg(F.min(F.struct("original_index", "node_id", "x", "y", "z")).alias("_n")).select(*of_cell, "_n.x", "_n.y", "_n.z")
 
-    place = list(dict.fromkeys([*keep, *FLOOR, "px", "py", "pz"]))
-    asked = places.select(*place).filter(finite("px py pz")).distinct().join(grid, list(FLOOR))
+    asked = places.join(grid, list(FLOOR))
     asked = asked.withColumns({f"_q{c}": F.greatest(f"_low_{c}", F.least(f"_high_{c}", f"p{c}")) for c in "xyz"})
     asked = kept(asked.withColumns({"_out": distance([F.col(f"p{c}") for c in "xyz"], [F.col(f"_q{c}") for c in "xyz"])}))
     d = distance([F.col("px"), F.col("py"), F.col("pz")], here())
@@ -151,8 +171,7 @@ def nearest_node(places: DataFrame, nodes: DataFrame, keep: list[str]) -> DataFr
     left = F.when(F.col("_d") < 1e150, F.sqrt((F.col("_d") - F.col("_out")) * (F.col("_d") + F.col("_out")) * (1 + 1e-9) + F.col("_d") * F.col("_d") * 1e-14)).otherwise(math.inf)
     level = F.when(left <= F.col("_side"), 0).when(left >= F.col("_side") * F.pow(F.lit(4.0), F.col("_top")), F.col("_top")).otherwise(F.least(F.ceil(F.log(left / F.col("_side")) / math.log(4) + 1e-9), F.col("_top"))).cast("int")
     found = around(rough.withColumn("_k", level)).join(layers, of_cell)
-    best = found.groupBy(*keep).agg(F.min(F.struct(d.alias("d"), "original_index", "node_id")).alias("best"))
-    return best.select(*keep, F.col("best.node_id").alias("node_id"), F.col("best.d").alias("distance"))
+    return found.groupBy(*keep).agg(F.min(F.struct(d.alias("d"), "original_index", "node_id")).alias("best"))
 
 
 def vertical_edges(passages: DataFrame, nodes: DataFrame, points: DataFrame | None = None) -> DataFrame:

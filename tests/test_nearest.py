@@ -52,3 +52,11 @@ def test_no_places_or_nodes(spark):
     nodes = spark.createDataFrame([(1, 1, "a", 0, 0.0, 0.0, 0.0)], NODES)
     assert graph.nearest_node(none, nodes, ["place"]).count() == 0
     assert graph.nearest_node(spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 0.0)], PLACES), nodes.limit(0), ["place"]).count() == 0
+
+
+def test_places_on_small_floors_travel_once_and_both_ways_agree(spark):
+    nodes = spark.createDataFrame([(1, 1, f"n{k}", k, float(k % 6), float(k // 6), 0.0) for k in range(36)], NODES)
+    places = spark.createDataFrame([(k, 1, 1, RNG.uniform(-3, 9), RNG.uniform(-3, 9), 0.5) for k in range(40)] + [(40, 1, 1, 2.5, 2.5, 0.0)], PLACES)
+    whole = graph.nearest_node(places, nodes, ["place"])
+    assert "Generate" not in whole._jdf.queryExecution().toString()
+    assert sorted(whole.collect()) == sorted(graph.nearest_node(places, nodes, ["place"], few=0).collect())
