@@ -11,11 +11,13 @@ database stops the query, or with `errors` gives one row that says why, while th
 
 from __future__ import annotations
 
+import base64
 import glob
 import json
 import os
 import sqlite3
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote, unquote
 
@@ -31,6 +33,18 @@ ROWS = 10_000
 OPERATORS = {ds.EqualTo: "=", ds.GreaterThan: ">", ds.GreaterThanOrEqual: ">=", ds.LessThan: "<", ds.LessThanOrEqual: "<="}
 
 
+def names_packed(paths: Sequence[str]) -> str:
+    """Paths in order as a short text. Spark hands a source's options to every Python worker, where many files' whole paths would fill the memory."""
+    folders: dict[str, int] = {}
+    found = [(folders.setdefault(folder, len(folders)), name) for folder, name in map(os.path.split, paths)]
+    return base64.b64encode(zlib.compress(json.dumps([list(folders), found]).encode())).decode()
+
+
+def names_unpacked(text: str) -> list[str]:
+    folders, found = json.loads(zlib.decompress(base64.b64decode(text)))
+    return [os.path.join(folders[k], name) for k, name in found]
+
+
 def opened(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
 
@@ -55,12 +69,16 @@ class Stretches(ds.InputPartition):
 
 class NodeReader(ds.DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = json.loads(options["paths"]) if "paths" in options else [p for p in options["path"].split(",") if p]
+        self.paths = names_unpacked(options["paths"]) if "paths" in options else [p for p in options["path"].split(",") if p]
         self.split, self.poses, self.errors = int(options.get("split_bytes", SPLIT_BYTES)), options.get("poses", "true") == "true", options.get("errors", "false") == "true"
         self.where: list[str] = []
         self.values: list[object] = []
         self.scans: set[str] | None = None
 
+    def __getstate__(self) -> dict:
+        """Only planning needs the names of all files; a task's reader, which each worker holds, brings those of its own stretches only."""
+        return {**self.__dict__, "paths": []}
+
     def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:
         for f in filters:
             column, kind = getattr(f, "attribute", None), type(f)
@@ -246,7 +264,7 @@ def read_nodes(spark: SparkSession, path: str | list[str], poses: bool = True, e
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.db").load(path)
     paths = sorted(r.path for r in found.select("path").collect())  # names only, as Spark's own listing holds them
     if all(p.startswith("file:") for p in paths):
-        return spark.read.format("slam_nodes").options(paths=json.dumps(paths), poses=str(poses).lower(), errors=str(errors).lower(), split_bytes=split_bytes).load()
+        return spark.read.format("slam_nodes").options(paths=names_packed(paths), poses=str(poses).lower(), errors=str(errors).lower(), split_bytes=split_bytes).load()
     nodes = nodes_in(found)
     if not errors:
         nodes = nodes.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.concat("scan_id", F.lit(": "), "error"))).otherwise(~F.col("head")).cast("boolean"))

@@ -1,5 +1,6 @@
 """The SLAM source: planned ranges, conditions in SQLite, columns left out, bad files, other file systems, and the sink."""
 
+import pickle
 import sqlite3
 import struct
 
@@ -89,3 +90,11 @@ def test_sink_and_source(spark, tmp_path):
     assert scans.trajectory(back).groupBy("scan_id").count().collect()[0]["count"] == 26
     files = slam.packed(nodes)
     assert slam.nodes_in(files).filter("NOT head").count() == len(rows) and slam.nodes_in(files).filter("head").count() == 3
+
+
+def test_tasks_get_no_names_but_their_own():
+    paths = [f"file:/shared/slam-{'0' * 32}/walk%20{k}.db" for k in range(20_000)] + ["file:/other/a.db", "x.db"]
+    packed = slam.names_packed(paths)
+    assert slam.names_unpacked(packed) == paths and len(packed) < 10 * len(paths)
+    reader = slam.NodeReader({"paths": packed})
+    assert reader.paths == paths and len(pickle.dumps(reader)) < 1000
