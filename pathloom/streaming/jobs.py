@@ -17,8 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -88,18 +87,18 @@ class JobState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.job = handle.getValueState("job", "number int, status string, progress int")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        number, status, progress = self.job.get() if self.job.exists() else (0, None, -1)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
+        number, status, progress = self.job.get() or (0, None, -1)
         moves = []
-        events = pd.concat(list(rows)).sort_values(["batch", "step"], kind="stable")
-        for new, share, message in zip(events["status"], events["progress"], events["message"]):
+        for event in sorted(rows, key=lambda r: (r.batch, r.step)):
+            new, share = event.status, event.progress
             ended = status is not None and RANKS[status] == 2
             if not ended and (status is None or RANKS[new] > RANKS[status] or (new == status and share > progress)):
                 number, status, progress = number + 1, new, max(int(share), progress)
-                moves.append((key[0], number, status, progress, message))
+                moves.append(Row(scan_id=key[0], number=number, status=status, progress=progress, message=event.message))
         if moves:
             self.job.update((number, status, progress))
-            yield pd.DataFrame(moves, columns=["scan_id", "number", "status", "progress", "message"])
+        yield from moves
 
     def close(self) -> None:
         pass
@@ -108,7 +107,7 @@ class JobState(StatefulProcessor):
 def follow_jobs(spark: SparkSession, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Appends each job's transitions to `out`/transitions as its events come in."""
     events = spark.readStream.schema(EVENTS).parquet(f"{out}/events")
-    moves = events.groupBy("scan_id").transformWithStateInPandas(JobState(), TRANSITIONS, "Append", "None")
+    moves = events.groupBy("scan_id").transformWithState(JobState(), TRANSITIONS, "Append", "None")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

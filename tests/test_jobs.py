@@ -6,6 +6,8 @@ import struct
 
 import pytest
 
+from pyspark.sql import Row
+
 from pathloom.plans import processing
 from pathloom.streaming import jobs
 
@@ -109,3 +111,27 @@ def test_results_of_other_scans_stay(spark, tmp_path):
     processing.write_results(again, str(tmp_path / "r"), 2)
     now = {r.scan_id: r.total_distance for r in processing.read_results(spark, str(tmp_path / "r")).collect()}
     assert set(first) == set(now) == {1, 2} and now[1] == first[1] and now[2] < first[2]
+
+
+def test_a_jobs_state_is_looked_up_once_and_its_events_come_in_order():
+    class State:
+        held, looks = None, 0
+
+        def get(self):
+            self.looks += 1
+            return self.held
+
+        def exists(self):
+            self.looks += 1
+            return self.held is not None
+
+        def update(self, value):
+            self.held = value
+
+    state = jobs.JobState()
+    state.job = State()
+    events = [("COMPLETED", 100, None, 0, 4), ("PROCESSING", 5, None, 0, 1), ("PENDING", 0, None, 0, 0), ("PROCESSING", 5, None, 0, 2), ("FAILED", 0, "late", 1, 0)]
+    rows = [Row(scan_id="a", status=s, progress=p, message=m, batch=b, step=k) for s, p, m, b, k in events]
+    got = list(state.handleInputRows(("a",), iter(rows), None))
+    assert [(r.number, r.status, r.progress) for r in got] == [(1, "PENDING", 0), (2, "PROCESSING", 5), (3, "COMPLETED", 100)]
+    assert state.job.looks == 1 and list(state.handleInputRows(("a",), iter(rows), None)) == []
