@@ -43,6 +43,8 @@ class Graph:
         self.names, self.number = names, {n: k for k, n in enumerate(names)}
         self.out: list[list[tuple[int, float, int]]] = [[] for _ in names]
         self.back: list[list[tuple[int, float, int]]] = [[] for _ in names]
+        # whether every edge goes both ways, the kinds of edges, and costs already found
+        self.even, self.present, self.found = True, set(), {}
         for a, b, d, kind, two in edges:
             i, j = self.number.get(a), self.number.get(b)
             if i is None or j is None:
@@ -50,12 +52,25 @@ class Graph:
             k = KINDS.get(kind, 2)
             self.out[i].append((j, d, k))
             self.back[j].append((i, d, k))
+            self.present.add(k)
             if two:
                 self.out[j].append((i, d, k))
                 self.back[i].append((j, d, k))
+            else:
+                self.even = False
 
     def costs(self, start: int, factors: tuple[float, float, float], back: bool = False) -> list[float]:
-        """What the cheapest way from start to each node costs; with back from each node to start."""
+        """What the cheapest way from start to each node costs; with back from each node to start.
+
+        Ways there are ways back where every edge goes both ways, and preferences differ only where there are lifts or stairs: what
+        comes out the same is computed once.
+        """
+        same = (start, back and not self.even, *(f for k, f in enumerate(factors) if k in self.present))
+        if same not in self.found:
+            self.found[same] = self.cheapest(start, factors, same[1])
+        return self.found[same]
+
+    def cheapest(self, start: int, factors: tuple[float, float, float], back: bool) -> list[float]:
         ways, best = self.back if back else self.out, [NEVER] * len(self.names)
         best[start] = 0.0
         heap = [(0.0, start)]
@@ -200,13 +215,14 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, bounds: Data
             found = []
             for n in sorted(set(known["place"][mine])):
                 of = np.flatnonzero(mine & (known["place"] == n))
-                pair = ([NEVER] * len(graph.names), [NEVER] * len(graph.names))
-                for side, name in zip(pair, ("d", "e")):
-                    for node, cost in zip(known["a"][of], known[name][of].astype(float)):
-                        k = graph.number.get(node)
-                        if k is not None and not math.isnan(cost):
-                            side[k] = float(cost)
-                found.append(pair)
+                at = np.array([graph.number.get(node, -1) for node in known["a"][of]], np.int64)
+                pair = []
+                for name in ("d", "e"):
+                    cost, side = known[name][of].astype(float), np.full(len(graph.names), NEVER)
+                    there = (at >= 0) & ~np.isnan(cost)
+                    side[at[there]] = cost[there]
+                    pair.append(side.tolist())
+                found.append(tuple(pair))
             tables[wish] = found
         named: dict[str, set[int]] = {}
         for k, name in enumerate(on["name"]):

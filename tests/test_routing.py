@@ -81,3 +81,17 @@ def test_routes_with_and_without_landmarks(spark):
         assert guided[scan, 55].cost == 0 and guided[scan, 55].path == ["2-7-7"]
     assert guided["nowhere", 1].error == "GRAPH_NOT_BUILT"
     assert routing.routes(requests.limit(0), nodes, edges).count() == 0
+
+
+def test_costs_that_come_out_the_same_are_computed_once(monkeypatch):
+    names = [f"n{k}" for k in range(12)]
+    way = [(a, b, 1.0 + k / 7, "HORIZONTAL", True) for k, (a, b) in enumerate(zip(names, names[1:]))]
+    runs, real = [], routing.Graph.cheapest
+    monkeypatch.setattr(routing.Graph, "cheapest", lambda self, *a: runs.append(a) or real(self, *a))
+    for extra, most in ((("n0", "n7", 2.0, "HORIZONTAL", True), 1), (("n0", "n7", 2.0, "VERTICAL_ELEVATOR", True), 3), (("n0", "n7", 2.0, "VERTICAL_ELEVATOR", False), 6)):
+        graph = routing.Graph(names, [*way, extra])
+        runs.clear()
+        for wish in routing.FACTORS:
+            for back in (False, True):
+                assert graph.costs(3, routing.all_factors(wish), back) == real(graph, 3, routing.all_factors(wish), back)
+        assert len(runs) == most
