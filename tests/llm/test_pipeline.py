@@ -214,3 +214,19 @@ def test_contract_on_odd_and_empty_tables(spark, folder, empty, name):
             assert r.payload_sha256 in {hashlib.sha256(p).hexdigest() for p in payloads}
     if name == "op10_quality":
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+def test_what_simhash_links_goes_too(spark):
+    """Texts whose fingerprints lie within three bits at a similarity under 0.8: the exact check alone keeps both."""
+    import corpus_pipeline as pipeline
+    from pathloom.llm import simhash
+
+    def bits(a, b):
+        return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+    base = prose(120)
+    first, others = simhash.fingerprint(base), (edited(base, 8) for _ in range(20_000))
+    near = next(t for t in others if len(shingles(base) & shingles(t)) < 0.78 * len(shingles(base) | shingles(t)) and bits(first, simhash.fingerprint(t)) <= 3)
+    docs = spark.createDataFrame([(1, base), (2, near), (3, prose(120))], "doc_id long, text string")
+    assert {r.component for r in simhash.similar_groups(docs).collect()} == {1, 2, 3}
+    assert sorted(r.doc_id for r in pipeline.near_deduplicated(spark, docs, "").collect()) == [1, 3]
