@@ -1,6 +1,7 @@
 """The pipeline stage by stage against brute force, and the contract's columns of every query, on small tables with odd rows and clashing names."""
 
 import hashlib
+import pathlib
 import random
 import re
 
@@ -230,3 +231,26 @@ def test_what_simhash_links_goes_too(spark):
     docs = spark.createDataFrame([(1, base), (2, near), (3, prose(120))], "doc_id long, text string")
     assert {r.component for r in simhash.similar_groups(docs).collect()} == {1, 2, 3}
     assert sorted(r.doc_id for r in pipeline.near_deduplicated(spark, docs, "").collect()) == [1, 3]
+
+
+def test_tables_computed_once_leave_no_shuffle_files(spark, tmp_path):
+    from pathloom.llm.common import CLEANUP, cut
+
+    def written():
+        return set(pathlib.Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+
+    before = written()
+    rows = cut(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    assert written() <= before and rows.count() == 10 and spark.conf.get(CLEANUP) == "false"
+
+
+def test_both_kinds_of_links_make_the_same_groups_at_once(spark):
+    """One pass over texts and one growth of groups: an id on two texts does not tie their groups together, and a row without an id is no copy."""
+    import corpus_pipeline as pipeline
+    from pathloom.llm import simhash
+
+    one, other, third = prose(120), prose(120), prose(120)
+    docs = spark.createDataFrame([(3, other), (5, one), (9, one), (9, other), (None, third), (11, third), (12, None), (13, " ")], "doc_id long, text string")
+    both = {(r.doc_id, r.component) for r in simhash.similar_groups(docs, links_too=True).collect()}
+    assert both == {(3, 3), (5, 5), (9, 5), (9, 3), (None, 11), (11, 11), (12, 12), (13, 12)}
+    assert sorted((r.doc_id or 0) for r in pipeline.near_deduplicated(spark, docs, "").collect()) == [0, 3, 5, 11, 12]
