@@ -12,6 +12,9 @@ from .keeping import kept
 
 SCAN = ["scan_id"]
 
+#: V3: runs that follow within so many points may be merged.
+GAP = 10
+
 
 def climbing(points: DataFrame, step: float = 0.05, window: int = 10, least: float = 1.5) -> DataFrame:
     """V1: `marked` points lie in a window whose height changes by over half of `least`, most of its steps that way."""
@@ -24,10 +27,26 @@ def climbing(points: DataFrame, step: float = 0.05, window: int = 10, least: flo
     return p.withColumn("marked", F.max("_hit").over(w.rowsBetween(-window, 0))).drop("_dz", "_rise", "_hit")
 
 
+def on_runs(points: DataFrame, least: float = 1.5, shortest: int = 5) -> DataFrame:
+    """V1 and V2 for each point: `start_idx` and `end_idx` (exclusive) of its run, a maximal stretch of marked points that changes height by `least` or more,
+    `on_passage` if it has one, from runs before they are merged. Windows over the scan only, so points are dealt once."""
+    w = by(SCAN)
+    p = climbing(points).withColumn("_apart", F.coalesce(F.col("seq") - F.lag("seq").over(w) != 1, F.lit(True)))
+    p = p.withColumn("_run", F.sum((~F.col("marked") | F.col("_apart")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("scan_id", "marked", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = p.withColumns({"_a": F.first("seq").over(run), "_b": F.last("seq").over(run) + 1, "_rise": F.abs(F.last("z").over(run) - F.first("z").over(run))})
+    p = p.withColumn("on_passage", F.coalesce(F.col("scan_id").isNotNull() & F.col("marked") & (F.col("_rise") >= least) & (F.col("_b") - F.col("_a") >= shortest), F.lit(False)))
+    return p.select(*points.columns, *(F.when(F.col("on_passage"), F.col(c)).alias(n) for c, n in (("_a", "start_idx"), ("_b", "end_idx"))), "on_passage")
+
+
 def measured(runs: DataFrame, points: DataFrame) -> DataFrame:
     """runs (scan_id, start_idx, end_idx exclusive) with heights, ratio of way to height, type and direction."""
+    return summed(runs.withColumn("seq", F.explode(F.sequence("start_idx", F.col("end_idx") - 1))).join(points.select("scan_id", "seq", "x", "y", "z"), ["scan_id", "seq"]))
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """measured's columns from the runs' points."""
     w = Window.partitionBy("scan_id", "start_idx").orderBy("seq")
-    rows = runs.withColumn("seq", F.explode(F.sequence("start_idx", F.col("end_idx") - 1))).join(points.select("scan_id", "seq", "x", "y", "z"), ["scan_id", "seq"])
     rows = rows.withColumn("_way", F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)))
     out = rows.groupBy("scan_id", "start_idx", "end_idx").agg(F.min_by("z", "seq").alias("z_start"), F.max_by("z", "seq").alias("z_end"), F.coalesce(F.sum("_way"), F.lit(0.0)).alias("_xy"))
     out = out.withColumn("z_displacement", F.abs(F.col("z_end") - F.col("z_start")))
@@ -36,14 +55,17 @@ def measured(runs: DataFrame, points: DataFrame) -> DataFrame:
     return out.withColumn("direction", F.when(F.col("z_end") > F.col("z_start"), "UP").otherwise("DOWN")).drop("_xy")
 
 
+def runs_of(marked: DataFrame) -> DataFrame:
+    """V2: the runs of on_runs' points."""
+    return summed(marked.filter("on_passage"))
+
+
 def passage_runs(points: DataFrame, least: float = 1.5, shortest: int = 5) -> DataFrame:
     """V2: maximal marked runs that change height by `least` or more."""
-    marked = climbing(points).filter("marked").withColumn("_run", F.col("seq") - F.row_number().over(by(SCAN)))
-    runs = marked.groupBy("scan_id", "_run").agg(F.min("seq").alias("start_idx"), (F.max("seq") + 1).alias("end_idx")).drop("_run")
-    return measured(runs, points).filter((F.col("z_displacement") >= least) & (F.col("end_idx") - F.col("start_idx") >= shortest))
+    return runs_of(on_runs(points, least, shortest))
 
 
-def merged_runs(runs: DataFrame, points: DataFrame, gap: int = 10) -> DataFrame:
+def merged_runs(runs: DataFrame, points: DataFrame, gap: int = GAP) -> DataFrame:
     """V3: a run joins the one before if it goes the same way and starts less than `gap` points behind it."""
     w = Window.partitionBy("scan_id").orderBy("start_idx")
     new = ~F.coalesce((F.lag("direction").over(w) == F.col("direction")) & (F.col("start_idx") - F.lag("end_idx").over(w) < gap), F.lit(False))
@@ -51,12 +73,6 @@ def merged_runs(runs: DataFrame, points: DataFrame, gap: int = 10) -> DataFrame:
     return measured(groups.drop("_g"), points)
 
 
-def stair_mask(points: DataFrame, runs: DataFrame) -> DataFrame:
-    """Points with `on_passage`, from runs before they are merged."""
-    inside = runs.select("scan_id", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)).alias("seq"), F.lit(True).alias("_in"))
-    return points.join(inside, ["scan_id", "seq"], "left").withColumn("on_passage", F.coalesce("_in", F.lit(False))).drop("_in")
-
-
 #: The histogram's kernel: its reach in bins, and its width.
 REACH, SIGMA = 6, 1.5
 
@@ -68,28 +84,42 @@ def height_peaks(rows: DataFrame, height: float = 3.0) -> DataFrame:
     Bins without points are no rows: a bin's count goes to the bins within reach of it, and of its mirror images beyond either end. A region
     of high bins (a gap of one is none) has one peak; regions come from below, so a peak is accepted if it is far enough from the last one.
     """
-    whole = rows.groupBy("scan_id").agg(F.min("z").alias("lowest"), F.max("z").alias("_highest"), F.count("*").alias("n"))
-    whole = whole.withColumn("spread", F.col("_highest") - F.col("lowest")).withColumn("_bins", F.greatest(F.floor(F.col("spread") / 0.5), F.lit(20)))
-    whole = kept(whole.drop("_highest"))
-    tall = whole.filter(F.col("spread") >= height)
+    whole = rows.groupBy("scan_id").agg(F.min("z").alias("lowest"), (F.max("z") - F.min("z")).alias("spread"), F.count("*").alias("n"))
+    return whole.join(found_peaks(with_spread(rows), height), "scan_id", "left").select("scan_id", "lowest", "spread", "n", peaks_or_none(height).alias("peaks"))
+
+
+def with_spread(rows: DataFrame) -> DataFrame:
+    """rows with their scan's lowest z, spread and number of points, by a window: what follows by scan is not dealt again."""
+    w = Window.partitionBy("scan_id")
+    return rows.withColumns({"lowest": F.min("z").over(w), "spread": F.max("z").over(w) - F.min("z").over(w), "n": F.count("*").over(w)})
+
+
+def peaks_or_none(height: float):
+    return F.when(F.col("spread") >= height, F.coalesce("peaks", F.array().cast("array<double>")))
+
+
+def found_peaks(spread: DataFrame, height: float) -> DataFrame:
+    """height_peaks' (scan_id, peaks) of with_spread's rows, for scans where a peak stands out."""
     edge = lambda k: F.col("lowest") + k * (F.col("spread") / F.col("_bins"))
-    b = rows.select("scan_id", "z").join(tall, "scan_id").withColumn("_k", F.least(F.floor((F.col("z") - F.col("lowest")) / F.col("spread") * F.col("_bins")), F.col("_bins") - 1))
+    b = spread.filter(F.col("spread") >= height).select("scan_id", "z", "lowest", "spread", "n").withColumn("_bins", F.greatest(F.floor(F.col("spread") / 0.5), F.lit(20)))
+    b = b.withColumn("_k", F.least(F.floor((F.col("z") - F.col("lowest")) / F.col("spread") * F.col("_bins")), F.col("_bins") - 1))
     # a height at an edge belongs to the bin above it, whatever the division's rounding says; the highest to the last bin
     b = b.withColumn("_k", F.col("_k") - (F.col("z") < edge(F.col("_k"))).cast("int"))
     b = b.withColumn("_k", F.col("_k") + ((F.col("_k") != F.col("_bins") - 1) & (F.col("z") >= edge(F.col("_k") + 1))).cast("int"))
     counts = b.groupBy("scan_id", "lowest", "spread", "_bins", "n", "_k").agg(F.count("*").alias("_c"))
     norm = sum(math.exp(-0.5 * (o / SIGMA) ** 2) for o in range(-REACH, REACH + 1))
     weights = F.array(*(F.lit(math.exp(-0.5 * (o / SIGMA) ** 2) / norm) for o in range(-REACH, REACH + 1)))
-    images = F.explode(F.array(F.col("_k"), -1 - F.col("_k"), 2 * F.col("_bins") - 1 - F.col("_k"))).alias("_image")
-    spread_out = counts.select("*", images).select("*", F.explode(F.sequence(F.lit(-REACH), F.lit(REACH))).alias("_o")).withColumn("_to", F.col("_image") + F.col("_o")).filter((F.col("_to") >= 0) & (F.col("_to") < F.col("_bins")))
-    smooth = spread_out.groupBy("scan_id", "lowest", "spread", "_bins", "n", "_to").agg(F.sum(F.col("_c") * F.element_at(weights, F.col("_o") + REACH + 1)).alias("_s"))
+    images = F.array(F.col("_k"), -1 - F.col("_k"), 2 * F.col("_bins") - 1 - F.col("_k"))
+    # images out of reach of all bins are no rows
+    spread_out = counts.select("*", F.explode(F.filter(images, lambda i: (i >= -REACH) & (i < F.col("_bins") + REACH))).alias("_image"))
+    spread_out = spread_out.select("*", F.explode(F.sequence(F.greatest(F.lit(-REACH), -F.col("_image")), F.least(F.lit(REACH), F.col("_bins") - 1 - F.col("_image")))).alias("_o")).withColumn("_to", F.col("_image") + F.col("_o"))
+    smooth = spread_out.groupBy("scan_id", "lowest", "spread", "_bins", "n", "_to").agg(F.sum(F.col("_c") * F.element_at(weights, (F.col("_o") + REACH + 1).cast("int"))).alias("_s"))
     w = Window.partitionBy("scan_id").orderBy("_to")
     high = smooth.filter(F.col("_s") >= 0.03 * F.col("n")).withColumn("_new", F.coalesce(F.col("_to") - F.lag("_to").over(w) > 2, F.lit(True)).cast("int")).withColumn("_region", F.sum("_new").over(w))
     regions = high.groupBy("scan_id", "_region").agg((F.sum((edge(F.col("_to")) + edge(F.col("_to") + 1)) / 2 * F.col("_s")) / F.sum("_s")).alias("_peak"))
     none = F.array().cast("array<double>")
     far = lambda kept_, x: (F.size(kept_) == 0) | (x - F.element_at(kept_, -1) >= 0.7 * height)
-    found = regions.groupBy("scan_id").agg(F.aggregate(F.array_sort(F.collect_list("_peak")), none, lambda taken, x: F.when(far(taken, x), F.concat(taken, F.array(x))).otherwise(taken)).alias("peaks"))
-    return whole.join(found, "scan_id", "left").select("scan_id", "lowest", "spread", "n", F.when(F.col("spread") >= height, F.coalesce("peaks", none)).alias("peaks"))
+    return regions.groupBy("scan_id").agg(F.aggregate(F.array_sort(F.collect_list("_peak")), none, lambda taken, x: F.when(far(taken, x), F.concat(taken, F.array(x))).otherwise(taken)).alias("peaks"))
 
 
 def height_level(height: float = 3.0):
@@ -102,11 +132,11 @@ def height_level(height: float = 3.0):
 
 def separate_floors(points: DataFrame, height: float = 3.0, least: int = 10) -> DataFrame:
     """V4: points off passages with floor_level 1..k by rising mean height; levels of under `least` points go."""
-    rows = kept(points.filter("NOT on_passage").select("scan_id", "seq", "x", "y", "z"))
-    leveled = kept(rows.join(height_peaks(rows, height), "scan_id").select(*rows.columns, height_level(height).alias("_level")))
-    floors = leveled.groupBy("scan_id", "_level").agg(F.avg("z").alias("_z"), F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    floors = floors.withColumn("floor_level", F.row_number().over(Window.partitionBy("scan_id").orderBy("_z", "_level")))
-    return leveled.join(floors.select("scan_id", "_level", "floor_level"), ["scan_id", "_level"]).drop("_level")
+    rows = with_spread(points.filter("scan_id IS NOT NULL AND NOT on_passage").select("scan_id", "seq", "x", "y", "z"))
+    leveled = rows.join(found_peaks(rows, height), "scan_id", "left").withColumn("peaks", peaks_or_none(height)).select("scan_id", "seq", "x", "y", "z", height_level(height).alias("_level"))
+    level = Window.partitionBy("scan_id", "_level")
+    leveled = leveled.withColumns({"_z": F.avg("z").over(level), "_n": F.count("*").over(level)}).filter(F.col("_n") >= least)
+    return leveled.withColumn("floor_level", F.dense_rank().over(Window.partitionBy("scan_id").orderBy("_z", "_level"))).select("scan_id", "seq", "x", "y", "z", "floor_level")
 
 
 def floor_summary(floors: DataFrame) -> DataFrame:
@@ -123,8 +153,14 @@ def assign_floors(passages: DataFrame, summary: DataFrame) -> DataFrame:
 
 def detect_passages(points: DataFrame) -> DataFrame:
     """V8: V1 to V3, V4 and V7 in one."""
-    runs = passage_runs(points)
-    return assign_floors(merged_runs(runs, points), floor_summary(separate_floors(stair_mask(points, runs))))
+    marked = kept(on_runs(points))
+    return passages_of(marked, runs_of(marked), separate_floors(marked))
+
+
+def passages_of(marked: DataFrame, runs: DataFrame, leveled: DataFrame) -> DataFrame:
+    """V3 and V7 of on_runs' points, their runs and their floors. Merged runs reach over points on a run or less than GAP behind one, so only these are measured."""
+    near = marked.withColumn("_near", F.max("on_passage").over(by(SCAN).rowsBetween(-GAP, 0))).filter("_near")
+    return assign_floors(merged_runs(runs, near, GAP), floor_summary(leveled))
 
 
 def passage_stats(passages: DataFrame) -> DataFrame:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import angle, distance, minus
 from .cleaning import by, here, shifted
-from .grouped import CHUNK, chosen_apart, chunked, in_groups, pa_type
+from .grouped import CHUNK, Answer, chosen_apart, chunked, dealt, in_groups
 from .keeping import kept
 
 FLOOR = ("scan_id", "floor_level")
@@ -48,64 +48,115 @@ def merged_junctions(turns: DataFrame, near: float = 1.5, chunk: int = CHUNK) ->
 
 
 def path_nodes(points: DataFrame, spacing: float = 1.0, near: float = 1.5, chunk: int = CHUNK) -> DataFrame:
-    """Junctions merged around the first of each group, ends, and waypoints `spacing` from the last node.
+    """Junctions merged around the first of each group, ends, and waypoints `spacing` from the last node."""
+    return placed_nodes(points, spacing, near, chunk).drop("way")
 
-    Which points are nodes depends on the last node only, so a floor is gone through in rounds of `chunk` points, each of which starts from the last
-    node of the rounds before: no task holds more of a floor.
+
+def placed_nodes(points: DataFrame, spacing: float = 1.0, near: float = 1.5, chunk: int = CHUNK) -> DataFrame:
+    """path_nodes with `way`, how far along the path each lies.
+
+    A floor of up to `chunk` points is gone through in one task, junctions and all, and points are dealt once. On larger ones junctions are merged by
+    joins, and as which points are nodes depends on the last node only, such a floor is gone through in rounds of `chunk` points, each of which starts
+    from the last node of the rounds before: no task holds more of a floor.
     """
-    turns = kept(junction_turns(points).select(*FLOOR, "seq", "x", "y", "z", "turn", "junction"))
     whole = Window.partitionBy(*FLOOR)
-    rows = turns.select(*FLOOR, "seq", "x", "y", "z").join(merged_junctions(turns, near, chunk), [*FLOOR, "seq"], "left")
-    rows = rows.withColumns({"_end": (F.col("seq") == F.min("seq").over(whole)) | (F.col("seq") == F.max("seq").over(whole)), "_many": F.min("seq").over(whole) != F.max("seq").over(whole)}).filter("_many").drop("_many")
-    rows, rounds = chunked(rows, FLOOR, chunk)
-    schema = T.StructType([*(points.schema[k] for k in FLOOR), *T.StructType.fromDDL(NODE_SCHEMA).fields[len(FLOOR) :]])
-    key_kinds = [pa_type(points.schema[k].dataType) for k in FLOOR]
+    turns = junction_turns(dealt(points, FLOOR)).withColumn("_d", F.coalesce(distance(here(), shifted(-1, by(FLOOR))), F.lit(0.0)))
+    turns = turns.withColumns({"way": F.sum("_d").over(by(FLOOR).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.count("*").over(whole)})
+    turns = turns.select(*FLOOR, "seq", "x", "y", "z", "turn", "way", "junction", "_n")
+    schema = T.StructType([*(points.schema[k] for k in FLOOR), *T.StructType.fromDDL(NODE_SCHEMA).fields[len(FLOOR) :], T.StructField("way", T.DoubleType())])
 
-    def run(key: tuple, columns: list[np.ndarray]) -> list[pa.Array] | None:
-        seq, p, turn, merged, ends = columns[0], np.stack(columns[1:4], axis=1).astype(float).tolist(), columns[4].astype(float), columns[5].astype(float), columns[6]
-        last = [float(columns[7 + k][0]) for k in range(3)]
-        known = not math.isnan(last[0])
+    def answer(seq: np.ndarray, p: list[list[float]], way: np.ndarray, merged: dict[int, tuple[float, int]], ends: set[int], last: list[float] | None) -> list[Answer] | None:
         places, kinds = [], []
         for i, at in enumerate(p):
-            kind = "ENDPOINT" if ends[i] else "JUNCTION" if merged[i] > 0 else "WAYPOINT" if known and math.dist(at, last) >= spacing else None
+            kind = "ENDPOINT" if i in ends else "JUNCTION" if i in merged else "WAYPOINT" if last is not None and math.dist(at, last) >= spacing else None
             if kind:
                 places.append(i)
                 kinds.append(kind)
-                last, known = at, True
+                last = at
         if not places:
             return None
-        junction = np.array([k != "JUNCTION" for k in kinds])
-        return [
-            *(pa.array([k] * len(places), kind) for k, kind in zip(key, key_kinds)), pa.array(seq[places], pa.int64()), *(pa.array([p[i][c] for i in places]) for c in range(3)), pa.array(kinds),
-            pa.array(turn[places], mask=junction), pa.array(np.nan_to_num(merged[places]).astype(np.int32), mask=junction),
-        ]
+        of = [merged[i] if kind == "JUNCTION" else (None, None) for i, kind in zip(places, kinds)]
+        return [seq[places], *([p[i][c] for i in places] for c in range(3)), kinds, [a for a, _ in of], [n for _, n in of], way[places]]
+
+    def at_once(key: tuple, columns: list[np.ndarray]) -> list[Answer] | None:
+        seq, p, turn, way, junction = columns[0], np.stack(columns[1:4], axis=1).astype(float).tolist(), columns[4], columns[5], columns[6]
+        return answer(seq, p, way, merged_at_once(p, turn, np.flatnonzero(junction).tolist(), near), {0, len(p) - 1}, None) if len(p) > 1 else None
+
+    few = in_groups(turns.filter(F.col("_n") <= chunk).drop("_n"), FLOOR, "seq", at_once, schema, as_dealt=True, keyed=True)
+    if points.groupBy(*FLOOR).count().filter(F.col("count") > chunk).isEmpty():
+        nodes = few
+    else:
+        nodes = few.unionByName(nodes_in_rounds(turns.filter(F.col("_n") > chunk).drop("_n"), near, chunk, answer, schema))
+    return nodes.withColumn("node_id", F.sha2(F.concat_ws(":", *FLOOR, "original_index"), 256))
+
+
+def merged_at_once(p: list[list[float]], turn: np.ndarray, junctions: list[int], near: float) -> dict[int, tuple[float, int]]:
+    """merged_junctions of one floor: the place of each seed with the largest turn of its group and their number. Seeds are found by cells as wide as `near`."""
+    groups: dict[int, tuple[float, int]] = {}
+    grid: dict[tuple[int, ...], list[int]] = {}
+    for j in junctions:
+        at = p[j]
+        cell = [math.floor(v / near) for v in at]
+        met = (s for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for s in grid.get((cell[0] + a, cell[1] + b, cell[2] + c), ()) if apart(p[s], at) < near) if grid else ()
+        seed = min(met, default=j)
+        if seed == j:
+            grid.setdefault(tuple(cell), []).append(j)
+        largest, n = groups.get(seed, (-math.inf, 0))
+        groups[seed] = max(largest, float(turn[j])), n + 1
+    return groups
+
+
+def apart(a: list[float], b: list[float]) -> float:
+    """The distance as Spark's columns compute it."""
+    x, y, z = a[0] - b[0], a[1] - b[1], a[2] - b[2]
+    return math.sqrt(x * x + y * y + z * z)
+
+
+def nodes_in_rounds(turns: DataFrame, near: float, chunk: int, answer: Callable[..., list[Answer] | None], schema: T.StructType) -> DataFrame:
+    """placed_nodes' way for floors of more than `chunk` points."""
+    turns = kept(turns)
+    whole = Window.partitionBy(*FLOOR)
+    rows = turns.drop("junction").join(merged_junctions(turns, near, chunk), [*FLOOR, "seq"], "left")
+    rows = rows.withColumns({"_end": (F.col("seq") == F.min("seq").over(whole)) | (F.col("seq") == F.max("seq").over(whole)), "_many": F.min("seq").over(whole) != F.max("seq").over(whole)}).filter("_many").drop("_many")
+    rows, rounds = chunked(rows, FLOOR, chunk)
+
+    def run(key: tuple, columns: list[np.ndarray]) -> list[Answer] | None:
+        seq, p, turn, way, merged, ends = columns[0], np.stack(columns[1:4], axis=1).astype(float).tolist(), columns[4].astype(float), columns[5].astype(float), columns[7].astype(float), columns[8]
+        angles, last = columns[6].astype(float), [float(columns[9 + k][0]) for k in range(3)]
+        groups = {i: (float(angles[i]), int(merged[i])) for i in np.flatnonzero(merged > 0).tolist()}
+        return answer(seq, p, way, groups, set(np.flatnonzero(ends).tolist()), None if math.isnan(last[0]) else last)
 
     nodes = None
+    wide = ["seq", "x", "y", "z", "turn", "way", "angle_change", "merged_count", "_end"]
     for k in range(rounds):
-        now = rows.filter(F.col("_chunk") == k).select(*FLOOR, "seq", "x", "y", "z", "angle_change", "merged_count", "_end")
+        now = rows.filter(F.col("_chunk") == k).select(*FLOOR, *wide)
         lasts = [f"_l{c}" for c in "xyz"]
         if nodes is None:
             now = now.withColumns({c: F.lit(None).cast("double") for c in lasts})
         else:
             last = nodes.groupBy(*FLOOR).agg(F.max_by(F.struct(*(F.col(c).alias(f"_l{c}") for c in "xyz")), "original_index").alias("_l")).select(*FLOOR, "_l.*")
             now = now.join(last, list(FLOOR))
-        new = kept(in_groups(now.select(*FLOOR, "seq", "x", "y", "z", "angle_change", "merged_count", "_end", *lasts), FLOOR, "seq", run, schema))
+        new = kept(in_groups(now.select(*FLOOR, *wide, *lasts), FLOOR, "seq", run, schema, keyed=True))
         nodes = new if nodes is None else nodes.unionByName(new)
-    return nodes.withColumn("node_id", F.sha2(F.concat_ws(":", *FLOOR, "original_index"), 256))
+    return nodes
 
 
 def path_edges(points: DataFrame, nodes: DataFrame, longest: float = 3.0) -> DataFrame:
     """Neighbours along the path whose way along it is at most `longest`."""
-    way = along(points)
+    return edges_along(nodes.join(along(points), [*FLOOR, "original_index"]), longest)
+
+
+def edges_along(placed: DataFrame, longest: float = 3.0) -> DataFrame:
+    """path_edges of placed_nodes' nodes."""
     w = Window.partitionBy(*FLOOR).orderBy("original_index")
-    e = nodes.join(way, [*FLOOR, "original_index"]).select(*FLOOR, F.col("node_id").alias("from_node"), F.lead("node_id").over(w).alias("to_node"), (F.lead("_s").over(w) - F.col("_s")).alias("distance"))
+    e = placed.select(*FLOOR, F.col("node_id").alias("from_node"), F.lead("node_id").over(w).alias("to_node"), (F.lead("way").over(w) - F.col("way")).alias("distance"))
     return e.filter(F.col("distance") <= longest).withColumns({"edge_type": F.lit("HORIZONTAL"), "bidirectional": F.lit(True)})
 
 
 def along(points: DataFrame) -> DataFrame:
-    """The way from the first point to each, as _s."""
+    """The way from the first point to each."""
     p = points.withColumn("_d", F.coalesce(distance(here(), shifted(-1, by(FLOOR))), F.lit(0.0)))
-    return p.select(*FLOOR, F.col("seq").alias("original_index"), F.sum("_d").over(by(FLOOR).rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+    return p.select(*FLOOR, F.col("seq").alias("original_index"), F.sum("_d").over(by(FLOOR).rowsBetween(Window.unboundedPreceding, 0)).alias("way"))
 
 
 #: A floor of up to this many nodes is compared whole.

@@ -18,36 +18,42 @@ class Processed:
     """The process's tables, each computed when first asked for, once, and then read by all that follow."""
 
     def __init__(self, points: DataFrame, derive_endpoints: bool = False):
-        self.points, self.derive_endpoints = kept(points.select("scan_id", "seq", "x", "y", "z")), derive_endpoints
+        self.marked, self.derive_endpoints = kept(floors.on_runs(points.select("scan_id", "seq", "x", "y", "z"))), derive_endpoints
+        self.points = self.marked.select("scan_id", "seq", "x", "y", "z")
 
     @cached_property
     def runs(self) -> DataFrame:
-        return kept(floors.passage_runs(self.points))
+        return kept(floors.runs_of(self.marked))
 
     @cached_property
     def leveled(self) -> DataFrame:
-        return kept(floors.separate_floors(floors.stair_mask(self.points, self.runs)))
+        return kept(floors.separate_floors(self.marked))
 
     @cached_property
     def passages(self) -> DataFrame:
-        return kept(floors.assign_floors(floors.merged_runs(self.runs, self.points), floors.floor_summary(self.leveled)))
+        return kept(floors.passages_of(self.marked, self.runs, self.leveled))
 
     @cached_property
     def paths(self) -> DataFrame:
-        clean = cleaning.remove_outliers(cleaning.renumbered(self.leveled, FLOOR), keys=FLOOR)
-        return kept(grouped.per_group(clean, FLOOR, lambda p: grouped.snapped(apart(p))))
+        clean = cleaning.remove_outliers(cleaning.renumbered(grouped.dealt(self.leveled, FLOOR), FLOOR), keys=FLOOR)
+        return kept(grouped.per_group(clean, FLOOR, lambda p: grouped.snapped(apart(p)), as_dealt=True))
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """The nodes with their way along the path, from which edges follow without the points."""
+        return kept(graph.placed_nodes(self.paths))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return kept(graph.path_nodes(self.paths))
+        return self.placed.drop("way")
 
     @cached_property
     def vertical(self) -> DataFrame:
-        return graph.vertical_edges(self.passages, self.nodes, self.points) if self.derive_endpoints else graph.vertical_edges(self.passages, self.nodes)
+        return graph.vertical_edges(self.passages, self.nodes, self.points) if self.derive_endpoints else graph.path_edges_empty(self.nodes)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.path_edges(self.paths, self.nodes).unionByName(self.vertical)
+        return graph.edges_along(self.placed).unionByName(self.vertical)
 
 
 def process(points: DataFrame, derive_endpoints: bool = False) -> Processed:
