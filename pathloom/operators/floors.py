@@ -29,14 +29,14 @@ def climbing(points: DataFrame, step: float = 0.05, window: int = 10, least: flo
 
 def on_runs(points: DataFrame, least: float = 1.5, shortest: int = 5) -> DataFrame:
     """V1 and V2 for each point: `start_idx` and `end_idx` (exclusive) of its run, a maximal stretch of marked points that changes height by `least` or more,
-    `on_passage` if it has one, from runs before they are merged. Windows over the scan only, so points are dealt once."""
+    and whether it goes `up`; `on_passage` if it has one, from runs before they are merged. Windows over the scan only, so points are dealt once."""
     w = by(SCAN)
     p = climbing(points).withColumn("_apart", F.coalesce(F.col("seq") - F.lag("seq").over(w) != 1, F.lit(True)))
     p = p.withColumn("_run", F.sum((~F.col("marked") | F.col("_apart")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     run = Window.partitionBy("scan_id", "marked", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    p = p.withColumns({"_a": F.first("seq").over(run), "_b": F.last("seq").over(run) + 1, "_rise": F.abs(F.last("z").over(run) - F.first("z").over(run))})
+    p = p.withColumns({"_a": F.first("seq").over(run), "_b": F.last("seq").over(run) + 1, "_rise": F.abs(F.last("z").over(run) - F.first("z").over(run)), "_up": F.last("z").over(run) > F.first("z").over(run)})
     p = p.withColumn("on_passage", F.coalesce(F.col("scan_id").isNotNull() & F.col("marked") & (F.col("_rise") >= least) & (F.col("_b") - F.col("_a") >= shortest), F.lit(False)))
-    return p.select(*points.columns, *(F.when(F.col("on_passage"), F.col(c)).alias(n) for c, n in (("_a", "start_idx"), ("_b", "end_idx"))), "on_passage")
+    return p.select(*points.columns, *(F.when(F.col("on_passage"), F.col(c)).alias(n) for c, n in (("_a", "start_idx"), ("_b", "end_idx"), ("_up", "up"))), "on_passage")
 
 
 def measured(runs: DataFrame, points: DataFrame) -> DataFrame:
@@ -44,11 +44,16 @@ def measured(runs: DataFrame, points: DataFrame) -> DataFrame:
     return summed(runs.withColumn("seq", F.explode(F.sequence("start_idx", F.col("end_idx") - 1))).join(points.select("scan_id", "seq", "x", "y", "z"), ["scan_id", "seq"]))
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    """measured's columns from the runs' points."""
+#: Where a passage is entered and left.
+ENDS = tuple(f"{end}_{c}" for end in ("entry", "exit") for c in "xyz")
+
+
+def summed(rows: DataFrame, ends: bool = False) -> DataFrame:
+    """measured's columns from the runs' points, and with `ends` ENDS."""
     w = Window.partitionBy("scan_id", "start_idx").orderBy("seq")
+    places = [f(c, "seq").alias(f"{end}_{c}") for end, f in (("entry", F.min_by), ("exit", F.max_by)) for c in "xyz"] if ends else []
     rows = rows.withColumn("_way", F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2)))
-    out = rows.groupBy("scan_id", "start_idx", "end_idx").agg(F.min_by("z", "seq").alias("z_start"), F.max_by("z", "seq").alias("z_end"), F.coalesce(F.sum("_way"), F.lit(0.0)).alias("_xy"))
+    out = rows.groupBy("scan_id", "start_idx", "end_idx").agg(F.min_by("z", "seq").alias("z_start"), F.max_by("z", "seq").alias("z_end"), F.coalesce(F.sum("_way"), F.lit(0.0)).alias("_xy"), *places)
     out = out.withColumn("z_displacement", F.abs(F.col("z_end") - F.col("z_start")))
     ratio = F.when(F.col("z_displacement") > 0, F.col("_xy") / F.when(F.col("z_displacement") > 0, F.col("z_displacement")).otherwise(1.0)).otherwise(float("inf"))
     out = out.withColumn("xy_z_ratio", ratio).withColumn("type", F.when(F.col("xy_z_ratio") < 1.0, "ELEVATOR").otherwise("STAIRCASE"))
@@ -145,22 +150,32 @@ def floor_summary(floors: DataFrame) -> DataFrame:
 
 def assign_floors(passages: DataFrame, summary: DataFrame) -> DataFrame:
     """V7: the floors nearest in height to start and end; 0 without floors, the lowest of equals. Floors of one scan are few."""
-    keys = ["scan_id", "start_idx"]
-    both = passages.select(*keys, "z_start", "z_end").join(summary.select("scan_id", "floor_level", "z_mean"), "scan_id", "left")
-    near = both.groupBy(*keys).agg(*(F.coalesce(F.min_by("floor_level", F.struct(F.abs(F.col("z_mean") - F.col(z)), "floor_level")), F.lit(0)).alias(n) for z, n in (("z_start", "from_floor"), ("z_end", "to_floor"))))
-    return passages.join(near, keys)
+    levels = summary.groupBy("scan_id").agg(F.collect_list(F.struct("floor_level", "z_mean")).alias("_levels"))
+    near = lambda z: F.coalesce(F.array_min(F.transform("_levels", lambda f: F.struct(F.abs(f["z_mean"] - F.col(z)).alias("d"), f["floor_level"].alias("level"))))["level"], F.lit(0))
+    return passages.join(levels, "scan_id", "left").withColumns({"from_floor": near("z_start"), "to_floor": near("z_end")}).drop("_levels")
 
 
 def detect_passages(points: DataFrame) -> DataFrame:
     """V8: V1 to V3, V4 and V7 in one."""
     marked = kept(on_runs(points))
-    return passages_of(marked, runs_of(marked), separate_floors(marked))
+    return passages_of(marked, separate_floors(marked))
+
 
+def passages_of(marked: DataFrame, leveled: DataFrame, ends: bool = False) -> DataFrame:
+    """V3 and V7 of on_runs' points and their floors, with `ends` ENDS too."""
+    return assign_floors(summed(on_merged_runs(marked), ends), floor_summary(leveled))
 
-def passages_of(marked: DataFrame, runs: DataFrame, leveled: DataFrame) -> DataFrame:
-    """V3 and V7 of on_runs' points, their runs and their floors. Merged runs reach over points on a run or less than GAP behind one, so only these are measured."""
-    near = marked.withColumn("_near", F.max("on_passage").over(by(SCAN).rowsBetween(-GAP, 0))).filter("_near")
-    return assign_floors(merged_runs(runs, near, GAP), floor_summary(leveled))
+
+def on_merged_runs(marked: DataFrame, gap: int = GAP) -> DataFrame:
+    """The points of merged_runs' runs, those between the runs that are merged included, with `start_idx` and `end_idx`: windows over the scan, so points are dealt once."""
+    w = by(SCAN)
+    before, group = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("scan_id", "_g")
+    goes_on = (F.last("up", True).over(before) == F.col("up")) & (F.col("start_idx") - F.last("end_idx", True).over(before) < gap)
+    p = marked.filter("scan_id IS NOT NULL").select("scan_id", "seq", "x", "y", "z", "start_idx", "end_idx", "up")
+    p = p.withColumn("_new", (F.coalesce(F.col("seq") == F.col("start_idx"), F.lit(False)) & ~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    p = p.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.filter(F.col("_g") > 0).withColumns({"start_idx": F.min("seq").over(group), "end_idx": F.max("end_idx").over(group)})
+    return p.filter(F.col("seq") < F.col("end_idx")).select("scan_id", "start_idx", "end_idx", "seq", "x", "y", "z")
 
 
 def passage_stats(passages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import angle, distance, minus
 from .cleaning import by, here, shifted
+from .floors import ENDS
 from .grouped import CHUNK, Answer, chosen_apart, chunked, dealt, in_groups
 from .keeping import kept
 
@@ -228,14 +229,19 @@ def nearest_by_cells(places: DataFrame, at: DataFrame, grid: DataFrame, keep: li
 def vertical_edges(passages: DataFrame, nodes: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """An edge between the nodes nearest a passage's entry and exit, from a node to itself too where both are nearest to it.
 
-    Passages carry no entry and exit unless `points` (the scan's) are given to take them from.
+    Passages carry no entry and exit unless they were measured with them or `points` (the scan's) are given to take them from.
     """
-    if points is None:
-        return path_edges_empty(nodes)
-    at = points.select("scan_id", F.col("seq"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     keep = ["scan_id", "start_idx", "z_displacement", "type"]
-    ends = [passages.withColumns({"seq": seq, "floor_level": F.col(level), "_to": F.lit(to)}) for to, level, seq in ((False, "from_floor", F.col("start_idx")), (True, "to_floor", F.col("end_idx") - 1))]
-    places = ends[0].unionByName(ends[1]).join(at, ["scan_id", "seq"]).select(*keep, "_to", "floor_level", "px", "py", "pz")
+    sides = ((False, "from_floor", "entry", F.col("start_idx")), (True, "to_floor", "exit", F.col("end_idx") - 1))
+    if set(ENDS) <= set(passages.columns):
+        places = [passages.select(*keep, F.lit(to).alias("_to"), F.col(level).alias("floor_level"), *(F.col(f"{end}_{c}").alias(f"p{c}") for c in "xyz")) for to, level, end, _ in sides]
+        places = places[0].unionByName(places[1])
+    elif points is not None:
+        at = points.select("scan_id", F.col("seq"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
+        places = [passages.withColumns({"seq": seq, "floor_level": F.col(level), "_to": F.lit(to)}) for to, level, _, seq in sides]
+        places = places[0].unionByName(places[1]).join(at, ["scan_id", "seq"]).select(*keep, "_to", "floor_level", "px", "py", "pz")
+    else:
+        return path_edges_empty(nodes)
     near = nearest_node(places, nodes, [*keep, "_to"])
     both = near.groupBy(*keep).agg(*(F.max(F.when(F.col("_to") == to, F.col("node_id"))).alias(n) for to, n in ((False, "from_node"), (True, "to_node")))).filter("from_node IS NOT NULL AND to_node IS NOT NULL")
     return both.select("scan_id", F.lit(None).cast("int").alias("floor_level"), "from_node", "to_node", F.coalesce("z_displacement", F.lit(3.0)).alias("distance"), F.concat(F.lit("VERTICAL_"), "type").alias("edge_type"), F.lit(True).alias("bidirectional"))

@@ -29,9 +29,14 @@ class Processed:
     def leveled(self) -> DataFrame:
         return kept(floors.separate_floors(self.marked))
 
+    @cached_property
+    def located(self) -> DataFrame:
+        """The passages with their entries and exits."""
+        return kept(floors.passages_of(self.marked, self.leveled, ends=True))
+
     @cached_property
     def passages(self) -> DataFrame:
-        return kept(floors.passages_of(self.marked, self.runs, self.leveled))
+        return self.located.drop(*floors.ENDS)
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -49,7 +54,7 @@ class Processed:
 
     @cached_property
     def vertical(self) -> DataFrame:
-        return graph.vertical_edges(self.passages, self.nodes, self.points) if self.derive_endpoints else graph.path_edges_empty(self.nodes)
+        return graph.vertical_edges(self.located, self.nodes) if self.derive_endpoints else graph.path_edges_empty(self.nodes)
 
     @cached_property
     def edges(self) -> DataFrame:

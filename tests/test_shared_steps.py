@@ -28,7 +28,7 @@ def done(spark):
 
 def test_statistics_compute_no_passages(done):
     assert graph.graph_stats(done.nodes, done.edges).count() > 0
-    assert not {"passages", "runs"} & set(vars(done))
+    assert not {"passages", "located", "runs"} & set(vars(done))
 
 
 def test_points_are_dealt_once(spark, done):
@@ -63,3 +63,27 @@ def test_interpolated_as_stretch_by_stretch():
                 k = max(1, math.ceil(d / 0.5))
                 parts.append(a + np.outer(np.arange(1, k + 1) / k, b - a))
         assert (grouped.interpolated(p, 0.5) == np.concatenate(parts)).all()
+
+
+def test_merged_runs_without_joins(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for scan in range(40):
+        z = np.cumsum(np.repeat(rng.choice([0.0, 0.0, 0.25, 0.25, -0.25], 30), rng.integers(2, 14, 30)))
+        rows += [(scan, i, float(0.2 * i), float(0.1 * i % 3), float(h)) for i, h in enumerate(z)]
+    marked = floors.on_runs(spark.createDataFrame(rows, POINTS).repartition(3)).localCheckpoint()
+    runs = floors.runs_of(marked)
+    by_joins = sorted(tuple(r) for r in floors.merged_runs(runs, marked).select("scan_id", "start_idx", "end_idx", "z_start", "z_end", "direction", "type").collect())
+    merged = floors.on_merged_runs(marked)
+    got = floors.summed(merged, ends=True).collect()
+    assert sorted(tuple(r[c] for c in ("scan_id", "start_idx", "end_idx", "z_start", "z_end", "direction", "type")) for r in got) == by_joins
+    assert exchanges(merged) == 1 and 40 < len(got) < runs.count()
+    at = {r[:2]: r[2:] for r in rows}
+    for r in got:
+        assert (r.entry_x, r.entry_y, r.entry_z) == at[r.scan_id, r.start_idx] and (r.exit_x, r.exit_y, r.exit_z) == at[r.scan_id, r.end_idx - 1]
+
+
+def test_vertical_edges_by_ends_or_points(spark):
+    done = processing.process(walks(spark, "/root/testdata/sf0.001"), True)
+    one, other = (sorted(tuple(r) for r in e.select("scan_id", "from_node", "to_node", "distance", "edge_type").collect()) for e in (done.vertical, graph.vertical_edges(done.passages, done.nodes, done.points)))
+    assert one == other and one
