@@ -114,6 +114,21 @@ def pa_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def overlaps_merged_and_apart(p: np.ndarray, limit: float, radius: float) -> np.ndarray:
+    """The points that overlaps_merged leaves, and of these kept_apart; the distances of a small group serve both."""
+    if not 3 <= len(p) <= SMALL or limit <= 0 or not np.isfinite(p).all() or np.abs(p).max() / limit > 1e15:
+        p = p[overlaps_merged(p, limit)]
+        return p[kept_apart(p, radius)]
+    d = distances(p)
+    left = overlaps_merged_at_once(d, limit)
+    near, taken, keep = as_bits(d <= radius), 0, []
+    for i in left:
+        if not near[i] & taken:
+            keep.append(i)
+            taken |= 1 << i
+    return p[keep if len(keep) >= 2 else left]
+
+
 def kept_apart(p: np.ndarray, radius: float) -> list[int]:
     """In order, a point that is still there removes all later ones within the radius; all stay if under two would.
 
@@ -271,7 +286,7 @@ def overlaps_merged(p: np.ndarray, limit: float) -> list[int]:
     if limit <= 0 or not np.isfinite(p).all() or np.abs(p).max() / limit > 1e15:
         return overlaps_merged_plainly(p, limit)
     if len(p) <= SMALL:
-        return overlaps_merged_at_once(p, limit)
+        return overlaps_merged_at_once(distances(p), limit)
     known, bounds = Trodden(p, limit), Least(len(p))
     keep, i = [0], 1
     known.add(0)
@@ -294,19 +309,18 @@ def overlaps_merged(p: np.ndarray, limit: float) -> list[int]:
     return keep
 
 
-def overlaps_merged_at_once(p: np.ndarray, limit: float) -> list[int]:
-    """overlaps_merged of a small group: kept places, and those near each point, are bits of one number."""
-    d = distances(p)
+def overlaps_merged_at_once(d: np.ndarray, limit: float) -> list[int]:
+    """overlaps_merged of a small group by its distances: kept places, and those near each point, are bits of one number."""
     within, touching = as_bits(d < limit), as_bits(d <= limit)
     keep, taken, before, i = [0], 1, 0, 1
-    while i < len(p):
+    while i < len(d):
         near = within[i] & before
         if near:
             back = (near & -near).bit_length() - 1
             later = taken >> back
             if later.bit_count() > 2:
                 known = later << back
-                ahead = next((j for j in range(i, len(p)) if not touching[j] & known), None)
+                ahead = next((j for j in range(i, len(d)) if not touching[j] & known), None)
                 if ahead is not None:
                     i = ahead
                     continue

@@ -67,8 +67,7 @@ def process(points: DataFrame, derive_endpoints: bool = False) -> Processed:
 
 
 def apart(p):
-    p = p[grouped.overlaps_merged(p, 1.0)]
-    return p[grouped.kept_apart(p, 0.5)]
+    return grouped.overlaps_merged_and_apart(p, 1.0, 0.5)
 
 
 def floor_results(paths: DataFrame) -> DataFrame:

@@ -87,3 +87,15 @@ def test_vertical_edges_by_ends_or_points(spark):
     done = processing.process(walks(spark, "/root/testdata/sf0.001"), True)
     one, other = (sorted(tuple(r) for r in e.select("scan_id", "from_node", "to_node", "distance", "edge_type").collect()) for e in (done.vertical, graph.vertical_edges(done.passages, done.nodes, done.points)))
     assert one == other and one
+
+
+def test_distances_serve_both_steps():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 30, 200, grouped.SMALL, grouped.SMALL + 1):
+        for width in (0.1, 3.0, 30.0):
+            p = np.cumsum(rng.normal(0, 0.4, (n, 3)), axis=0) if width == 3.0 else rng.uniform(0, width, (n, 3))
+            merged = p[grouped.overlaps_merged(p, 1.0)]
+            assert (grouped.overlaps_merged_and_apart(p, 1.0, 0.5) == merged[grouped.kept_apart(merged, 0.5)]).all()
+    p[3] = math.nan
+    merged = p[grouped.overlaps_merged(p, 1.0)]
+    np.testing.assert_array_equal(grouped.overlaps_merged_and_apart(p, 1.0, 0.5), merged[grouped.kept_apart(merged, 0.5)])
