@@ -178,6 +178,25 @@ def test_fingerprint_classes_of_one_template(spark):
     assert got == dict(enumerate(root))
 
 
+def test_simhash_builds_no_table_in_the_driver(spark):
+    """However small its tables are, none of its joins broadcasts one: pivots, pairs, both growths of groups and the answer."""
+    from pathloom.llm import simhash
+
+    base, store = prose(60), spark._jsparkSession.sharedState().statusStore()
+    texts = [base] * 3 + [edited(base, 1) for _ in range(40)] + [prose(20) for _ in range(40)]
+
+    def plans():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {x.executionId(): x.physicalPlanDescription() for x in (found.apply(i) for i in range(found.size()))}
+
+    known = plans()
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    ours = [plan for i, plan in plans().items() if i not in known]
+    assert got[1] == got[2] == 0 and 3 < len(set(got.values())) < 81
+    assert sum("Join" in plan for plan in ours) > 5 and not any("Broadcast" in plan for plan in ours)
+
+
 COLUMNS = {
     "op1_simhash": ("documents", {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}),
     "op2_hilbert_shards": ("documents", {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}),
